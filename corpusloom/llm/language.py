@@ -43,7 +43,10 @@ LANGUAGE_NAMES = {
     "ko": "ko kor korean 한국어 koreanisch coréen coreano",
 }
 _CODES = {name: code for code, names in LANGUAGE_NAMES.items() for name in names.split()}
-_ASKED = re.compile("|".join(sorted((re.escape(n) if not n.isascii() else rf"\b{n}\b" for n in _CODES if len(n) > 3 or not n.isascii()), key=len, reverse=True)), re.I)
+_LONG_WORD = re.compile(r"[a-zÀ-ɏ]{4,}")
+_CJK_NAMES = [(n, c) for n, c in _CODES.items() if re.search("[぀-ヿ㐀-鿿]", n)]
+_SPELLED = {n: c for n, c in _CODES.items() if len(n) >= 4 and _LONG_WORD.fullmatch(n)}
+_DENSE = re.compile("[぀-ヿ㐀-鿿]")
 
 
 def language_code(label: str | None) -> str | None:
@@ -55,9 +58,20 @@ def language_code(label: str | None) -> str | None:
 
 
 def asked_language(prompt: str | None) -> str | None:
-    """The language a prompt asks for: the last one it names."""
-    found = _ASKED.findall(prompt or "")
-    return _CODES.get(found[-1].lower()) if found else None
+    """The language a prompt asks for: the last one it names, in whatever language."""
+    if not prompt:
+        return None
+    low = prompt.lower()
+    code, at = None, -1
+    for m in _LONG_WORD.finditer(low):
+        if m.group() in _SPELLED:
+            code, at = _SPELLED[m.group()], m.start()
+    if _DENSE.search(low):
+        for name, c in _CJK_NAMES:
+            k = low.rfind(name)
+            if k > at:
+                code, at = c, k
+    return code
 
 
 # --------------------------------------------------------------------------
