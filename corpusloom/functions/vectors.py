@@ -55,15 +55,23 @@ def rounded(a: Column | str, places: int = 6) -> Column:
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec", name: str = "mean") -> DataFrame:
     """keys, n, mean: partial sums on the map side, one small row per level."""
-    grouped = df.where(F.col(vec).isNotNull()).groupBy(*keys)
-    return grouped.agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias(name))
+    return _summed(df, keys, vec, vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias(name))
+
+
+def _summed(df: DataFrame, keys: list[str], vec: str, *aggregates: Column) -> DataFrame:
+    """Aggregates of the rows with a vector; without keys one row, with n = 0 and nulls for no rows."""
+    rows = df.where(F.col(vec).isNotNull())
+    if keys:
+        return rows.groupBy(*keys).agg(F.count("*").alias("n"), *aggregates)
+    # the summarizer has no value for an empty group, so a group of its own stands in for "all"
+    found = rows.groupBy(F.lit(1).alias("_all")).agg(F.count("*").alias("n"), *aggregates)
+    one = df.sparkSession.range(1).select(F.lit(1).alias("_all"))
+    return one.join(found, "_all", "left").drop("_all").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def sum_vectors(df: DataFrame, keys: list[str], vec: str = "vec", name: str = "total") -> DataFrame:
     """keys, n, total vector, squares (sum of squared norms)."""
-    grouped = df.where(F.col(vec).isNotNull()).groupBy(*keys)
-    out = grouped.agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias(name), F.sum(dot(vec, vec)).alias("squares"))
-    return out
+    return _summed(df, keys, vec, vector_to_array(Summarizer.sum(array_to_vector(F.col(vec)))).alias(name), F.sum(dot(vec, vec)).alias("squares"))
 
 
 def long_form(df: DataFrame, keys: list[str], vec: str, name: str = "value") -> DataFrame:
