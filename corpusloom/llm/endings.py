@@ -52,6 +52,8 @@ def ending(text: str | None) -> tuple[int, bool]:
             m = _CUT_MARK.search(base, max(0, len(base) - 16))
             if m and not proved:
                 marked = True
+                if "\ufffd" in m.group():
+                    return CUT, True  # part of a character: the next word had begun
         if not m:
             m = _END_MARK.search(base, max(0, len(base) - 14))
             if m and m.start() and base[m.start() - 1].isalpha() and not CJK.match(base[m.start() - 1]):
@@ -64,8 +66,9 @@ def ending(text: str | None) -> tuple[int, bool]:
         return WHOLE, marked
     if base.count("$$") % 2 or (base.replace("$$", "").count("$") % 2):
         return CUT, marked
-    if base.endswith("$$"):
-        return WHOLE, marked
+    if base.endswith("$$"):  # a formula line: whole unless the sentence before it still waits for its end
+        before = _REFERENCE.sub("", base[: base.rfind("$$", 0, len(base) - 2)].rstrip()).rstrip(_CLOSE + "“")
+        return (WHOLE if not before or before[-1] in _TERM + ".:：" or before.endswith("$$") else CUT), marked
     bare = _REFERENCE.sub("", base) if base[-1] in "]⁰¹²³⁴⁵⁶⁷⁸⁹" else base
     if bare is not base and bare and bare[-1] in _TERM + ".":
         return WHOLE, marked

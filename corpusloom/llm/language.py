@@ -202,6 +202,7 @@ def filter_from(df: DataFrame, id_col: str, text_col: str, label_col: str, sampl
 
 _END = re.compile(r"[。．｡！？।]+|[.!?]+(?=[\s)\]\"'”’»]|$)|\n[ \t]*\n|\n(?=[\s\-*•(\d])")
 _WORD = re.compile(r"[^\W\d_]+$")
+_CLOSED = tuple(".!?。！？．｡।)）]」』”»\"'")
 
 
 def plain_sentences(text: str) -> list[tuple[int, int]]:
@@ -257,6 +258,8 @@ class Spoken:
         if not size:
             return {self.leaning[0]: self.leaning[1]} if self.leaning else {}
         n = self.counts()
+        if self.leaning and max(n.values()) < 2:
+            return {self.leaning[0]: self.leaning[1]}
         most = max(size, key=lambda x: (n[x], size[x], x))
         keep = [x for x in sorted(size) if n[x] >= 2] or [most]
         return {x: round(mass[x] / size[x], 4) for x in keep}
@@ -278,7 +281,7 @@ def speak(texts: list[str | None], prompts: list[str | None] | None, table: Lang
 
 
 def _speak(texts: list[str | None], prompts: list[str | None] | None, table: LanguageFilter, least: float = 14, share: float = 0.5, margin: float = 0.12) -> list[Spoken]:
-    parts, rows, starts, ends, local = [], [], [], [], []
+    parts, rows, starts, ends, local, whole = [], [], [], [], [], []
     at = 0
     for i, text in enumerate(texts):
         if not text:
@@ -288,12 +291,13 @@ def _speak(texts: list[str | None], prompts: list[str | None] | None, table: Lan
         if prompts is not None and (p := prompts[i]) and len(text) > 1.5 * len(p) and text.startswith(p):
             head = len(p)
             t = " " * head + t[head:]
-        for a, b in plain_sentences(t):
-            if b > head:
-                rows.append(i)
-                starts.append(at + a)
-                ends.append(at + b)
-                local.append((a, b))
+        spans = [s for s in plain_sentences(t) if s[1] > head]
+        for k, (a, b) in enumerate(spans):
+            rows.append(i)
+            starts.append(at + a)
+            ends.append(at + b)
+            local.append((a, b))
+            whole.append(k + 1 < len(spans) or k == 0 or t[a:b].rstrip()[-1:] in _CLOSED)
         parts.append(t)
         at += len(t) + 1
     out = [Spoken([], [], [], []) for _ in texts]
@@ -305,7 +309,8 @@ def _speak(texts: list[str | None], prompts: list[str | None] | None, table: Lan
     ix = np.arange(len(best))
     top = shares[ix, best]
     second = shares[ix, order[:, -2]] if shares.shape[1] > 1 else np.zeros(len(best))
-    sure = (size >= least) & (top >= share) & (top - second >= margin)
+    # a last piece without a mark is no whole sentence
+    sure = (size >= least) & (top >= share) & (top - second >= margin) & np.asarray(whole)
     for i, span, k, ok, c, w in zip(rows, local, best.tolist(), sure.tolist(), (top - second).tolist(), size.tolist()):
         s = out[i]
         s.spans.append(span)
@@ -313,7 +318,7 @@ def _speak(texts: list[str | None], prompts: list[str | None] | None, table: Lan
         s.confidence.append(c if ok else 0.0)
         s.weight.append(w)
     which = np.asarray(rows)
-    for i in {i for i, s in enumerate(out) if s.spans and not any(s.langs)}:
+    for i in {i for i, s in enumerate(out) if s.spans and max(s.counts().values(), default=0) < 2}:
         own = which == i
         mass = (shares[own] * size[own, None]).sum(axis=0) / max(size[own].sum(), 1)
         out[i].leaning = _leaning(texts[i], mass, size[own].sum(), table.languages)

@@ -27,7 +27,7 @@ REFUSALS = {
 }
 # Refusal phrases of scripts without spaces.
 REFUSALS_SPACELESS = tuple(
-    """无法完成 无法提供 无法撰写 无法回答 无法处理 无法满足 不能提供 不能撰写 不能回答 不能处理 不能完成 不能满足 没有办法 不被允许 不允许我 必须拒绝 只能拒绝 不得不拒绝 我拒绝 恕我不能 恕不能 恕难 不便提供 不便回答 不便撰写 不愿意 宁愿不
+    """无法完成 无法提供 无法撰写 无法回答 无法处理 无法满足 不能提供 不能撰写 不能回答 不能处理 不能完成 不能满足 没有办法 不被允许 不允许我 必须拒绝 只能拒绝 不得不拒绝 我拒绝 恕我不能 恕不能 恕难 不方便 不便提供 不便回答 不便撰写 不愿意 宁愿不
     お応えできません お答えできません 答えることはできません 書くことはできません 示すことはできません 扱うことはできません 書けません できかねます できません わけにはいきません 控えます 控えさせて お断り 拒否 許されていません 認められていません 遠慮""".split()
 )
 # Courtesies and grounds that go with a refusal and are no content.

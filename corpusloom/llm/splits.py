@@ -221,15 +221,15 @@ def split_components(records_df: DataFrame, key_cols: list[str], profile_col: st
     Components are counted (one shuffle on pre-aggregated keys) and bundled by
     size and profile; the driver sees one row per bundle, at most as many as
     there are distinct sizes times profiles (their number grows with the square
-    root of the records at most). Within a bundle components are ranked by hash
+    root of the records at most); a component's profile is its first label. Within a bundle components are ranked by hash
     in hash ranges, never in one task, and the first ones go to the first
     split. Null keys are keys like others.
     """
     names = [n for n, _ in shares]
     whole = sum(s for _, s in shares) or 1.0
-    components = records_df.groupBy(*key_cols).agg(F.count("*").alias("size"))
+    components = records_df.groupBy(*key_cols).agg(F.count("*").alias("size"), F.min(F.col(profile_col).cast("string")).alias("profile"))
     digest = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in key_cols])
-    components = components.withColumns({"profile": F.coalesce(F.col(profile_col).cast("string"), F.lit("\0null")), "digest": digest, "part": F.shiftrightunsigned(digest, 52)})
+    components = components.withColumns({"profile": F.coalesce("profile", F.lit("\0null")), "digest": digest, "part": F.shiftrightunsigned(digest, 52)})
     counts = components.groupBy("size", "profile", "part").agg(F.count("*").alias("n"))
     bundles = [(r["size"], r["profile"], r["n"]) for r in counts.groupBy("size", "profile").agg(F.sum("n").alias("n")).orderBy("size", "profile").collect()]
     quotas = flow_quotas(bundles, [s / whole for _, s in shares])
