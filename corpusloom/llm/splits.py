@@ -152,12 +152,11 @@ def design_cells(df: DataFrame, techniques: list[tuple[str, str | None]]) -> Dat
 def flow_quotas(bundles: list[tuple[int, str, int]], shares: list[float], profile_weight: float = 0.5) -> dict[tuple[int, str], list[int]]:
     """Integral components of each bundle (size, profile, count) for each split.
 
-    Every bundle first gives each split the whole part of its share. What is
-    left, fewer components per bundle than there are splits, is sent through a
-    network bundle -> split, largest sizes first; the arcs into a split cost the
-    change of the split's deviation from its wanted records, overall and within
-    the profile, and are convex, so sending unit by unit along cheapest paths
-    and rerouting earlier units while that lowers the cost gives the minimum.
+    Every bundle first gives each split the whole part of its share; what is
+    left is sent through the network bundle -> split, largest sizes first. The
+    arcs into a split cost the change of the split's deviation from its wanted
+    records, overall and within the profile, and are convex; flow is rerouted
+    between splits, many units of a bundle at once, while that lowers the cost.
     """
     k = len(shares)
     total = sum(s * n for s, _, n in bundles)
@@ -192,27 +191,30 @@ def flow_quotas(bundles: list[tuple[int, str, int]], shares: list[float], profil
         move(j, -s, p)
         return after - before
 
-    sent: dict[tuple[int, str], list[int]] = {key: [0] * k for key in given}
     for s, p in sorted(rest, key=lambda x: (-x[0], x[1])):
         j = min(range(k), key=lambda j: (gain(j, s, p), j))
         move(j, s, p)
-        sent[s, p][j] += 1
+        given[s, p][j] += 1
     improved = True
-    while improved:  # reroute units along paths of negative cost
+    while improved:  # reroute units, as many at once as lower the cost most, along paths of negative cost
         improved = False
-        for (s, p), counts in sent.items():
+        for (s, p), counts in given.items():
             for a in range(k):
-                if not counts[a]:
-                    continue
-                back = gain(a, -s, p)
-                b = min((b for b in range(k) if b != a), key=lambda b: gain(b, s, p), default=a)
-                if b != a and back + gain(b, s, p) < -1e-9:
-                    move(a, -s, p)
-                    move(b, s, p)
-                    counts[a] -= 1
-                    counts[b] += 1
-                    improved = True
-    return {key: [x + y for x, y in zip(given[key], sent[key])] for key in given}
+                for b in range(k):
+                    slope = (have[a] - want[a]) - (have[b] - want[b]) + profile_weight * ((have_p[p][a] - want_p[p][a]) - (have_p[p][b] - want_p[p][b]))
+                    m = min(counts[a], round(slope / (2 * s * (1 + profile_weight)))) if a != b else 0
+                    if m > 0:
+                        before = cost(a, p) + cost(b, p)
+                        move(a, -s * m, p)
+                        move(b, s * m, p)
+                        if before - cost(a, p) - cost(b, p) > 1e-6:
+                            counts[a] -= m
+                            counts[b] += m
+                            improved = True
+                        else:
+                            move(a, s * m, p)
+                            move(b, -s * m, p)
+    return given
 
 
 def split_components(records_df: DataFrame, key_cols: list[str], profile_col: str, shares: list[tuple[str, float]], seed: str = "0") -> DataFrame:
