@@ -20,10 +20,12 @@ def word_tokens(text: Column | str) -> Column:
 def word_terms(text: Column | str, longest: int = 1) -> Column:
     """Word n-grams of 1 to `longest` adjacent tokens, joined by a blank."""
     tokens = word_tokens(text)
-    out = tokens
+    out = acc = tokens
     for n in range(2, longest + 1):
-        grams = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
-        out = F.concat(out, F.coalesce(grams, F.array().cast("array<string>")))
+        # zipped with its own shift: the tokens are taken once, not once per term
+        rest = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+        acc = F.zip_with(F.slice(acc, F.lit(1), rest), F.slice(tokens, F.lit(n), rest), lambda a, b: F.concat(a, F.lit(" "), b))
+        out = F.concat(out, acc)
     return out
 
 

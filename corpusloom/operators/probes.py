@@ -7,7 +7,9 @@ intercept free: regParam = 1 / n with standardization off.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,6 +22,17 @@ from corpusloom.functions import stats
 from corpusloom.operators import resample
 
 
+#: Training rows that are worth a task of their own in every iteration.
+ROWS_PER_TASK = 5_000
+#: Fits that run side by side.
+PARALLEL_FITS = 4
+
+
+def _side_by_side(jobs: list[Callable]) -> list:
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+
+
 def features(df: DataFrame, label: str, keep: list[str] | None = None, vec: str = "vec") -> tuple[DataFrame, list[str]]:
     """Rows with `features`, `y` and the sorted levels; rows with a null label or vector are left out."""
     rows = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull())
@@ -36,6 +49,7 @@ def fit(train: DataFrame, max_iter: int = 100) -> LogisticRegressionModel | None
     n, k = train.agg(F.count("*"), F.count_distinct("y")).first()
     if k < 2:
         return None
+    train = train.coalesce(max(1, n // ROWS_PER_TASK))  # few rows in many tasks cost more than the sums
     return LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=1.0 / n, standardization=False, family="multinomial", tol=1e-5).fit(train)
 
 
@@ -52,7 +66,8 @@ def cross_validated(df: DataFrame, label: str, k: int = 5, vec: str = "vec") ->
     rows = resample.folds(rows, "y", "line_no", k).cache()
     try:
         n = rows.count()
-        scores = [s for f in range(k) if (s := accuracy(fit(rows.where(F.col("fold") != f)), rows.where(F.col("fold") == f))) is not None]
+        jobs = [lambda f=f: accuracy(fit(rows.where(F.col("fold") != f)), rows.where(F.col("fold") == f)) for f in range(k)]
+        scores = [s for s in _side_by_side(jobs) if s is not None]
         return (sum(scores) / len(scores) if scores else None), n, len(levels)
     finally:
         rows.unpersist()
@@ -75,10 +90,13 @@ def leave_one_group_out(df: DataFrame, label: str, group: str, vec: str = "vec")
     """Held-out group, n, accuracy, chance."""
     rows, levels = features(df, label, [group], vec)
     rows = rows.cache()
-    out = []
-    for (g,) in sorted(tuple(r) for r in rows.where(F.col(group).isNotNull()).select(group).distinct().collect()):
+    groups = sorted(r[0] for r in rows.where(F.col(group).isNotNull()).select(group).distinct().collect())
+
+    def held_out(g: str) -> tuple:
         test = rows.where(F.col(group) == g)
-        out.append((g, test.count(), accuracy(fit(rows.where(F.col(group) != g)), test), 1.0 / len(levels)))
+        return g, test.count(), accuracy(fit(rows.where(F.col(group) != g)), test), 1.0 / len(levels)
+
+    out = _side_by_side([lambda g=g: held_out(g) for g in groups])
     rows.unpersist()
     return _frame(df, out, f"{group} string, n long, accuracy double, chance double")
 
@@ -88,13 +106,16 @@ def transfer(df: DataFrame, label: str, group: str, sources: list[str] | None =
     rows, _ = features(df, label, [group], vec)
     rows = rows.cache()
     groups = sorted(r[0] for r in rows.where(F.col(group).isNotNull()).select(group).distinct().collect())
-    out = []
-    for src in groups if sources is None else [s for s in sources if s in groups]:
+
+    def from_source(src: str) -> list[tuple]:
         model = fit(rows.where(F.col(group) == src))
         if model is None:
-            continue
+            return []
         scored = model.transform(rows.where(F.col(group) != src)).groupBy(group).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("a"))
-        out += [(src, r[group], r["n"], float(r["a"])) for r in scored.orderBy(group).collect()]
+        return [(src, r[group], r["n"], float(r["a"])) for r in scored.orderBy(group).collect()]
+
+    chosen = groups if sources is None else [s for s in sources if s in groups]
+    out = [row for part in _side_by_side([lambda s=s: from_source(s) for s in chosen]) for row in part]
     rows.unpersist()
     return _frame(df, out, "source string, target string, n long, accuracy double")
 
@@ -110,8 +131,8 @@ def probe_errors(df: DataFrame, label: str, top: int = 5, vec: str = "vec") -> D
     rows, levels = features(df, label, vec=vec)
     rows = resample.folds(rows, "y", "line_no").cache()
     parts = None
-    for f in range(5):
-        model = fit(rows.where(F.col("fold") != f))
+    models = _side_by_side([lambda f=f: fit(rows.where(F.col("fold") != f)) for f in range(5)])
+    for f, model in enumerate(models):
         if model is not None:
             p = model.transform(rows.where(F.col("fold") == f)).select("y", "prediction")
             parts = p if parts is None else parts.unionByName(p)
@@ -144,7 +165,7 @@ def pca_probe(df: DataFrame, labels: list[str], dims: list[int], vec: str = "vec
 def kmeans_labels(df: DataFrame, k: int, starts: int = 10, vec: str = "vec") -> DataFrame:
     """Rows with `cluster` of the best of several seeded starts."""
     rows = df.where(F.col(vec).isNotNull()).withColumn("features", array_to_vector(F.col(vec))).cache()
-    models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(rows) for s in range(starts)]
+    models = _side_by_side([lambda s=s: KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(rows) for s in range(starts)])
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).drop("features")
 
