@@ -46,3 +46,47 @@ def mutual_information(counts: DataFrame, row: str, col: str, n: str = "n") -> D
     both = mi.join(F.broadcast(hr)).join(F.broadcast(hc))
     mean = (F.col("h_row") + F.col("h_col")) / 2
     return both.select("mi", "h_row", "h_col", F.when(mean > 1e-12, F.col("mi") / mean).otherwise(F.lit(1.0)).alias("nmi"))
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 4096, small: int = 50_000) -> float | None:
+    """The q-quantile with linear interpolation, exact, without holding all values in one task.
+
+    Histograms of `bins` equal ranges narrow the interval of the two ranks
+    needed until at most `small` values are left in it; those are sorted.
+    None for no values.
+    """
+    rows = df.select(F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    at = q * (n - 1)
+    first = int(at)
+    need = (first, min(first + 1, n - 1))
+    before, inside = 0, n
+    while inside > small and high > low:
+        width = (high - low) / bins
+        if width <= 0 or low + width <= low:
+            break
+        b = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))
+        part = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        seen, kept = before, []
+        for r in part:
+            if seen <= need[1] and seen + r["n"] > need[0]:
+                kept.append((seen, r))
+            seen += r["n"]
+        new = sum(r["n"] for _, r in kept)
+        if new == inside:
+            break
+        before, inside = kept[0][0], new
+        low, high = kept[0][1]["lo"], kept[-1][1]["hi"]
+    if high <= low:
+        return float(low)
+    # distinct values with their counts: repeated values take no room
+    left = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()
+    found, seen = {}, before
+    for r in left:
+        for k in need:
+            if seen <= k < seen + r["n"]:
+                found[k] = r["v"]
+        seen += r["n"]
+    return float(found[need[0]] + (at - first) * (found[need[1]] - found[need[0]]))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import stats
 from corpusloom.functions import vectors as V
 from corpusloom.operators import geometry, lengths
-from corpusloom.operators.resample import draw_key
 
 
 def language_means(df: DataFrame, arm: str | None = None) -> DataFrame:
@@ -41,7 +44,7 @@ def confidence(assigned: DataFrame, least_margin: float = 0.02) -> DataFrame:
         F.avg("cos").alias("mean_cos"),
         F.min("cos").alias("min_cos"),
         F.avg("margin").alias("mean_margin"),
-        F.median("margin").alias("median_margin"),
+        F.lit(stats.exact_quantile(assigned, "margin", 0.5)).cast("double").alias("median_margin"),
         F.count_if(F.col("margin") < least_margin).alias("close"),
     )
 
@@ -83,6 +86,45 @@ def permutation_null(assigned: DataFrame, row: str, col: str, id_col: str, repli
     return null.join(F.broadcast(observed)).groupBy("observed").agg(F.avg("chi2").alias("null_mean"), F.max("chi2").alias("null_max"), hits.alias("hits"), ((hits + 1) / (F.count("*") + 1)).alias("p"))
 
 
+def null_from_margins(assigned: DataFrame, row: str, col: str, replicates: int = 20_000, seed: int = 0) -> DataFrame:
+    """L8 for any number of records: null tables drawn from the margins alone.
+
+    A shuffle of labels gives a table with the same margins, distributed as
+    draws without replacement, so each replicate costs rows times columns of
+    the table, not the records.
+    """
+    counts = assigned.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count("*").alias("n")).orderBy("r", "c").limit(1_000_000).collect()
+    schema = "observed double, null_mean double, null_max double, hits long, p double"
+    if not counts:
+        return assigned.sparkSession.createDataFrame([], schema)
+    r_of = {x: k for k, x in enumerate(sorted({r["r"] for r in counts}))}
+    c_of = {x: k for k, x in enumerate(sorted({r["c"] for r in counts}))}
+    table = np.zeros((len(r_of), len(c_of)), np.int64)
+    for r in counts:
+        table[r_of[r["r"]], c_of[r["c"]]] = r["n"]
+    rt, ct, n = table.sum(1), table.sum(0), int(table.sum())
+
+    def chi(t: np.ndarray) -> float:
+        return float(n * (t * t / np.outer(rt, ct)).sum() - n)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for k in part["id"]:
+                rng = np.random.default_rng([seed, int(k)])
+                left, t = ct.copy(), np.zeros_like(table)
+                for i, m in enumerate(rt):
+                    t[i] = rng.multivariate_hypergeometric(left, int(m)) if n < 10**9 else rng.multivariate_hypergeometric(left, int(m), method="marginals")
+                    left -= t[i]
+                out.append(chi(t))
+            yield pd.DataFrame({"chi2": out})
+
+    observed = chi(table)
+    hits = F.count_if(F.round("chi2", 6) >= round(observed, 6))
+    null = assigned.sparkSession.range(replicates).mapInPandas(draw, "chi2 double")
+    return null.agg(F.lit(observed).alias("observed"), F.avg("chi2").alias("null_mean"), F.max("chi2").alias("null_max"), hits.alias("hits"), ((hits + 1) / (F.count("*") + 1)).alias("p"))
+
+
 def length_by_assigned(assigned: DataFrame, z: DataFrame, id_col: str) -> DataFrame:
     """Mean z of log characters per assigned technique."""
     return assigned.join(z.select(id_col, "z"), id_col).where("z is not null").groupBy("best").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"))
@@ -107,8 +149,8 @@ def own_cosines(rows: DataFrame, id_col: str) -> DataFrame:
 
 
 def threshold(own: DataFrame, q: float = 0.05) -> DataFrame:
-    """One row with the q-quantile, linearly interpolated."""
-    return own.agg(F.percentile("own_cos", q).alias("threshold"))
+    """One row with the q-quantile, linearly interpolated; null for no rows."""
+    return own.sparkSession.createDataFrame([(stats.exact_quantile(own, "own_cos", q),)], "threshold double")
 
 
 def out_of_set(assigned: DataFrame, limit: DataFrame, by: str = "direction") -> DataFrame:
@@ -170,7 +212,3 @@ def opposed_separation(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
     b = both.select(F.col("direction").alias("b"), F.col("mean").alias("mb"), F.col("spread").alias("sb"))
     d = V.norm(V.minus("ma", "mb"))
     return spec.join(a, "a").join(b, "b").select("a", "b", d.alias("distance"), (d / ((F.col("sa") + F.col("sb")) / 2)).alias("separation"))
-
-
-def drawn_order(seed: int, *parts: Column | str) -> Column:
-    return draw_key(seed, *parts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.resample import number_part, place_within
+
 
 def arm_counts(df: DataFrame) -> DataFrame:
     """Rows per arm."""
@@ -107,8 +109,8 @@ def shares(df: DataFrame, key: str, level: str, top: int | None = None) -> DataF
 
 
 def sample_index(df: DataFrame, cell: list[str], order: str) -> DataFrame:
-    """Running number within the cell, from 0."""
-    return df.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy(order)) - 1)
+    """Running number within the cell, from 0, by a whole-number order column."""
+    return place_within(df, cell, [F.col(order)], number_part(order), "k")
 
 
 def level_codes(df: DataFrame, level: str) -> DataFrame:

@@ -12,6 +12,30 @@ def draw_key(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols))
 
 
+def place_within(df: DataFrame, keys: list[str], order: list[Column], part: Column, name: str = "place") -> DataFrame:
+    """df with the row's place (from 0) within keys by `order`, never sorting a whole group in one task.
+
+    `part` must not fall along `order`. Rows are ranked within (keys, part) and
+    shifted by the rows of the earlier parts, which come from pre-aggregated
+    counts; null keys are keys like others.
+    """
+    rows = df.withColumn("_part", part)
+    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    shift = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    shifts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), shift.alias("_shift"))
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = local.join(shifts, same).withColumn(name, (F.col("_local") + F.col("_shift")).cast("long"))
+    return out.drop("_part", "_local", "_p", "_shift", *[f"_k{i}" for i in range(len(keys))])
+
+
+def number_part(c: str, width: int = 100_000) -> Column:
+    """Parts of a whole-number order column."""
+    return F.floor(F.col(c) / width)
+
+
 def one_per_cell(df: DataFrame, cell: list[str], id_col: str, seed: int = 0) -> DataFrame:
     """The row of each cell with the smallest draw key: a partial minimum, no sort of cells."""
     key = F.struct(draw_key(seed, id_col).alias("k"), F.col(id_col))
@@ -27,8 +51,10 @@ def shuffled_labels(df: DataFrame, id_col: str, label: str, cell: list[str], rep
     reps = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))
     # every replicate holds every record by definition
     rows = df.select(id_col, label, *[c for c in cell if c not in (id_col, label)]).crossJoin(F.broadcast(reps))
-    part = Window.partitionBy("replicate", *cell)
-    placed = rows.withColumns({"place": F.row_number().over(part.orderBy(id_col)), "drawn": F.row_number().over(part.orderBy(draw_key(seed, "replicate", id_col), id_col))})
+    rows = rows.withColumn("_key", draw_key(seed, "replicate", id_col))
+    groups = ["replicate", *cell]
+    placed = place_within(rows, groups, [F.col(id_col)], number_part(id_col))
+    placed = place_within(placed, groups, [F.col("_key"), F.col(id_col)], F.substring("_key", 1, 2), "drawn")
     keys = ["replicate", *cell]
     source = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("drawn").alias("_place"), F.col(label).alias("shuffled"))
     same = F.col("place") == F.col("_place")
@@ -40,10 +66,14 @@ def shuffled_labels(df: DataFrame, id_col: str, label: str, cell: list[str], rep
 def folds(df: DataFrame, label: str, order: str, k: int = 5) -> DataFrame:
     """Unshuffled stratified folds: each class is cut in order into k parts of almost equal size.
 
-    The class size and a row's place decide; places are ranked per class.
+    The class size and a row's place decide. `order` is a whole number.
     """
-    w = Window.partitionBy(label).orderBy(order)
-    return df.withColumn("fold", F.ntile(k).over(w) - 1)
+    placed = place_within(df, [label], [F.col(order)], number_part(order), "_at")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    q, r = F.floor(F.col("_size") / k), F.col("_size") % k
+    head = r * (q + 1)
+    fold = F.when(F.col("_at") < head, F.floor(F.col("_at") / (q + 1))).otherwise(r + F.floor((F.col("_at") - head) / F.greatest(q, F.lit(1))))
+    return placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("fold", fold.cast("int")).drop("_at", "_label", "_size")
 
 
 def bootstrap_slots(df: DataFrame, cell: list[str], id_col: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -52,9 +82,9 @@ def bootstrap_slots(df: DataFrame, cell: list[str], id_col: str, replicates: int
     Slot s of a replicate takes the row at place floor(u * n), u from the draw key.
     """
     spark = df.sparkSession
-    placed = df.select(id_col, *cell).withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy(id_col)) - 1)
+    placed = place_within(df.select(id_col, *cell), cell, [F.col(id_col)], number_part(id_col))
     sizes = placed.groupBy(*cell).agg(F.count("*").alias("n"))
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).crossJoin(F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))))
     u = F.conv(F.substring(draw_key(seed, "replicate", "slot", *cell), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    drawn = slots.withColumn("place", F.least(F.floor(u * F.col("n")), F.col("n") - 1).cast("int")).drop("n", "slot")
+    drawn = slots.withColumn("place", F.least(F.floor(u * F.col("n")), F.col("n") - 1).cast("long")).drop("n", "slot")
     return drawn.join(placed, [*cell, "place"]).select("replicate", *cell, id_col)

@@ -487,6 +487,11 @@ def _(s, d):
     return A.permutation_null(_assigned(s, d), "direction", "best", "line_no", 200, 0)
 
 
+@query("L8_null_from_margins")
+def _(s, d):
+    return A.null_from_margins(_assigned(s, d), "direction", "best", 2000)
+
+
 @query("L9_length_by_assigned")
 def _(s, d):
     z = _z(s, d, estimate_on=F.col("arm") == "extreme", spread="pop")

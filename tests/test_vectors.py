@@ -180,3 +180,31 @@ def test_nmi(spark):
     assert stats.mutual_information(same, "r", "c").first()["nmi"] == pytest.approx(1.0)
     free = spark.createDataFrame([("a", "x", 5), ("a", "y", 5), ("b", "x", 5), ("b", "y", 5)], "r string, c string, n long")
     assert abs(stats.mutual_information(free, "r", "c").first()["nmi"]) < 1e-12
+
+
+def test_exact_quantile(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=500).tolist(), [1.0] * 400 + [2.0] * 100, [5.0], (rng.pareto(1, 300) * 1e6).tolist()):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+        for q in (0.0, 0.05, 0.5, 0.973, 1.0):
+            assert stats.exact_quantile(df, "v", q, bins=8, small=20) == pytest.approx(np.quantile(values, q))
+    assert stats.exact_quantile(spark.createDataFrame([], "v double"), "v", 0.5) is None
+
+
+def test_null_from_margins_agrees_with_shuffles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, f"r{rng.integers(3)}", f"c{rng.integers(4)}") for k in range(150)]
+    df = spark.createDataFrame(rows, "line_no long, direction string, best string")
+    a = assignment.permutation_null(df, "direction", "best", "line_no", 400).first()
+    b = assignment.null_from_margins(df, "direction", "best", 4000).first()
+    assert a["observed"] == pytest.approx(b["observed"]) and abs(a["null_mean"] - b["null_mean"]) < 0.6 and abs(a["p"] - b["p"]) < 0.08
+    assert assignment.null_from_margins(df.limit(0), "direction", "best").count() == 0
+
+
+def test_places_cross_parts(spark):
+    rows = [(k * 70_000, "a" if k % 3 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "line_no long, cell string")
+    got = resample.place_within(df, ["cell"], [F.col("line_no")], resample.number_part("line_no")).collect()
+    for cell in ("a", None):
+        part = sorted((r["line_no"], r["place"]) for r in got if r["cell"] == cell)
+        assert [p for _, p in part] == list(range(len(part)))
