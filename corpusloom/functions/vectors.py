@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Levels a factor may have when its vectors are sent to every worker.
-MAX_LEVELS = 20_000
+MAX_LEVELS = 5_000
+#: Numbers of level vectors sent to every worker at once.
+BLOCK_ELEMENTS = 4_000_000
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -79,39 +81,63 @@ def long_form(df: DataFrame, keys: list[str], vec: str, name: str = "value") ->
     return df.select(*keys, F.posexplode(vec).alias("pos", name)).select(*keys, (F.col("pos") + 1).cast("int").alias("pos"), rounded(name).alias(name))
 
 
+def few(df: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
+    """df marked for broadcast after a check that it has at most `most` rows."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return F.broadcast(df)
+
+
 def nearest_levels(df: DataFrame, levels: DataFrame, level_col: str, level_vec: str, keep: list[str], vec: str = "vec") -> DataFrame:
     """keep, best, cos, second_cos, margin: the level of highest cosine for every row.
 
-    The level vectors (at most MAX_LEVELS, checked) go to every worker; each
-    batch is one matrix product. Ties after rounding to nine places go to the
-    first level in order. Rows with a null vector are dropped; without levels
-    the result is empty; with one level `second_cos` and `margin` are null.
+    Level vectors go to the workers in blocks of at most BLOCK_ELEMENTS numbers;
+    every block is one more narrow pass with a matrix product per batch, which
+    carries the best two so far along. Ties after rounding to nine places go to
+    the first level in order. Rows with a null vector are dropped; without
+    levels the result is empty; with one level `second_cos` and `margin` are null.
     """
-    rows = levels.select(level_col, level_vec).where(F.col(level_vec).isNotNull()).limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels")
-    rows = sorted(rows, key=lambda r: r[0])
-    names = [r[0] for r in rows]
-    matrix = np.asarray([r[1] for r in rows], float) if rows else np.zeros((0, 0))
-    if len(rows):
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("best", T.StringType()), T.StructField("cos", T.DoubleType()), T.StructField("second_cos", T.DoubleType()), T.StructField("margin", T.DoubleType())])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("best", T.StringType()), T.StructField("cos", T.DoubleType()), T.StructField("second_cos", T.DoubleType()), T.StructField(vec, df.schema[vec].dataType)])
+    state = df.where(F.col(vec).isNotNull()).select(*keep, F.lit(None).cast("string").alias("best"), F.lit(None).cast("double").alias("cos"), F.lit(None).cast("double").alias("second_cos"), vec)
+    names: list[str] = []
+    block: list[list[float]] = []
+    found = False
+    for r in levels.select(level_col, level_vec).where(F.col(level_vec).isNotNull()).orderBy(level_col).toLocalIterator():
+        names.append(r[0])
+        block.append(r[1])
+        if len(block) * len(block[0]) >= BLOCK_ELEMENTS:
+            state = state.mapInArrow(_nearer(names, block, len(keep), schema.names), schema)
+            names, block, found = [], [], True
+    if block:
+        state = state.mapInArrow(_nearer(names, block, len(keep), schema.names), schema)
+    elif not found:
+        state = state.limit(0)
+    return state.select(*keep, "best", "cos", "second_cos", (F.col("cos") - F.col("second_cos")).alias("margin"))
+
+
+def _nearer(names: list[str], block: list[list[float]], kept: int, out: list[str]):
+    matrix = np.asarray(block, float)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not names or not batch.num_rows:
+            if not batch.num_rows:
                 continue
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(kept + 3)
             x = column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             cos = np.round(x @ matrix.T, 9)
-            best = cos.argmax(axis=1)
-            ix = np.arange(len(best))
-            top = cos[ix, best]
-            if len(names) > 1:
-                second = np.partition(cos, -2, axis=1)[:, -2]
-                more = [pa.array(second), pa.array(top - second)]
-            else:
-                more = [pa.nulls(len(best), pa.float64())] * 2
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([names[k] for k in best]), pa.array(top), *more], names=schema.names)
-
-    return df.where(F.col(vec).isNotNull()).select(*keep, vec).mapInArrow(run, schema)
+            ix = np.arange(len(cos))
+            k = cos.argmax(axis=1)
+            top = cos[ix, k]
+            next_best = np.partition(cos, -2, axis=1)[:, -2] if len(names) > 1 else np.full(len(cos), -np.inf)
+            was = batch.column(kept + 1).to_numpy(zero_copy_only=False).astype(float)
+            was2 = batch.column(kept + 2).to_numpy(zero_copy_only=False).astype(float)
+            was, was2 = np.where(np.isnan(was), -np.inf, was), np.where(np.isnan(was2), -np.inf, was2)
+            new = top > was  # earlier blocks hold earlier names, so they keep ties
+            best = [names[j] if n else b for j, n, b in zip(k.tolist(), new.tolist(), batch.column(kept).to_pylist())]
+            first = np.maximum(top, was)
+            second = np.maximum(np.minimum(top, was), np.maximum(next_best, was2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(best, pa.string()), pa.array(first), pa.array(second, mask=np.isneginf(second)), column], names=out)
+
+    return run

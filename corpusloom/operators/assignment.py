@@ -187,7 +187,7 @@ def centroid_agreement(df: DataFrame, level: str = "technique") -> DataFrame:
     t, v = (means[s].select(F.col(level).alias(f"l_{s}"), F.col("mean").alias(f"m_{s}")) for s in ("terse", "verbose"))
     within = t.join(v, F.col("l_terse") == F.col("l_verbose")).agg(F.avg(V.dot("m_terse", "m_verbose")).alias("within"))
     other = t.select(F.col("l_terse").alias("l2"), F.col("m_terse").alias("m2"))
-    between = t.join(F.broadcast(other), F.col("l_terse") != F.col("l2")).agg(F.avg(V.dot("m_terse", "m2")).alias("between"))
+    between = t.join(V.few(other), F.col("l_terse") != F.col("l2")).agg(F.avg(V.dot("m_terse", "m2")).alias("between"))
     return scores.join(F.broadcast(within)).join(F.broadcast(between))
 
 

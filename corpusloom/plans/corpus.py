@@ -33,9 +33,8 @@ def corpus(spark: SparkSession, sf_dir: str, name: str = "proofs_primes") -> Dat
     raw = table(spark, sf_dir, name)
     codes = table(spark, sf_dir, "techniques").select(F.col("technique").alias("code")).distinct()
     chars = F.length("proof")
-    # the vocabulary of techniques has a fixed size
     return (
-        raw.join(F.broadcast(codes), plain("technique") == F.col("code"), "left")
+        raw.join(codes, plain("technique") == F.col("code"), "left")
         .select(
             "line_no", "id", "arm", "theorem",
             F.col("code").alias("technique"),

@@ -208,3 +208,23 @@ def test_places_cross_parts(spark):
     for cell in ("a", None):
         part = sorted((r["line_no"], r["place"]) for r in got if r["cell"] == cell)
         assert [p for _, p in part] == list(range(len(part)))
+
+
+def test_nearest_levels_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(9, 4))
+    c[5] = c[2]  # a tie: the first name wins
+    x = rng.normal(size=(60, 4))
+    levels = spark.createDataFrame([(f"l{k}", v.tolist()) for k, v in enumerate(c)], "lvl string, m array<double>")
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(99, None)], "line_no long, vec array<double>")
+    cos = np.round(x @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, 9)
+    for size in (10**6, 8, 4):
+        monkeypatch.setattr(V, "BLOCK_ELEMENTS", size)
+        got = sorted(tuple(r) for r in V.nearest_levels(df, levels, "lvl", "m", ["line_no"]).collect())
+        assert len(got) == 60
+        for i, best, top, second, margin in got:
+            s = np.sort(cos[i])
+            assert best == f"l{cos[i].argmax()}" and top == s[-1] and second == s[-2] and margin == pytest.approx(s[-1] - s[-2])
+    one = V.nearest_levels(df, levels.where("lvl = 'l0'"), "lvl", "m", ["line_no"]).first()
+    assert one["best"] == "l0" and one["second_cos"] is None and one["margin"] is None
+    assert V.nearest_levels(df, levels.limit(0), "lvl", "m", ["line_no"]).count() == 0
