@@ -26,6 +26,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_pairs(clusters.cluster_versions(_table(spark, sf_dir, "primes"), "row_idx", "proof"))
 
 
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_versions(_table(spark, sf_dir, "primes"), "row_idx", "proof")
+
+
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "primes")
     members = clusters.cluster_versions(rows, "row_idx", "proof")
@@ -94,7 +98,7 @@ def p8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_clusters, p2_found, p2_rates, p3_found, p3_languages, p3_segments, p4_found, p5_found, p5_splits, p6_containers, p7_found, p7_leaks, p8_found, p8_units)
+        for f in (p1_found, p1_members, p1_clusters, p2_found, p2_rates, p3_found, p3_languages, p3_segments, p4_found, p5_found, p5_splits, p6_containers, p7_found, p7_leaks, p8_found, p8_units)
     }
 
 
