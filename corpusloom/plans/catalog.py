@@ -163,6 +163,16 @@ def _(s, d):
     return L.level_codes(corpus(s, d), "technique")
 
 
+@query("U2_factor_levels")
+def _(s, d):
+    c = corpus(s, d)
+    out = None
+    for f in ("technique", "direction", "language", "style"):
+        part = c.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("level")).agg(F.count("*").alias("n")).select(F.lit(f).alias("factor"), "level", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("W10_sample_index")
 def _(s, d):
     return L.sample_index(corpus(s, d).where("direction is not null").select("line_no", "direction", "language"), ["direction", "language"], "line_no")
@@ -263,6 +273,12 @@ def _(s, d):
     return B.prompt_hashes(corpus(s, d).where("direction is not null"), CRITERION)
 
 
+@query("U4_fresh_and_stale")
+def _(s, d):
+    r = _rendered(s, d)
+    return r.select("line_no", "arm", F.col("stored").eqNullSafe(F.col("prompt_rendered")).alias("fresh")).groupBy("arm").agg(F.count_if("fresh").alias("fresh"), F.count_if(~F.col("fresh")).alias("stale"))
+
+
 @query("A22_ingest_counters")
 def _(s, d):
     return B.ingest_counters(table(s, d, "proofs_primes"))
@@ -547,6 +563,25 @@ def _(s, d):
     return geometry.extremal_ranking(vectors(s, d).where("arm = 'technique' and technique is not null"), "technique").orderBy(F.desc("distance"))
 
 
+@query("J8_level_distances")
+def _(s, d):
+    m = geometry.level_means(vectors(s, d).where("arm = 'technique' and technique is not null"), "technique")
+    a, b = m.select(F.col("technique").alias("a"), F.col("mean").alias("x")), m.select(F.col("technique").alias("b"), F.col("mean").alias("y"))
+    return a.join(V.few(b), F.col("a") != F.col("b")).select("a", "b", V.norm(V.minus("x", "y")).alias("distance"))
+
+
+@query("W5_margins_by_direction")
+def _(s, d):
+    return _assigned(s, d).where("direction is not null").groupBy("direction").agg(F.count("*").alias("n"), F.avg("cos").alias("first"), F.avg("second_cos").alias("second"), F.min("margin").alias("least"))
+
+
+@query("F2_direction_technique")
+def _(s, d):
+    tab = A.crosstab(_assigned(s, d), marginals=False)
+    whole = tab.groupBy("direction").agg(F.sum("n").alias("rows"))
+    return tab.join(whole, "direction").select("direction", "best", "n", (F.col("n") / F.col("rows")).alias("share"))
+
+
 @query("L20_centroid_agreement")
 def _(s, d):
     return A.centroid_agreement(vectors(s, d).where("arm = 'technique'"))

@@ -248,6 +248,14 @@ def sql() -> dict[str, str]:
         )
         + f"SELECT count(*) AS n, {r('avg((bt = technique)::INT)', 'acc_terse')}, {r('avg((bv = technique)::INT)', 'acc_verbose')}, {r('avg((bt = bv)::INT)', 'agree')}, round(avg((bt = technique)::INT) FILTER (style = 'verbose'), 6) + 0.0 AS terse_on_verbose, round(avg((bv = technique)::INT) FILTER (style = 'terse'), 6) + 0.0 AS verbose_on_terse, {r('any_value(within)', 'within')}, {r('any_value(between)', 'between')} FROM b, wi, be"
     )
+    out["J8_level_distances"] = (
+        w(CORPUS, VECS, "m AS (SELECT technique, pos, avg(v) AS m FROM x WHERE arm = 'technique' AND technique IS NOT NULL GROUP BY ALL)")
+        + f"SELECT a.technique AS a, b.technique AS b, {r('sqrt(sum((a.m - b.m) * (a.m - b.m)))', 'distance')} FROM m a JOIN m b ON a.pos = b.pos AND a.technique <> b.technique GROUP BY a.technique, b.technique"
+    )
+    out["W5_margins_by_direction"] = w(*_assigned()) + f"SELECT direction, count(*) AS n, {r('avg(cos)', 'first')}, {r('avg(second_cos)', 'second')}, {r('min(margin)', 'least')} FROM assigned WHERE direction IS NOT NULL GROUP BY direction"
+    out["F2_direction_technique"] = w(*_assigned()) + f"SELECT direction, best, n, {r('n / sum(n) OVER (PARTITION BY direction)', 'share')} FROM (SELECT direction, best, count(*) AS n FROM assigned WHERE direction IS NOT NULL GROUP BY ALL)"
+    out["U4_fresh_and_stale"] = w(CORPUS, _RENDERED) + "SELECT arm, count(*) FILTER (prompt IS NOT DISTINCT FROM fresh) AS fresh, count(*) FILTER (prompt IS DISTINCT FROM fresh) AS stale FROM rendered GROUP BY arm"
+    out["U2_factor_levels"] = w(CORPUS) + " UNION ALL ".join(f"SELECT '{f}' AS factor, {f} AS level, count(*) AS n FROM corpus WHERE {f} IS NOT NULL GROUP BY {f}" for f in ("technique", "direction", "language", "style"))
     out["L38_cap_summary"] = (
         w(
             CORPUS, VECS, "raw AS (SELECT line_no, pos, v / sqrt(sum(v * v) OVER (PARTITION BY line_no)) AS u FROM x)", "mu AS (SELECT language, pos, avg(v) AS m FROM x GROUP BY ALL)",
