@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from corpusloom.llm.segment import BEFORE_ORDINAL, CJK, MAY_END, NEVER_END
+from corpusloom.llm.segment import BEFORE_NUMBER, BEFORE_ORDINAL, CJK, MAY_END, NEVER_END
 
 WHOLE, CUT, UNSURE = 0, 1, 2
 
@@ -112,7 +112,7 @@ def _dot(inner: str, marked: bool) -> int:
     low = word.group().lower() if word else ""
     if word and CJK.match(low[:1]):
         low = CJK.split(low)[-1]
-    if low in NEVER_END and not (len(low) == 1):
+    if len(low) > 1 and (low in NEVER_END or low in BEFORE_NUMBER):
         return CUT
     if low in MAY_END:
         return WHOLE

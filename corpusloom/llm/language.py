@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import records
-from corpusloom.llm.segment import BEFORE_ORDINAL, NEVER_END
+from corpusloom.llm.segment import BEFORE_NUMBER, BEFORE_ORDINAL, NEVER_END
 
 #: Labelled rows from which the filter is fitted, at most about this many.
 SAMPLE_ROWS = 4000
@@ -221,7 +221,7 @@ def plain_sentences(text: str) -> list[tuple[int, int]]:
                     continue
             else:
                 word = _WORD.search(text, max(0, a - 8), a)
-                if word and (word.group().lower() in NEVER_END or len(word.group()) == 1 and text[a - 2 : a - 1] in (".", " ") and word.group() in "dzhbueag"):
+                if word and (word.group().lower() in NEVER_END or word.group().lower() in BEFORE_NUMBER and text[m.end() : m.end() + 2].strip().isdigit() or len(word.group()) == 1 and text[a - 2 : a - 1] in (".", " ") and word.group() in "dzhbueag"):
                     continue
         out.append((begin, m.end()))
         begin = m.end()

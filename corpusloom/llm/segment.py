@@ -26,9 +26,9 @@ FULL_STOPS = re.compile(r"[。．｡]")
 NEVER_END = frozenset(
     """
     cf vgl vs viz resp ca circa approx aprox env ungef i.e e.g d.h z.b u.ä p.ex p.ej c.-à-d c-à-d
-    thm thms th prop props lem lemm cor def rem ex fig figs sec secs ch chap cap art eq eqs eqn vol no nos nr
-    núm num pp pág págs pag abb abschn bem kap bsp anm tab satz teor lema bzw sog vgl s.o s.u st dr mr mrs ms prof
-    hrsg bd jh mm mlle sra sr srta inc ltd सं उदा डॉ पृ
+    thm thms th prop props lem lemm cor rem fig figs chap eq eqs eqn nr
+    núm pp pág págs abb abschn bem kap bsp anm teor bzw sog s.o s.u dr mr mrs prof
+    hrsg bd jh mlle sra sr srta सं उदा डॉ पृ
     """.split()
 )
 # Abbreviations that end a sentence when the next word can open one.
@@ -37,8 +37,8 @@ MAY_END = frozenset("etc usw al a.m p.m ff ibid u.a u.s.w z.t o.ä".split())
 SPLIT_PARTS = {("d", "h"), ("z", "b"), ("z", "t"), ("u", "a"), ("u", "ä"), ("o", "ä"), ("s", "o"), ("s", "u"), ("p", "ex"), ("p", "ej"), ("i", "e"), ("e", "g"), ("a", "m"), ("p", "m"), ("a", "c"), ("v", "g")}
 # Words before a German ordinal ("nach dem 7. Schritt").
 BEFORE_ORDINAL = frozenset("der die das dem den des am im vom zum zur beim jeder jede jedes jedem jeden ein eine einem einen dieser diesem diesen".split())
-# Abbreviations that stand before a number only; elsewhere the letter is a name.
-BEFORE_NUMBER = frozenset("p s n f v l".split())
+# Abbreviations that stand before a number; elsewhere they are words or names.
+BEFORE_NUMBER = frozenset("p s n f v l no nos num art ch cap sec secs ex tab vol pag def st lema satz".split())
 # Words that go on after a quotation with its own mark ("..." was the question).
 GOES_ON = frozenset(
     """
@@ -168,8 +168,6 @@ def _dot_ends(text: str, at: int, end: int, stop: int, lowered: bool) -> bool:
         word = _WORD_BEFORE.search(text, max(0, at - 14), at)
         token = CJK.split(word.group())[-1] if word else re.split(r"[\s(\[“„«\"]", text[max(0, at - 8) : at])[-1]
         low = token.lower().strip("-")
-        if not word and low not in NEVER_END:
-            low = re.split(r"[\s(\[“„«\"(]", text[max(0, at - 8) : at])[-1].lower()
         if end == at + 1:
             if "." in low and low not in NEVER_END and low not in MAY_END:
                 # a blank is missing behind the sentence before
@@ -181,7 +179,7 @@ def _dot_ends(text: str, at: int, end: int, stop: int, lowered: bool) -> bool:
             part = follows.group().lower() if follows else ""
             if len(low) <= 2 and (low, part) in SPLIT_PARTS and text[follows.end() : follows.end() + 1] == ".":
                 return False
-            if len(low) == 1 and low in BEFORE_NUMBER and head.isdigit() and gap:
+            if low in BEFORE_NUMBER and gap and head.isdigit():
                 return False
             if low in ("h", "b", "a", "ex", "ej", "m", "g", "e", "t") and at >= 2:
                 prior = text[max(0, at - len(low) - 4) : at - len(low)].rstrip(_BLANKS)
@@ -195,8 +193,6 @@ def _dot_ends(text: str, at: int, end: int, stop: int, lowered: bool) -> bool:
                 if head.isupper() or head in "“„«\"(¿¡$":
                     return not (len(low) == 1 and token.isupper())
                 return head.isalpha() and len(low) >= 3 and "." not in token and "/" not in text[max(0, at - 12) : at]
-            if len(token) == 1 and token.isupper() and head.isupper() and not text[max(0, at - 3) : at - 1].strip(_BLANKS).endswith(("}", "$")):
-                return True
     elif not gap and head not in "“„«\"(¿¡$" and not head.isalpha():
         return False
     return head not in ",;"
