@@ -72,7 +72,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
-def copies_prompt(proof: str, prompt: str | None, share: float = 0.75, least: float = 0.4) -> bool:
+def copies_prompt(proof: str, prompt: str | None, share: float = 0.85, least: float = 0.4) -> bool:
     """Whether the answer holds nothing but the prompt or the greater part of it.
 
     Shingle containment (two tokens) rules out most answers; then the longest
