@@ -3,8 +3,9 @@
 Each text becomes the set of its sentence keys; a key survives changed case,
 spacing, markup, variable letters and single words. Texts with equal key sets
 are one node. Nodes are linked to a few anchors per key (the smallest hashes of
-the nodes that hold it), never to each other pairwise, and a link is kept when
-more than half of the keys of the shorter text recur. Markov clustering then
+the nodes that hold it), and a link is kept when more than half of the keys of
+the shorter text recur. What the anchors leave apart is then searched exactly,
+by the rarest keys of each node. Markov clustering then
 alternates sparse squaring of the column-stochastic link matrix, inflation and
 the pruning of small entries; attractor rows define the clusters and the
 members with the strongest flow represent them.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,8 @@ from corpusloom.session import checkpoint
 
 #: Anchors per sentence key.
 ANCHORS = 8
+#: Holders of one key that one task of the exact search joins with all others.
+SALT_ROWS = 2000
 
 
 def _hash(*parts: object) -> int:
@@ -64,7 +67,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame, share: float = 0.5) -> DataFrame:
+def anchored(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     """src, dst, w: verified links of each node to anchors of its keys, w above `share`.
 
     Per key the nodes fall into ANCHORS parts by hash and the smallest hash of
@@ -73,15 +76,73 @@ def links(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     grow linearly. Candidates are verified on the whole key sets.
     """
     held = nodes.select("node", F.explode("keys").alias("key"))
-    digest = F.xxhash64(F.lit("anchor"), "node")
+    digest = _digest("node")
     # the part is the same in every key, so that one node tends to anchor all keys of its text
     anchors = held.groupBy("key", F.pmod(digest, F.lit(ANCHORS)).alias("part")).agg(F.min_by("node", digest).alias("dst"), F.count("*").alias("n"))
     by_key = anchors.groupBy("key").agg(F.collect_list("dst").alias("anchors"), F.sum("n").alias("n")).where("n > 1")
-    candidates = held.join(by_key, "key").select(F.col("node").alias("src"), F.explode("anchors").alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("seen"))
+    candidates = held.join(by_key, "key").select(F.col("node").alias("src"), F.explode("anchors").alias("dst")).where("src <> dst").distinct()
+    return _verified(candidates, nodes, share)
+
+
+def _digest(col: str) -> Column:
+    return F.xxhash64(F.lit("anchor"), col)
+
+
+def _verified(candidates: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """The candidates (src, dst, ...) whose keys recur in more than `share` of the shorter node, with w."""
     sets = nodes.select("node", "keys")
     both = candidates.join(sets.select(F.col("node").alias("src"), F.col("keys").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("keys").alias("b")), "dst")
     common = F.size(F.array_intersect("a", "b"))
-    return both.select("src", "dst", (common / F.least(F.size("a"), F.size("b"))).alias("w")).where(F.col("w") > share)
+    return both.select(*candidates.columns, (common / F.least(F.size("a"), F.size("b"))).alias("w")).where(F.col("w") > share)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp (the smallest node reached) for all nodes of the edges (src, dst); ends when nothing changes."""
+    both = checkpoint(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = checkpoint(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near")).select("node", F.least("node", "near").alias("comp")))
+    total = None
+    while True:
+        near = both.join(label.select(F.col("node").alias("dst"), "comp"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("near"))
+        low = label.join(near, "node").select("node", F.least("comp", "near").alias("comp"))
+        hop = label.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
+        label = checkpoint(low.join(hop, "comp").select("node", F.least("comp", "further").alias("comp")))
+        # labels only fall, so an equal sum means that none changed
+        now = label.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return label
+        total = now
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, share: float = 0.5) -> DataFrame:
+    """src, dst, w: links between the components of `edges`, from an exact search over all pairs.
+
+    More than `share` of the shorter node's keys recur, so one of its
+    n - floor(share * n) rarest keys does: these are joined with all keys of
+    the nodes that are not shorter. Keys whose holders are all in one component
+    cannot join two and are left out; a key held by very many nodes is salted.
+    Of the verified links of a node into another component those to the
+    component's anchors among them are kept, so that no column grows with the
+    component; what is left out joins nodes that are connected already.
+    """
+    comps = components(edges)
+    held = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    by_key = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    by_key = by_key.select("key", "n", (F.col("low") < F.col("high")).alias("open"))
+    ranked = held.join(by_key, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "key")))
+    ranked = checkpoint(ranked.where("open").select("node", "comp", "size", "key", "rank", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts")))
+    rare = ranked.where(F.col("rank") <= F.col("size") - F.floor(F.col("size") * share))
+    rare = rare.select(F.col("node").alias("src"), F.col("comp").alias("src_comp"), F.col("size").alias("src_size"), "key", F.pmod(_digest("node"), F.col("parts")).cast("int").alias("salt"))
+    whole = ranked.select(F.col("node").alias("dst"), F.col("comp").alias("dst_comp"), F.col("size").alias("dst_size"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    met = rare.join(whole, ["key", "salt"]).where("src_comp <> dst_comp and src_size <= dst_size").select("src", "dst", "dst_comp").distinct()
+    found = _verified(met, nodes, share).withColumn("part", F.pmod(_digest("dst"), F.lit(ANCHORS)))
+    first = F.min_by(F.struct("dst", "w"), _digest("dst")).alias("d")
+    return found.groupBy("src", "dst_comp", "part").agg(first).select("src", "d.dst", "d.w")
+
+
+def links(nodes: DataFrame, share: float = 0.5) -> DataFrame:
+    """src, dst, w: verified links that connect every two nodes that all pairs above `share` connect."""
+    near = checkpoint(anchored(nodes, share))
+    return near.unionByName(bridges(nodes, near, share))
 
 
 def _columns(entries: DataFrame, least: float, power: float) -> DataFrame:
@@ -90,11 +151,14 @@ def _columns(entries: DataFrame, least: float, power: float) -> DataFrame:
     A column keeps at most 1/least entries, so it fits one row.
     """
     cols = entries.groupBy("j").agg(F.collect_list(F.struct("i", F.pow("m", F.lit(power)).alias("m"))).alias("col"))
+    # a column of many equal entries, each under the floor, keeps its own
+    own = F.filter("col", lambda e: e["i"] == F.col("j"))
     for floor in (least, 0.0):
         # the sum is taken once per column, not per entry
         cols = cols.withColumn("s", F.aggregate("col", F.lit(0.0), lambda t, e: t + e["m"]))
         shares = F.transform(F.arrays_zip("col", F.array_repeat("s", F.size("col")).alias("s")), lambda z: F.struct(z["col"]["i"].alias("i"), (z["col"]["m"] / z["s"]).alias("m")))
-        cols = cols.select("j", F.filter(shares, lambda e: e["m"] >= floor).alias("col"))
+        kept = F.filter(shares, lambda e: e["m"] >= floor)
+        cols = cols.select("j", F.when(F.size(kept) > 0, kept).otherwise(own).alias("col"))
     return cols
 
 
@@ -102,7 +166,7 @@ def markov_clusters(edges: DataFrame, inflation: float = 1.6, least: float = 0.0
     """node, cluster, flow for all nodes that have links (src, dst, w).
 
     Column src of the matrix holds src's own weight and its links, so a column
-    never holds more entries than a node has anchors. Each step squares by one
+    holds no more entries than a node has anchors, in its keys and in other components. Each step squares by one
     join on the middle index (a hot anchor's row is split by adaptive skew
     handling) and one exchange on the column, after which sums, inflation and
     pruning stay local, and ends in a checkpoint. The loop ends when every column has settled
@@ -144,7 +208,7 @@ def cluster_versions(df: DataFrame, id_col: str = "row_idx", text_col: str = "pr
     copies cost one row each. Repeated ids give repeated rows.
     """
     rows = checkpoint(keyed(df, id_col, text_col))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))
+    nodes = checkpoint(rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys")))
     found = checkpoint(markov_clusters(links(nodes)))
     joined = rows.select(id_col, "node").join(found, "node", "left")
     alone = F.coalesce(F.col("node"), F.xxhash64(F.lit("alone"), F.col(id_col)))

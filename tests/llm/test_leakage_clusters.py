@@ -138,3 +138,32 @@ def test_entry_has_the_queries(spark, data_dir):
     assert {n.split("_")[0] for n in names} == {f"p{k}" for k in range(1, 9)}
     for name in ("p2_rates", "p3_segments", "p4_found", "p5_splits", "p6_containers", "p7_found", "p8_found"):
         assert e.queries()[name](spark, data_dir).count() > 0, name
+
+
+def test_hot_keys_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "SALT_ROWS", 50, raising=False)
+    rng = random.Random(11)
+    hot = range(1, 31)
+    sets = {k: [*rng.sample(hot, 2), *range(1000 * k, 1000 * k + 4)] for k in range(1, 601)}  # hot keys only in the minority
+    for k in range(601, 681, 2):
+        shared = rng.sample(hot, 3)
+        sets[k], sets[k + 1] = [*shared, 1000 * k, 1000 * k + 1], [*shared, 1000 * k + 2, 1000 * k + 3]
+    root = {k: k for k in sets}
+    got_root = dict(root)
+
+    def find(r, x):
+        while r[x] != x:
+            x = r[x]
+        return x
+
+    held = {k: set(v) for k, v in sets.items()}
+    for a, b in itertools.combinations(sets, 2):
+        if 2 * len(held[a] & held[b]) > min(len(held[a]), len(held[b])):
+            root[find(root, a)] = find(root, b)
+    nodes = spark.createDataFrame(list(sets.items()), "node long, keys array<long>")
+    for r in clusters.links(nodes).collect():
+        assert 2 * len(held[r.src] & held[r.dst]) > min(len(held[r.src]), len(held[r.dst]))
+        got_root[find(got_root, r.src)] = find(got_root, r.dst)
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if find(root, a) == find(root, b)]
+    assert len(pairs) >= 40
+    assert all(find(got_root, a) == find(got_root, b) for a, b in pairs)
