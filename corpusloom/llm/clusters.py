@@ -1,7 +1,7 @@
 """Clusters of versions of one text by Markov clustering.
 
 Each text becomes the set of its sentence keys; a key survives changed case,
-spacing, markup, variable letters and single words. Texts with equal key sets
+spacing, markup and variable letters, and marks beside it single words. Texts with equal key sets
 are one node. Nodes are linked to a few anchors per key (the smallest hashes of
 the nodes that hold it), and a link is kept when more than half of the keys of
 the shorter text recur. What the anchors leave apart is then searched exactly,
@@ -34,39 +34,68 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-def sentence_keys(text: str | None) -> list[int]:
-    """Distinct 64-bit keys of the text's sentences, sorted.
+def sentence_marks(text: str | None) -> dict[int, list[int]]:
+    """The 64-bit keys of the text's sentences, each with the marks by which it recurs.
 
     A sentence with telling numbers is known by its numbers and its number of
-    words, so a replaced word does not change the key; another sentence by all
-    of its folded words.
+    words, so replaced words do not change the key; the counts next to its own
+    are marks, so that it recurs with a word more or less. Another sentence is
+    known by all of its folded words; what is left of it without one word (in
+    spaceless scripts, up to four characters) other than a number is a mark, so
+    that two sentences share one when a word is replaced, added or dropped. The
+    key is the first mark. A quarter of the words may go at most.
     """
-    keys = set()
+    marks = {}
     for a, b in segment.units(text):
         words = fold.words(text[a:b])
         if not words:
             continue
         numbers = [w for w in words if w.isdigit()]
+        n = len(words)
+        dense = [bool(segment.CJK.match(w)) for w in words]
         if sum(map(len, numbers)) >= 4 and len(numbers) >= 2:
-            keys.add(_hash("n", len(words), *numbers))
+            found = [_hash("n", n + k, *numbers) for k in range(3 if any(dense) else 2)]
         else:
-            keys.add(_hash("w", *words))
-    return sorted(keys)
+            found = [_hash("w", *words)]
+            for k in range(1, min(4, n // 4) + 1):
+                for i in range(n - k + 1):
+                    if all(dense[i : i + k]) or k == 1 and not words[i].isdigit():
+                        found.append(_hash("w", *words[:i], *words[i + k :]))
+        marks[found[0]] = list(dict.fromkeys(found))
+    return marks
+
+
+def sentence_keys(text: str | None) -> list[int]:
+    """Distinct 64-bit keys of the text's sentences, sorted."""
+    return sorted(sentence_marks(text))
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (hash of the key set, null without keys), keys. A narrow map."""
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """id, node (hash of the key set, null without keys), keys, marks (of each key). A narrow map."""
+    keys_type = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("keys", keys_type), T.StructField("marks", T.ArrayType(keys_type))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sentence_keys(t) for t in batch.column(1).to_pylist()]
+            marks = [sorted(sentence_marks(t).items()) for t in batch.column(1).to_pylist()]
+            keys = [[k for k, _ in m] for m in marks]
             nodes = [_hash(*k) if k else None for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+            of_keys = pa.array([[x for _, x in m] for m in marks], pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), of_keys], names=schema.names)
 
     return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(run, schema)
 
 
+def shared_marks(nodes: DataFrame) -> DataFrame:
+    """node, keys, marks: only those marks beside the key that another key has too."""
+    held = nodes.select("node", F.explode(F.arrays_zip("keys", "marks")).alias("s")).select("node", F.col("s.keys").alias("key"), F.col("s.marks").alias("marks"))
+    each = held.groupBy("key").agg(F.first("marks").alias("marks")).select("key", F.explode("marks").alias("mark"))
+    shared = each.groupBy("mark").agg(F.collect_set("key").alias("holders")).where(F.size("holders") > 1)
+    more = shared.select("mark", F.explode("holders").alias("key")).where("mark <> key").groupBy("key").agg(F.collect_list("mark").alias("more"))
+    whole = held.select("node", "key").join(more, "key", "left").select("node", "key", F.concat(F.array("key"), F.coalesce("more", F.array().cast("array<bigint>"))).alias("marks"))
+    return whole.groupBy("node").agg(F.collect_list(F.struct("key", "marks")).alias("s")).select("node", F.col("s.key").alias("keys"), F.col("s.marks").alias("marks"))
+
+
 def anchored(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     """src, dst, w: verified links of each node to anchors of its keys, w above `share`.
 
@@ -75,7 +104,7 @@ def anchored(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     by very many nodes gives each of them ANCHORS candidates, so candidates
     grow linearly. Candidates are verified on the whole key sets.
     """
-    held = nodes.select("node", F.explode("keys").alias("key"))
+    held = nodes.select("node", F.explode(F.array_distinct(F.flatten("marks"))).alias("key"))
     digest = _digest("node")
     # the part is the same in every key, so that one node tends to anchor all keys of its text
     anchors = held.groupBy("key", F.pmod(digest, F.lit(ANCHORS)).alias("part")).agg(F.min_by("node", digest).alias("dst"), F.count("*").alias("n"))
@@ -89,11 +118,18 @@ def _digest(col: str) -> Column:
 
 
 def _verified(candidates: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """The candidates (src, dst, ...) whose keys recur in more than `share` of the shorter node, with w."""
-    sets = nodes.select("node", "keys")
-    both = candidates.join(sets.select(F.col("node").alias("src"), F.col("keys").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("keys").alias("b")), "dst")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.select(*candidates.columns, (common / F.least(F.size("a"), F.size("b"))).alias("w")).where(F.col("w") > share)
+    """The candidates (src, dst, ...) of which more than `share` of the shorter node's sentences recur, with w.
+
+    A sentence recurs when the other node has one of its marks.
+    """
+    sets = nodes.select("node", F.struct(F.size("keys").alias("n"), "node", "keys", "marks", F.flatten("marks").alias("all")).alias("s"))
+    both = candidates.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+    first = F.struct("a.n", "a.node") <= F.struct("b.n", "b.node")
+    both = both.select(*candidates.columns, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    # without marks beside the keys on either side only the keys can recur
+    plain = (F.size("a.all") == F.col("a.n")) & (F.size("b.all") == F.col("b.n"))
+    recur = F.when(plain, F.size(F.array_intersect("a.keys", "b.keys"))).otherwise(F.size(F.filter("a.marks", lambda m: F.arrays_overlap(m, F.col("b.all")))))
+    return both.select(*candidates.columns, (recur / F.col("a.n")).alias("w")).where(F.col("w") > share)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -116,19 +152,22 @@ def components(edges: DataFrame) -> DataFrame:
 def bridges(nodes: DataFrame, edges: DataFrame, share: float = 0.5) -> DataFrame:
     """src, dst, w: links between the components of `edges`, from an exact search over all pairs.
 
-    More than `share` of the shorter node's keys recur, so one of its
-    n - floor(share * n) rarest keys does: these are joined with all keys of
-    the nodes that are not shorter. Keys whose holders are all in one component
-    cannot join two and are left out; a key held by very many nodes is salted.
-    Of the verified links of a node into another component those to the
-    component's anchors among them are kept, so that no column grows with the
+    More than `share` of the shorter node's sentences recur, so one of its
+    n - floor(share * n) rarest does: the marks of these are joined with all
+    marks of the nodes that are not shorter. Marks whose holders are all in one
+    component cannot join two and are left out; a mark held by very many nodes
+    is salted. Of the verified links of a node into another component those to
+    the component's anchors among them are kept, so that no column grows with the
     component; what is left out joins nodes that are connected already.
     """
     comps = components(edges)
-    held = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    held = nodes.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.size("keys").alias("size"), F.posexplode("marks").alias("no", "marks"))
+    held = held.select("node", "comp", "size", "no", F.explode("marks").alias("key"))
     by_key = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     by_key = by_key.select("key", "n", (F.col("low") < F.col("high")).alias("open"))
-    ranked = held.join(by_key, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "key")))
+    # a sentence is as rare as its commonest mark
+    counted = held.join(by_key, "key").withColumn("most", F.max("n").over(Window.partitionBy("node", "no")))
+    ranked = counted.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy("most", "no")))
     ranked = checkpoint(ranked.where("open").select("node", "comp", "size", "key", "rank", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts")))
     rare = ranked.where(F.col("rank") <= F.col("size") - F.floor(F.col("size") * share))
     rare = rare.select(F.col("node").alias("src"), F.col("comp").alias("src_comp"), F.col("size").alias("src_size"), "key", F.pmod(_digest("node"), F.col("parts")).cast("int").alias("salt"))
@@ -141,6 +180,8 @@ def bridges(nodes: DataFrame, edges: DataFrame, share: float = 0.5) -> DataFrame
 
 def links(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     """src, dst, w: verified links that connect every two nodes that all pairs above `share` connect."""
+    if "marks" not in nodes.columns:
+        nodes = nodes.withColumn("marks", F.transform("keys", lambda k: F.array(k)))
     near = checkpoint(anchored(nodes, share))
     return near.unionByName(bridges(nodes, near, share))
 
@@ -208,7 +249,7 @@ def cluster_versions(df: DataFrame, id_col: str = "row_idx", text_col: str = "pr
     copies cost one row each. Repeated ids give repeated rows.
     """
     rows = checkpoint(keyed(df, id_col, text_col))
-    nodes = checkpoint(rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys")))
+    nodes = checkpoint(shared_marks(rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks"))))
     found = checkpoint(markov_clusters(links(nodes)))
     joined = rows.select(id_col, "node").join(found, "node", "left")
     alone = F.coalesce(F.col("node"), F.xxhash64(F.lit("alone"), F.col(id_col)))

@@ -167,3 +167,16 @@ def test_hot_keys_are_searched_exactly(spark, monkeypatch):
     pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if find(root, a) == find(root, b)]
     assert len(pairs) >= 40
     assert all(find(got_root, a) == find(got_root, b) for a, b in pairs)
+
+
+def test_number_poor_sentences_recur_with_one_word_changed(spark):
+    base = ["Hence the remainder of every proper divisor lies outside the sieve.", "Finally we may assume that the coprime pair is minimal here.", "对每个数归纳可知更大的数也成立没有更小的解。"]
+    worded = ["Hence the residue of every proper divisor lies outside the sieve.", "Finally we may now assume that the coprime pair is minimal here.", "对每个数归纳可知更大的整数也成立没有更小的解。"]
+    rich = ["The sieve 123 meets 456 lists.", "The bound 777 is 888."]
+    more = ["The sieve 123 meets exactly 456 lists.", "The bound 777 is 888 again."]
+    other = ["Hence the order of every small prime lies outside the sieve 7.", "Finally no one may assume that this coprime pair is small here.", "由此可见剩余类的上界决定素因子。"]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((base, worded, other, rich, more))], "row_idx long, proof string")
+    got = {tuple(r) for r in clusters.cluster_pairs(clusters.cluster_versions(df)).collect()}
+    assert got == {(0, 1), (3, 4)}
+    marks = [set().union(*clusters.sentence_marks(x).values()) for x in ("The sum is 5 for the pair.", "The sum is 6 for the pair.")]
+    assert not marks[0] & marks[1]  # numbers tell sentences apart
