@@ -5,14 +5,17 @@ pattern; its q-grams that are rare among the items are indexed with their
 offsets. A document's q-grams are looked up in one vectorised pass; hits of a
 pattern are counted in overlapping diagonal bands, and by the q-gram lemma a
 pattern of r indexed q-grams within its edit budget e keeps at least r - q*e of
-them in one band. Items whose surviving patterns make up half of the item are
-verified pattern by pattern with a banded alignment; the numbers of a sentence
-must recur as well, since they tell sentences of one wording apart.
+them in one band. With this budget that bound says nothing, so the bands only
+show where to align first and exclude no pattern. The numbers of a sentence
+must recur, since they tell sentences of one wording apart; an item of which the
+sentences whose numbers a document has make up half is verified, each sentence
+with a banded alignment or else with one of all places that have its numbers.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,18 +50,16 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def within(pattern: str, text: str, budget: int) -> bool:
-    """Whether some substring of text is within `budget` edits of pattern (bit-parallel columns)."""
+def ends(pattern: str, text: str, budget: int) -> Iterator[int]:
+    """Ends (just behind) of the substrings of text within `budget` edits of pattern (bit-parallel columns)."""
     m = len(pattern)
-    if m == 0:
-        return True
     where: dict[str, int] = {}
     for i, ch in enumerate(pattern):
         where[ch] = where.get(ch, 0) | 1 << i
     full = (1 << m) - 1
     last = 1 << (m - 1)
     pv, mv, score = full, 0, m
-    for ch in text:
+    for at, ch in enumerate(text, 1):
         eq = where.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -73,8 +74,12 @@ def within(pattern: str, text: str, budget: int) -> bool:
         pv = mh | (~(xv | ph) & full)
         mv = ph & xv
         if score <= budget:
-            return True
-    return False
+            yield at
+
+
+def within(pattern: str, text: str, budget: int) -> bool:
+    """Whether some substring of text is within `budget` edits of pattern."""
+    return not pattern or next(ends(pattern, text, budget), None) is not None
 
 
 @dataclass
@@ -94,6 +99,8 @@ class ItemIndex:
     first: np.ndarray
     gram_pattern: np.ndarray
     gram_offset: np.ndarray
+    need: np.ndarray
+    having: dict[str, tuple[np.ndarray, np.ndarray]]
 
 
 def build_index(items: list[tuple], rare: int = 3, least_grams: int = 10) -> ItemIndex:
@@ -135,7 +142,18 @@ def build_index(items: list[tuple], rare: int = 3, least_grams: int = 10) -> Ite
     values, first = np.unique(grams, return_index=True)
     gp = np.concatenate(keep_pattern)[order] if keep_pattern else np.zeros(0, np.int64)
     go = np.concatenate(keep_offset)[order] if keep_offset else np.zeros(0, np.int64)
-    return ItemIndex(ids, np.asarray(owner, np.int64), patterns, [fold.numbers(p) for p in patterns], np.asarray([len(p) for p in patterns], np.int64), np.asarray(budgets, np.int64), np.asarray(least, np.int64), np.asarray(total, np.int64), slots, values, np.append(first, len(grams)), gp, go)
+    numbers = [fold.numbers(p) for p in patterns]
+    having: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for k, wanted in enumerate(numbers):
+        for value, times in Counter(wanted).items():
+            having[value].append((k, times))
+    need = np.asarray([_needed(wanted) for wanted in numbers], np.int64)
+    return ItemIndex(ids, np.asarray(owner, np.int64), patterns, numbers, np.asarray([len(p) for p in patterns], np.int64), np.asarray(budgets, np.int64), np.asarray(least, np.int64), np.asarray(total, np.int64), slots, values, np.append(first, len(grams)), gp, go, need, {v: tuple(np.asarray(x).T) for v, x in having.items()})
+
+
+def _needed(wanted: list[str]) -> int:
+    """How many of a sentence's numbers must recur."""
+    return len(wanted) - (1 if len(wanted) >= 3 else 0)
 
 
 def _in_order(wanted: list[str], found: list[str]) -> int:
@@ -155,17 +173,50 @@ def matches(index: ItemIndex, pattern: int, text: str, diagonal: int) -> bool:
     a, b = max(0, diagonal - 2 * e - 8), min(len(text), diagonal + m + 2 * e + 8)
     window = text[a:b]
     wanted = index.numbers[pattern]
-    if wanted:
-        spare = 1 if len(wanted) >= 3 else 0
-        if _in_order(wanted, fold.numbers(window)) < len(wanted) - spare:
-            return False
+    if wanted and _in_order(wanted, fold.numbers(window)) < _needed(wanted):
+        return False
     return within(index.patterns[pattern], window, e)
 
 
+def places(index: ItemIndex, pattern: int, size: int, hits: list[tuple[int, str]]) -> list[list[int]]:
+    """Spans of a folded text of this size around which enough of the pattern's numbers (`hits`: start, digits) lie together."""
+    reach = int(index.length[pattern] + 4 * index.budget[pattern]) + 16  # the span that matches() aligns
+    wanted, need = index.numbers[pattern], int(index.need[pattern])
+    if not wanted:
+        return [[0, size]]
+    out: list[list[int]] = []
+    starts = [s for s, _ in hits]
+    for k, at in enumerate(starts):
+        j = bisect_left(starts, at + reach)
+        if j - k >= need and (Counter(wanted) & Counter(v for _, v in hits[k:j])).total() >= need:
+            # the span that begins with this number holds the others behind it
+            a, b = max(0, hits[k + need - 1][0] - reach), min(size, at + reach)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+    return out
+
+
+def found_anywhere(index: ItemIndex, pattern: int, text: str, spans: list[list[int]], hits: list[tuple[int, str]]) -> bool:
+    """Whether the pattern is held in one of the spans of the folded text with its numbers in order."""
+    m, e = int(index.length[pattern]), int(index.budget[pattern])
+    wanted, need = index.numbers[pattern], int(index.need[pattern])
+    for a, b in spans:
+        for end in ends(index.patterns[pattern], text[a:b], e):
+            if not wanted:
+                return True
+            lo, hi = a + end - m - 2 * e - 8, a + end + 2 * e + 8
+            near = [v for s, v in hits[bisect_left(hits, (lo, "")) : bisect_left(hits, (hi, ""))] if s + len(v) <= hi]
+            if _in_order(wanted, near) >= need:
+                return True
+    return False
+
+
 def search(index: ItemIndex, texts: list[str | None], share: float = 0.5) -> list[tuple[int, int, float]]:
     """(text number, item number, share held) for a batch of documents."""
     out: list[tuple[int, int, float]] = []
-    if not len(index.grams):
+    if not index.patterns:
         return out
     folded = [fold.letters(t) if t else "" for t in texts]
     group: list[int] = []
@@ -180,21 +231,22 @@ def search(index: ItemIndex, texts: list[str | None], share: float = 0.5) -> lis
     return out
 
 
-def _search_group(index: ItemIndex, folded: list[str], group: list[int], share: float, out: list) -> None:
+def _bands(index: ItemIndex, folded: list[str], group: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """Per number in the group * patterns + pattern: q-gram hits and diagonal of each band with many hits."""
     joined = ("\n" * Q).join(folded[i] for i in group)
     starts = np.cumsum([0] + [len(folded[i]) + Q for i in group])[:-1]
     h = _gram_hashes(_points(joined))
     if not len(h):
-        return
+        return {}
     pos = np.flatnonzero(index.slots[(h & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)])
     if not len(pos):
-        return
+        return {}
     at = np.searchsorted(index.grams, h[pos])
     at[at == len(index.grams)] = 0
     hit = index.grams[at] == h[pos]
     pos, at = pos[hit], at[hit]
     if not len(pos):
-        return
+        return {}
     lo, hi = index.first[at], index.first[at + 1]
     n = hi - lo
     rep = np.repeat(np.arange(len(pos)), n)
@@ -204,28 +256,62 @@ def _search_group(index: ItemIndex, folded: list[str], group: list[int], share:
     diagonal = pos[rep] - starts[doc] - index.gram_offset[entry]
     width = np.maximum(2 * index.budget[pattern], 8)
     base = doc * np.int64(len(index.patterns)) + pattern
-    best: dict[int, tuple[int, int]] = {}
+    bands: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for shift in (0, 1):  # overlapping bands
         band = (diagonal + (width // 2) * shift) // width
         key = base * np.int64(1 << 24) + (band + (1 << 23))
         values, firsts, counts = np.unique(key, return_index=True, return_counts=True)
         enough = counts >= index.least[pattern[firsts]]
         for f, c in zip(firsts[enough].tolist(), counts[enough].tolist()):
-            b = int(base[f])
-            if b not in best or best[b][0] < c:
-                best[b] = (c, int(diagonal[f]))
-    by_item: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for b, (_, d) in best.items():
-        g, p = divmod(b, len(index.patterns))
-        by_item[g, int(index.pattern_item[p])].append((p, d))
-    for (g, k), found in by_item.items():
-        total = int(index.total[k])
-        if sum(int(index.length[p]) for p, _ in found) < share * total:
+            bands[int(base[f])].append((c, int(diagonal[f])))
+    return bands
+
+
+def _search_group(index: ItemIndex, folded: list[str], group: list[int], share: float, out: list) -> None:
+    if not group:
+        return
+    bands = _bands(index, folded, group)
+    patterns, items = len(index.patterns), len(index.item_ids)
+    own = np.argsort(index.pattern_item, kind="stable")
+    bounds = np.searchsorted(index.pattern_item[own], np.arange(items + 1))
+    for g, row in enumerate(group):
+        text = folded[row]
+        if not text:
             continue
-        text = folded[group[g]]
-        held = sum(int(index.length[p]) for p, d in found if matches(index, p, text, d))
-        if held >= share * total:
-            out.append((group[g], k, round(held / total, 6)))
+        runs: dict[str, list[int]] = defaultdict(list)
+        for m in fold._NUMBER.finditer(text):
+            if m.group() in index.having:
+                runs[m.group()].append(m.start())
+        seen = [(*index.having[v], len(at)) for v, at in runs.items()]
+        got = np.zeros(patterns)
+        if seen:
+            got = np.bincount(np.concatenate([p for p, _, _ in seen]), np.concatenate([np.minimum(t, n) for _, t, n in seen]), patterns)
+        open_ = got >= index.need
+        most = np.bincount(index.pattern_item, index.length * open_, items)
+        for k in np.flatnonzero((most >= share * index.total) & (index.total > 0)).tolist():
+            total, left, held = int(index.total[k]), int(most[k]), 0
+            spots = {}
+            for p in own[bounds[k] : bounds[k + 1]].tolist():
+                if open_[p]:
+                    hits = sorted((at, v) for v in set(index.numbers[p]) for at in runs.get(v, ()))
+                    if spans := places(index, p, len(text), hits):
+                        spots[p] = spans, hits
+                    else:
+                        left -= int(index.length[p])
+            if left < share * total:
+                continue
+            # sentences with the most numbers first: they exclude soonest
+            for p in sorted(spots, key=lambda p: -index.need[p]):
+                size = int(index.length[p])
+                at = max(bands.get(g * patterns + p, ()), default=None)
+                if at and matches(index, p, text, at[1]) or found_anywhere(index, p, text, *spots[p]):
+                    held += size
+                else:
+                    left -= size
+                if left < share * total:
+                    break
+            else:
+                out.append((row, k, round(held / total, 6)))
 
 
 def leaked_items(docs: DataFrame, items: list[tuple], id_col: str = "doc_id", text_col: str = "text", item_name: str = "item_id", share: float = 0.5) -> DataFrame:

@@ -180,3 +180,13 @@ def test_number_poor_sentences_recur_with_one_word_changed(spark):
     assert got == {(0, 1), (3, 4)}
     marks = [set().union(*clusters.sentence_marks(x).values()) for x in ("The sum is 5 for the pair.", "The sum is 6 for the pair.")]
     assert not marks[0] & marks[1]  # numbers tell sentences apart
+
+
+def test_leaks_without_an_intact_q_gram():
+    items = [(1, "n=12 ok. m=34 no."), (2, "ab."), (3, "The prime 512 divides the chain 77. The bound 901 exceeds the sum 38.")]
+    spoilt = "Thx prixe 512 dixides txe chxin 77. Txe boxnd 901 exceexs thx sum 38."
+    docs = [spoilt, "x = 12 ok, y = 34 no", "zzab zz", "The prime 513 divides the chain 77. The bound 901 exceeds the sum 39.", ""]
+    index = leakage.build_index(items)
+    got = {(a, index.item_ids[b]) for a, b, _ in leakage.search(index, docs)}
+    assert {(0, 3), (1, 1), (2, 2)} <= got
+    assert not {(3, 3), (3, 1), (4, 1)} & got
