@@ -352,6 +352,13 @@ def _(s, d):
     return corpora.read_jsonl(s, out).groupBy("language").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
+@query("S7_masked_sink_all")
+def _(s, d):
+    path = corpora.shared_folder(s) + "/corpus.jsonl"
+    out = corpora.write_masked(_masked_all(s, d).select("id", "arm", "language", F.col("masked").alias("proof")), path)
+    return corpora.read_jsonl(s, out).groupBy("language").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+
+
 @query("S2_matrix_scan")
 def _(s, d):
     return table(s, d, "embeddings").select("vec_id", F.size("embedding").alias("dim"), V.norm(F.col("embedding").cast("array<double>")).alias("norm"))
@@ -681,6 +688,31 @@ def _(s, d):
     return L.retained_length(_masked(s, d).where("technique is not null"), "masked", lexical.PLACEHOLDER, ["technique"])
 
 
+def _masked_all(s, d):
+    """Every record, masked with its language's terms; languages without terms stay as they are."""
+    return lexical.mask_by_language(corpus(s, d), MASK_TERMS, DENSE_SCRIPTS)
+
+
+@query("L31_masked_texts_all")
+def _(s, d):
+    return _masked_all(s, d).select("line_no", F.md5("masked").alias("masked"))
+
+
+@query("A24_text_kept_all")
+def _(s, d):
+    return L.retained_length(_masked_all(s, d), "masked", lexical.PLACEHOLDER, ["language"])
+
+
+@query("D7_placeholder_leak_all")
+def _(s, d):
+    return lexical.leak_check(_masked_all(s, d), ["language"])
+
+
+@query("D8_kept_by_technique_all")
+def _(s, d):
+    return L.retained_length(_masked_all(s, d).where("technique is not null"), "masked", lexical.PLACEHOLDER, ["technique"])
+
+
 def _counts(s, d):
     z = _z(s, d, spread="pop", zero_to_one=True)
     return lexical.invoked_counts(z, table(s, d, "registry"), ["line_no", "arm", "technique", "direction", "language", "chars", "z"])

@@ -113,3 +113,31 @@ def test_spearman_and_threshold(spark):
     assert lexical.spearman(df.limit(0), "invoked", "chars").first()["n"] is None
     b = lexical.best_threshold(df, F.col("y")).first()
     assert b["accuracy"] == pytest.approx(0.75)
+
+
+def test_every_record_is_masked(spark, data_dir):
+    import re
+    from collections import Counter
+
+    from corpusloom.plans import catalog
+    from corpusloom.plans.corpus import DENSE_SCRIPTS, corpus
+
+    rows = corpus(spark, data_dir).select("line_no", "language", "technique", "proof").collect()
+
+    def kept(language, text):
+        for t in sorted(catalog.MASK_TERMS.get(language, []), key=lambda t: (-len(t), t)) if language not in DENSE_SCRIPTS else catalog.MASK_TERMS[language]:
+            text = text.replace(t, "\0") if language in DENSE_SCRIPTS else re.sub(rf"(?<!\w){re.escape(t)}(?!\w)", "\0", text, flags=re.I)
+        return len(text) - text.count("\0")
+
+    full = [r for r in rows if r.proof is not None]
+    got = {r.language: (r.n, r.kept) for r in catalog.queries()["A24_text_kept_all"](spark, data_dir).collect()}
+    assert {k: n for k, (n, _) in got.items()} == Counter(r.language for r in full)
+    for language, (_, share) in got.items():
+        mine = [r for r in full if r.language == language]
+        assert abs(share - sum(kept(language, r.proof) for r in mine) / sum(len(r.proof) for r in mine)) < 1e-5
+    assert catalog.queries()["L31_masked_texts_all"](spark, data_dir).count() == len(rows)
+    assert catalog.queries()["D7_placeholder_leak_all"](spark, data_dir).count() == len({r.language for r in rows})
+    by_technique = catalog.queries()["D8_kept_by_technique_all"](spark, data_dir).collect()
+    assert sum(r.n for r in by_technique) == sum(r.technique is not None for r in full)
+    sink = catalog.queries()["S7_masked_sink_all"](spark, data_dir).collect()
+    assert sum(r.n for r in sink) == len(rows)
