@@ -345,7 +345,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
     spaceless = dense > 0 and dense * 4 > latin
     bare = re.sub(r"「[^」]*」|“[^”]*”", "", text) if spaceless else text
     writes_stops = not spaceless or bool(FULL_STOPS.search(bare))
-    lowered = not any(map(str.isupper, re.sub(r"\$[^$]*\$|[^\W\d_]_\{?\d+\}?|\b[^\W\d_]\b", "", text[:2000])))
+    lowered = not any(map(str.isupper, re.sub(r"\$[^$]*\$|[^\W\d_]_\{?\d+\}?|\b[^\W\d_]\b", "", text)))
     lines = []
     at = 0
     for line in text.split("\n"):

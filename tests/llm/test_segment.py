@@ -71,3 +71,10 @@ def test_operator(spark):
     got = [tuple(r) for r in segment.sentence_units(df).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 0, 2), (1, 1, 3, 5), (1, 0, 0, 2), (1, 1, 3, 5), (None, 0, 0, 1)], key=str)
     assert segment.sentence_units(df.limit(0)).count() == 0
+
+
+def test_capitals_behind_the_first_2000_characters_count():
+    lower = "the sum of the list is even for every prime. " * 50
+    assert len(lower) > 2000
+    later = ["We use the sieve etc. and so it goes.", "The bound is even."]
+    assert cut(lower + " ".join(later))[-2:] == later
