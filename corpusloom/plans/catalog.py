@@ -512,7 +512,7 @@ def _(s, d):
 
 @query("L8_null_from_margins")
 def _(s, d):
-    return A.null_from_margins(_assigned(s, d), "direction", "best", 2000)
+    return A.null_from_margins(_assigned(s, d), "direction", "best", 20_000)
 
 
 @query("L9_length_by_assigned")
@@ -791,7 +791,7 @@ def _(s, d):
 
 @query("L18_angle_null")
 def _(s, d):
-    return geometry.angle_null(vectors(s, d).where("arm = 'technique'"), "technique", "language", ["language", "style"], 100)
+    return geometry.angle_null(vectors(s, d).where("arm = 'technique'"), "technique", "language", ["language", "style"], 200)
 
 
 @query("L13_hull")
@@ -801,7 +801,7 @@ def _(s, d):
 
 @query("L14_hull_bootstrap")
 def _(s, d):
-    return kernels.hull_bootstrap(_centred(s, d), OWN_THEOREM, replicates=200)
+    return kernels.hull_bootstrap(_centred(s, d), OWN_THEOREM, replicates=1000)
 
 
 @query("L37_polar_angles")
@@ -853,12 +853,12 @@ def _(s, d):
 
 @query("L19_pca_probe")
 def _(s, d):
-    return probes.pca_probe(vectors(s, d).where("arm = 'technique'"), ["technique"], [2, 5])
+    return probes.pca_probe(vectors(s, d).where("arm = 'technique'"), ["technique", "language", "style"], [2, 5, 10, 20, 50])
 
 
 @query("L27_style_slices")
 def _(s, d):
-    return probes.style_slices(vectors(s, d).where("arm = 'technique'"), 2)
+    return probes.style_slices(vectors(s, d).where("arm = 'technique'"), 10)
 
 
 @query("L36_silhouette_probe")
@@ -873,12 +873,12 @@ def _(s, d):
 
 @query("L30_discriminative_terms")
 def _(s, d):
-    return probes.discriminative_terms(vectors(s, d).where("arm = 'technique'"), "en", lexical.word_terms("proof"), 100)
+    return probes.discriminative_terms(vectors(s, d).where("arm = 'technique'"), "en", lexical.word_terms("proof"), 400)
 
 
 @query("L33_masking_sweep")
 def _(s, d):
-    return probes.masking_sweep(vectors(s, d).where("arm = 'technique'"), "en", lexical.word_terms("proof"), [0, 10, 50])
+    return probes.masking_sweep(vectors(s, d).where("arm = 'technique'"), "en", lexical.word_terms("proof"), [0, 10, 50, 100, 400])
 
 
 @query("L32_masking_ablation")

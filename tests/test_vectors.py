@@ -228,3 +228,22 @@ def test_nearest_levels_in_blocks(spark, monkeypatch):
     one = V.nearest_levels(df, levels.where("lvl = 'l0'"), "lvl", "m", ["line_no"]).first()
     assert one["best"] == "l0" and one["second_cos"] is None and one["margin"] is None
     assert V.nearest_levels(df, levels.limit(0), "lvl", "m", ["line_no"]).count() == 0
+
+
+def test_fitted_queries_have_the_reference_parameters(monkeypatch):
+    from corpusloom.operators import assignment, geometry, kernels, probes
+    from corpusloom.plans import catalog
+
+    class Rows:
+        def where(self, _):
+            return self
+
+    for name in ("vectors", "_centred", "_assigned"):
+        monkeypatch.setattr(catalog, name, lambda *a: Rows())
+    monkeypatch.setattr(catalog, "_tidy", lambda rows: rows)
+    monkeypatch.setattr(catalog.lexical, "word_terms", lambda *a: None)
+    for module, name in ((assignment, "null_from_margins"), (geometry, "angle_null"), (kernels, "hull_bootstrap"), (probes, "pca_probe"), (probes, "discriminative_terms"), (probes, "masking_sweep"), (probes, "style_slices")):
+        monkeypatch.setattr(module, name, lambda *a, **k: [*a, *k.values()])
+    ran = {name: catalog.queries()[name](None, "") for name in ("L8_null_from_margins", "L18_angle_null", "L14_hull_bootstrap", "L19_pca_probe", "L30_discriminative_terms", "L33_masking_sweep", "L27_style_slices")}
+    assert [ran[k][-1] for k in ran] == [20_000, 200, 1000, [2, 5, 10, 20, 50], 400, [0, 10, 50, 100, 400], 10]
+    assert ran["L19_pca_probe"][1] == ["technique", "language", "style"]
