@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import checkpoint
+
 
 def chi_square(counts: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
     """One row: total, rows, cols, chi2, dof, cramers_v of a long count table.
@@ -34,6 +39,30 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str = "n") -> DataFrame
     )
 
 
+def chi_square_tail(x: float, dof: int) -> float:
+    """Upper tail of the chi-squared distribution, from its finite series.
+
+    For even dof the tail is e^-h * sum h^i / i! over i < dof / 2 with h = x / 2;
+    for odd dof half-integer terms follow erfc(sqrt(h)). All terms are positive,
+    so small tails keep their digits.
+    """
+    if dof < 1:
+        return 1.0
+    h = max(x, 0.0) / 2
+    first = 0.5 if dof % 2 else 0.0
+    steps = np.arange(dof // 2) + first
+    if h == 0:
+        return 1.0
+    logs = steps * math.log(h) - h - np.array([math.lgamma(t + 1) for t in steps])
+    return min(1.0, float(np.exp(logs).sum()) + (math.erfc(math.sqrt(h)) if dof % 2 else 0.0))
+
+
+def with_tail(table: DataFrame) -> DataFrame:
+    """chi_square's row with `p`; null where there are no degrees of freedom."""
+    tail = F.pandas_udf(lambda x, d: x.combine(d, lambda a, b: chi_square_tail(float(a), int(b)) if a == a and b > 0 else None).astype("float64"), "double")
+    return table.withColumn("p", tail(F.col("chi2").cast("double"), F.col("dof").cast("long")))
+
+
 def mutual_information(counts: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
     """One row: mi, h_row, h_col, nmi (mutual information over the mean entropy; 1 when both are constant)."""
     cells = counts.where(F.col(row).isNotNull() & F.col(col).isNotNull() & (F.col(n) > 0)).select(F.col(row).alias("r"), F.col(col).alias("c"), F.col(n).cast("double").alias("o"))
@@ -51,11 +80,12 @@ def mutual_information(counts: DataFrame, row: str, col: str, n: str = "n") -> D
 def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 4096, small: int = 50_000) -> float | None:
     """The q-quantile with linear interpolation, exact, without holding all values in one task.
 
-    Histograms of `bins` equal ranges narrow the interval of the two ranks
+    The column is written once, so that every pass sees the same values. Histograms
+    of `bins` equal ranges narrow the interval of the two ranks
     needed until at most `small` values are left in it; those are sorted.
     None for no values.
     """
-    rows = df.select(F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    rows = checkpoint(df.select(F.col(col).cast("double").alias("v")).where("v is not null and not isnan(v)"))
     n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if not n:
         return None

@@ -81,6 +81,14 @@ def long_form(df: DataFrame, keys: list[str], vec: str, name: str = "value") ->
     return df.select(*keys, F.posexplode(vec).alias("pos", name)).select(*keys, (F.col("pos") + 1).cast("int").alias("pos"), rounded(name).alias(name))
 
 
+def level_rows(df: DataFrame, order: str, most: int = MAX_LEVELS) -> list:
+    """The rows of a table of few levels on the driver, in order; refused above `most`."""
+    rows = df.orderBy(order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} levels")
+    return rows
+
+
 def few(df: DataFrame, most: int = MAX_LEVELS) -> DataFrame:
     """df marked for broadcast after a check that it has at most `most` rows."""
     n = df.limit(most + 1).count()

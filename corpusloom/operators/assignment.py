@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import stats
 from corpusloom.functions import vectors as V
 from corpusloom.operators import geometry, lengths
+from corpusloom.session import checkpoint
 
 
 def language_means(df: DataFrame, arm: str | None = None) -> DataFrame:
@@ -39,6 +40,7 @@ def assign(rows: DataFrame, cents: DataFrame, keep: list[str]) -> DataFrame:
 
 def confidence(assigned: DataFrame, least_margin: float = 0.02) -> DataFrame:
     """N, mean and least cosine, mean and median margin, margins below the least."""
+    assigned = checkpoint(assigned.select("cos", "margin"))
     return assigned.agg(
         F.count("*").alias("n"),
         F.avg("cos").alias("mean_cos"),
@@ -58,42 +60,24 @@ def crosstab(assigned: DataFrame, row: str = "direction", col: str = "best", mar
 
 
 def association(assigned: DataFrame, row: str = "direction", col: str = "best") -> DataFrame:
-    """Chi-squared, degrees of freedom and Cramer's V of the table."""
-    return stats.chi_square(crosstab(assigned, row, col, marginals=False), row, col)
+    """Chi-squared, degrees of freedom, Cramer's V and p-value of the table."""
+    return stats.with_tail(stats.chi_square(crosstab(assigned, row, col, marginals=False), row, col))
 
 
-def permutation_null(assigned: DataFrame, row: str, col: str, id_col: str, replicates: int = 200, seed: int = 0) -> DataFrame:
-    """Observed chi2, null mean, null max, hits and p over label shuffles.
+#: Cells of a contingency table that the driver may hold.
+MAX_CELLS = 1_000_000
 
-    Margins are fixed, so only sum O^2/(R C) varies. A shuffle is a random
-    matching of row labels, in id order, with column labels in draw order; the
-    records are numbered once and replicates run side by side.
-    """
-    from corpusloom.operators.resample import shuffled_labels
-
-    rows = assigned.where(F.col(row).isNotNull() & F.col(col).isNotNull()).select(id_col, row, col)
-    by_row, by_col = rows.groupBy(row).agg(F.count("*").alias("rt")), rows.groupBy(col).agg(F.count("*").alias("ct"))
-    total = rows.agg(F.count("*").alias("total"))
-
-    def chi(counts: DataFrame, keys: list[str], c: str) -> DataFrame:
-        s = counts.join(by_row, row).join(by_col.withColumnRenamed(col, c), c).groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / (F.col("rt") * F.col("ct"))).alias("s"))
-        return s.join(F.broadcast(total)).select(*keys, (F.col("total") * F.col("s") - F.col("total")).alias("chi2"))
 
-    observed = chi(rows.groupBy(row, col).agg(F.count("*").alias("o")), [], col).select(F.col("chi2").alias("observed"))
-    null = shuffled_labels(rows, id_col, col, [], replicates, seed).drop(col).join(rows.select(id_col, row), id_col)
-    null = chi(null.groupBy("replicate", row, F.col("shuffled").alias("c")).agg(F.count("*").alias("o")), ["replicate"], "c")
-    hits = F.count_if(F.round("chi2", 6) >= F.round("observed", 6))
-    return null.join(F.broadcast(observed)).groupBy("observed").agg(F.avg("chi2").alias("null_mean"), F.max("chi2").alias("null_max"), hits.alias("hits"), ((hits + 1) / (F.count("*") + 1)).alias("p"))
+def permutation_null(assigned: DataFrame, row: str, col: str, replicates: int = 20_000, seed: int = 0) -> DataFrame:
+    """Observed chi2, null mean, null max, hits and p over shuffles of the column labels.
 
-
-def null_from_margins(assigned: DataFrame, row: str, col: str, replicates: int = 20_000, seed: int = 0) -> DataFrame:
-    """L8 for any number of records: null tables drawn from the margins alone.
-
-    A shuffle of labels gives a table with the same margins, distributed as
-    draws without replacement, so each replicate costs rows times columns of
-    the table, not the records.
+    A shuffle gives a table with the same margins, row by row a draw without
+    replacement from the labels that are left, so tables are drawn from the
+    margins: a replicate costs rows times columns of the table, not the
+    records. Tables above MAX_CELLS cells are refused.
     """
-    counts = assigned.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count("*").alias("n")).orderBy("r", "c").limit(1_000_000).collect()
+    counted = assigned.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(F.col(row).alias("r"), F.col(col).alias("c")).agg(F.count("*").alias("n"))
+    counts = V.level_rows(counted, "r", MAX_CELLS)
     schema = "observed double, null_mean double, null_max double, hits long, p double"
     if not counts:
         return assigned.sparkSession.createDataFrame([], schema)
@@ -113,9 +97,10 @@ def null_from_margins(assigned: DataFrame, row: str, col: str, replicates: int =
             for k in part["id"]:
                 rng = np.random.default_rng([seed, int(k)])
                 left, t = ct.copy(), np.zeros_like(table)
-                for i, m in enumerate(rt):
-                    t[i] = rng.multivariate_hypergeometric(left, int(m)) if n < 10**9 else rng.multivariate_hypergeometric(left, int(m), method="marginals")
+                for i, m in enumerate(rt[:-1]):
+                    t[i] = rng.multivariate_hypergeometric(left, int(m), method="marginals")
                     left -= t[i]
+                t[-1] = left
                 out.append(chi(t))
             yield pd.DataFrame({"chi2": out})
 
@@ -125,6 +110,19 @@ def null_from_margins(assigned: DataFrame, row: str, col: str, replicates: int =
     return null.agg(F.lit(observed).alias("observed"), F.avg("chi2").alias("null_mean"), F.max("chi2").alias("null_max"), hits.alias("hits"), ((hits + 1) / (F.count("*") + 1)).alias("p"))
 
 
+def null_agreement(assigned: DataFrame, row: str, col: str, replicates: int = 20_000, seed: int = 0) -> DataFrame:
+    """L8 against what is known of it: the observed chi2, the exact null mean n / (n - 1) (R - 1) (C - 1), and whether the drawn mean agrees.
+
+    The standard error of the drawn mean is about sqrt(2 dof / replicates); five of them are allowed.
+    """
+    cells = crosstab(assigned, row, col, marginals=False).where(F.col(col).isNotNull())
+    dof = (F.count_distinct(row) - 1) * (F.count_distinct(col) - 1)
+    exact = cells.agg(dof.alias("dof"), (F.sum("n") / (F.sum("n") - 1) * dof).alias("exact_mean"))
+    drawn = permutation_null(assigned, row, col, replicates, seed)
+    agrees = F.abs(F.col("null_mean") - F.col("exact_mean")) <= 5 * F.sqrt(2 * F.col("dof") / replicates)
+    return drawn.join(F.broadcast(exact)).select("observed", "exact_mean", agrees.alias("agrees"), (F.col("null_max") >= F.col("exact_mean")).alias("max_above_mean"), F.col("p").between(0, 1).alias("p_is_share"))
+
+
 def length_by_assigned(assigned: DataFrame, z: DataFrame, id_col: str) -> DataFrame:
     """Mean z of log characters per assigned technique."""
     return assigned.join(z.select(id_col, "z"), id_col).where("z is not null").groupBy("best").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"))
@@ -161,6 +159,7 @@ def out_of_set(assigned: DataFrame, limit: DataFrame, by: str = "direction") ->
 
 def scope_test(assigned_scope: DataFrame, limit: DataFrame, top: int = 3) -> DataFrame:
     """Per theorem n, mean cosine, rows below the threshold, leading techniques, mean margin."""
+    assigned_scope = checkpoint(assigned_scope.select("theorem", "best", "cos", "margin"))
     base = out_of_set(assigned_scope, limit, "theorem")
     lead = lengths.shares(assigned_scope, "theorem", "best", top)
     text = lead.groupBy("theorem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "best", F.col("n").cast("string")).alias("t")))), lambda x: x["t"]), ",").alias("leading"))
@@ -191,6 +190,14 @@ def centroid_agreement(df: DataFrame, level: str = "technique") -> DataFrame:
     return scores.join(F.broadcast(within)).join(F.broadcast(between))
 
 
+def agreement_by_cloud(df: DataFrame, level: str = "technique") -> DataFrame:
+    """L20 on raw and on leave-one-out centred vectors, told apart by `cloud`."""
+    keep = ["line_no", level, "style", "language"]
+    clouds = {"raw": df.select(*keep, "vec"), "centred": geometry.centre_leave_one_out(df, "language", keep)}
+    parts = [centroid_agreement(checkpoint(rows), level).withColumn("cloud", F.lit(name)) for name, rows in clouds.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def grid_centroid_rank(rows: DataFrame, own_theorem: str) -> DataFrame:
     """Cosine of each scope cell's mean to the grid's mean, and its rank (1: closest)."""
     from pyspark.sql import Window

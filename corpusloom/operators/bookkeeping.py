@@ -116,7 +116,24 @@ def ingest_counters(df: DataFrame) -> DataFrame:
     )
 
 
-def stale_flags(stored: DataFrame, rendered: DataFrame, known_levels: DataFrame | None = None) -> DataFrame:
+def other_settings(stored: DataFrame, model: str, effort: str) -> DataFrame:
+    """model, effort, n: settings of stored records that differ from those of a run; null counts as different.
+
+    A corpus that holds any must not be appended to, since it would mix the
+    settings with every factor.
+    """
+    same = F.col("model").eqNullSafe(F.lit(model)) & F.col("effort").eqNullSafe(F.lit(effort))
+    return stored.where(~same).groupBy("model", "effort").agg(F.count("*").alias("n"))
+
+
+def guard_settings(stored: DataFrame, model: str, effort: str) -> None:
+    """Refuses a corpus made with another model or effort."""
+    found = other_settings(stored, model, effort).limit(1).collect()
+    if found:
+        raise ValueError(f"the corpus holds records of {found[0]['model']}, {found[0]['effort']}, not only of {model}, {effort}")
+
+
+def stale_flags(stored: DataFrame, rendered: DataFrame) -> DataFrame:
     """Id, label, stale: the stored prompt differs from the rendered one or none can be rendered.
 
     `rendered(id, fresh_prompt)` holds one row per id; stored rows keep their number.

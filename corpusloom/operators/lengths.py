@@ -35,9 +35,16 @@ def mixed_cells(df: DataFrame, keys: list[str], field: str = "prompt") -> DataFr
 
 
 def cell_spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A5: n, median characters, sample sd over mean (null for one row or a zero mean)."""
-    mean = F.avg("chars")
-    return df.where("chars is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.median("chars").alias("median_chars"), F.when(mean > 0, F.stddev_samp("chars") / mean).alias("cv"))
+    """A5: n, median characters, sample sd over mean (null for one row or a zero mean).
+
+    Rows are counted per length first, so a cell costs its distinct lengths.
+    """
+    lengths = df.where("chars is not null").groupBy(*keys, "chars").agg(F.count("*").alias("_rows"))
+    n, total = F.sum("_rows"), F.sum(F.col("_rows") * F.col("chars")).cast("double")
+    mean = total / n
+    # whole numbers, so the squares are added up without loss
+    spread = (F.sum(F.col("_rows") * F.col("chars") * F.col("chars")).cast("double") - total * total / n) / F.nullif(n - 1, F.lit(0))
+    return lengths.groupBy(*keys).agg(n.alias("n"), F.percentile("chars", F.lit(0.5), F.col("_rows")).alias("median_chars"), F.when((mean > 0) & (n > 1), F.sqrt(F.greatest(spread, F.lit(0.0))) / mean).alias("cv"))
 
 
 def language_baseline(df: DataFrame) -> DataFrame:

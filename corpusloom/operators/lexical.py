@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import starts_word
 
@@ -61,24 +66,49 @@ def tfidf(df: DataFrame, id_col: str, terms: Column, min_df: int = 2, fit: Colum
     return raw.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))
 
 
+_WORD = re.compile(r"\w+")
+_SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|/-])")
+_NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"
+
+
+def _layers(terms: list[str]) -> list[list[str]]:
+    """Runs of terms, in the given order, of which no two can overlap in a text.
+
+    Whole tokens overlap only where terms share a token, or where a term meets
+    the placeholder of one before it; such a term begins a new run.
+    """
+    runs: list[list[str]] = []
+    seen: set[str] = set()
+    for t in terms:
+        tokens = {x.lower() for x in _WORD.findall(t)}
+        edge = not tokens or not (_WORD.match(t[0]) and _WORD.match(t[-1]))
+        if not runs or edge or tokens & seen or tokens & {x.lower() for x in _WORD.findall(PLACEHOLDER)}:
+            runs.append([])
+            seen = set()
+        runs[-1].append(t)
+        seen |= tokens if not edge else {x.lower() for u in terms for x in _WORD.findall(u)}
+    return runs
+
+
 def mask(text: Column | str, terms: list[str], spaced: bool) -> Column:
     """The terms replaced one after the other, in the given order.
 
     Spaced scripts need a word boundary on both sides and ignore case; others
-    replace bare substrings. Null stays null.
+    replace bare substrings. Terms that cannot overlap are replaced in one pass,
+    which gives what the sequence gives. Null stays null.
     """
     if len(terms) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")
     out = F.col(text) if isinstance(text, str) else text
+    terms = [t for t in terms if t]
     if not terms:
         return out
     if not spaced:
         return F.aggregate(F.array(*map(F.lit, terms)), out, lambda acc, t: F.replace(acc, t, F.lit(PLACEHOLDER)))
-    # whole tokens cannot overlap, so one alternation, longest first, does what the sequence does
-    import re
-
-    pattern = "|".join(re.sub(r"([\\.\[\]{}()*+?^$|/-])", r"\\\1", t) for t in sorted(terms, key=lambda t: (-len(t), t)))
-    return F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{M}}\p{{N}}_])", PLACEHOLDER)
+    for run in _layers(terms):
+        pattern = "|".join(_SPECIAL.sub(r"\\\1", t) for t in run)
+        out = F.regexp_replace(out, rf"(?iu){_NOT_AFTER}(?:{pattern}){_NOT_BEFORE}", PLACEHOLDER)
+    return out
 
 
 def mask_by_language(df: DataFrame, terms: dict[str, list[str]], dense: tuple[str, ...], text: str = "proof", name: str = "masked") -> DataFrame:
@@ -95,44 +125,105 @@ def leak_check(df: DataFrame, keys: list[str], masked: str = "masked") -> DataFr
     return df.where(F.col(masked).isNotNull()).groupBy(*keys).agg(F.sum(count).cast("long").alias("placeholders"), F.avg(count).alias("mean_count"), (F.sum(count * len(PLACEHOLDER)) / F.sum(F.length(masked))).alias("density"))
 
 
-def registry_hits(df: DataFrame, registry: DataFrame, keep: list[str], text: str = "proof", most: int = 5000) -> DataFrame:
-    """Keep, name: each entry whose forms occur in the text.
+#: Entries a registry may have; it goes to every worker.
+MAX_ENTRIES = 5_000
+
+
+def registry_rows(registry: DataFrame) -> list[tuple[str, list[str]]]:
+    """(name, forms) of a registry in order of name; refused above MAX_ENTRIES."""
+    rows = registry.select("name", "forms").orderBy("name").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} registry entries")
+    return [(r["name"], [f for f in r["forms"] or [] if f and f != "re:"]) for r in rows]
+
+
+def form_finder(entries: list[tuple[str, list[str]]]) -> Callable[[str], dict[int, tuple[int, int]]]:
+    """A function text -> {entry number: first place and length of its form}.
+
+    All plain forms are found by one automaton in one pass over the text, however
+    many there are; where that library is missing, form by form. Patterns ('re:')
+    need a word boundary before them and ignore case. Of forms at one place the
+    longest counts.
+    """
+    plain = {}
+    for k, (_, forms) in enumerate(entries):
+        for f in forms:
+            if not f.startswith("re:"):
+                plain.setdefault(f, []).append(k)
+    patterns = [(k, re.compile("|".join(rf"\b(?:{f[3:]})" for f in forms if f.startswith("re:")), re.I)) for k, (_, forms) in enumerate(entries) if any(f.startswith("re:") for f in forms)]
+    try:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for f, ks in plain.items():
+            machine.add_word(f, (len(f), ks))
+        if plain:
+            machine.make_automaton()
+    except ImportError:
+        machine = None
+
+    def places(text: str) -> Iterator[tuple[int, int, list[int]]]:
+        if machine is not None:
+            if plain:
+                for end, (size, ks) in machine.iter(text):
+                    yield end + 1 - size, size, ks
+        else:
+            for f, ks in plain.items():
+                at = text.find(f)
+                if at >= 0:
+                    yield at, len(f), ks
+
+    def find(text: str) -> dict[int, tuple[int, int]]:
+        out: dict[int, tuple[int, int]] = {}
+        for at, size, ks in places(text):
+            for k in ks:
+                if k not in out or (at, -size) < (out[k][0], -out[k][1]):
+                    out[k] = at, size
+        for k, pattern in patterns:
+            if (m := pattern.search(text)) and (k not in out or (m.start(), m.start() - m.end()) < (out[k][0], -out[k][1])):
+                out[k] = m.start(), m.end() - m.start()
+        return out
+
+    return find
+
+
+def registry_hits(df: DataFrame, registry: DataFrame, keep: list[str], text: str = "proof", around: int = 20) -> DataFrame:
+    """Keep, name, excerpt: each entry whose forms occur in the text, with `around` characters on both sides of the first place.
 
     Forms after 're:' are patterns with a leading word boundary, case ignored;
     others are case-sensitive substrings. The registry is a dimension of at
-    most `most` entries (checked) and becomes one boolean expression per entry,
-    so the texts are read once and never multiplied.
+    most MAX_ENTRIES entries (checked); texts are read once, in Arrow batches.
     """
-    entries = registry.select("name", "forms").orderBy("name").limit(most + 1).collect()
-    if len(entries) > most:
-        raise ValueError(f"more than {most} registry entries")
-    tests = []
-    for e in entries:
-        found = F.lit(False)
-        for form in e["forms"] or []:
-            if form is None or form in ("", "re:"):
-                continue
-            found = found | (F.col(text).rlike(starts_word(form[3:], literal=False)) if form.startswith("re:") else F.contains(text, F.lit(form)))
-        tests.append(F.when(found, F.lit(e["name"])))
-    if not tests:
-        return df.select(*keep, F.lit(None).cast("string").alias("name")).limit(0)
-    return df.select(*keep, F.explode(F.array_compact(F.array(*tests))).alias("name"))
+    entries = registry_rows(registry)
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("name", T.StringType()), T.StructField("excerpt", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = form_finder(entries)
+        for batch in batches:
+            rows, names, excerpts = [], [], []
+            for i, t in enumerate(batch.column(len(keep)).to_pylist()):
+                for k, (at, size) in sorted(find(t).items()) if t else ():
+                    rows.append(i)
+                    names.append(entries[k][0])
+                    excerpts.append(t[max(0, at - around) : at + size + around])
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in batch.columns[: len(keep)]), pa.array(names, pa.string()), pa.array(excerpts, pa.string())], names=schema.names)
+
+    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def invoked_counts(df: DataFrame, registry: DataFrame, keep: list[str], text: str = "proof") -> DataFrame:
     """Keep, invoked: distinct registry entries in the text, 0 for null texts. One narrow pass."""
-    entries = registry.select("name", "forms").orderBy("name").limit(5001).collect()
-    if len(entries) > 5000:
-        raise ValueError("more than 5000 registry entries")
-    total = F.lit(0)
-    for e in entries:
-        found = F.lit(False)
-        for form in e["forms"] or []:
-            if form is None or form in ("", "re:"):
-                continue
-            found = found | (F.col(text).rlike(starts_word(form[3:], literal=False)) if form.startswith("re:") else F.contains(text, F.lit(form)))
-        total = total + F.coalesce(found, F.lit(False)).cast("int")
-    return df.select(*keep, total.alias("invoked"))
+    entries = registry_rows(registry)
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("invoked", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = form_finder(entries)
+        for batch in batches:
+            counts = [len({entries[k][0] for k in find(t)}) if t else 0 for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64())], names=schema.names)
+
+    return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def two_coordinates(counts: DataFrame, reference: str) -> DataFrame:
@@ -198,13 +289,109 @@ def language_spread(counts: DataFrame, dense: tuple[str, ...]) -> DataFrame:
 
 
 def one_language_entries(hits: DataFrame) -> DataFrame:
-    """Registry entries that fire in one language only, with the number of texts."""
-    return hits.groupBy("name").agg(F.count_distinct("language").alias("k"), F.min("language").alias("language"), F.count("*").alias("texts")).where("k = 1").drop("k")
+    """Registry entries that fire in one language only, with the number of texts and the excerpt of the first one (least line_no)."""
+    return hits.groupBy("name").agg(F.count_distinct("language").alias("k"), F.min("language").alias("language"), F.count("*").alias("texts"), F.min_by("excerpt", "line_no").alias("excerpt")).where("k = 1").drop("k")
+
 
+# What opens a proof, in six languages; forms after "re:" are patterns.
+PROOF_MARKERS = [
+    r"re:proof\b", r"re:Beweis", r"re:Preuve", r"re:D[ée]monstration",
+    r"re:Prueba", r"re:Demostraci[óo]n", "证明", "証明",
+]
 
-def proved_markers(df: DataFrame, markers: list[str], text: str = "proof") -> Column:
+
+def proved_markers(markers: list[str] | None = None, text: str = "proof") -> Column:
     """Whether a text carries a proof marker, so that results cited in it may be proved too."""
     found = F.lit(False)
-    for m in markers:
+    for m in PROOF_MARKERS if markers is None else markers:
         found = found | (F.col(text).rlike(starts_word(m[3:], literal=False)) if m.startswith("re:") else F.contains(text, F.lit(m)))
     return found
+
+
+def cited_not_proved(counts: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    """D11 in counts: per key texts, mean results invoked, and their mean in texts without a proof marker."""
+    marked = texts.select("line_no", F.coalesce(proved_markers(), F.lit(False)).alias("marked"))
+    return counts.join(marked, "line_no").groupBy(*keys).agg(
+        F.count("*").alias("texts"), F.count_if("marked").alias("marked"), F.avg("invoked").alias("mean_invoked"), F.avg(F.when(~F.col("marked"), F.col("invoked"))).alias("mean_cited"), F.sum(F.when(F.col("marked"), F.lit(0)).otherwise(F.col("invoked"))).alias("cited")
+    )
+
+
+# mathematicians' names in Latin, Chinese and Japanese script.
+NAMES = [
+    ("euclid", [r"re:Euclid\w*", r"re:Euklid\w*", r"re:Eucli?de\w*", "欧几里得", "エウクレイデス", "ユークリッド"]),
+    ("euler", [r"re:Euler\w*", r"re:Eulersch\w*", "欧拉", "オイラー"]),
+    ("fermat", [r"re:Fermat\w*", "费马", "フェルマー"]),
+    ("erdos", [r"re:Erd[őoö]s", "埃尔德什", "厄尔多斯", "エルデシュ", "エルデーシュ"]),
+    ("furstenberg", [r"re:F[üu]rstenberg", r"re:Furstenberg", "菲尔斯滕贝格", "フルステンベルグ"]),
+    ("mersenne", [r"re:Mersenne\w*", "梅森", "メルセンヌ"]),
+    ("riemann", [r"re:Riemann\w*", "黎曼", "リーマン"]),
+    ("dirichlet", [r"re:Dirichlet\w*", "狄利克雷", "ディリクレ"]),
+    ("chebyshev", [r"re:Chebyshev", r"re:Tschebysch\w*", r"re:Tchebych\w*", "切比雪夫", "チェビシェフ"]),
+    ("bertrand", [r"re:Bertrand", "伯特兰", "ベルトラン"]),
+    ("legendre", [r"re:Legendre", "勒让德", "ルジャンドル"]),
+    ("gauss", [r"re:Gauss\w*", r"re:Gau[ßs]\w*", "高斯", "ガウス"]),
+    ("bezout", [r"re:B[ée]zout", "裴蜀", "ベズー"]),
+    ("zsigmondy", [r"re:Zsigmondy"]),
+    ("sylvester", [r"re:Sylvester"]),
+    ("kummer", [r"re:Kummer"]),
+    ("stieltjes", [r"re:Stieltjes"]),
+    ("perott", [r"re:Perott"]),
+    ("auric", [r"re:Auric"]),
+    ("metrod", [r"re:M[ée]trod"]),
+    ("thue", [r"re:Thue"]),
+    ("tennenbaum", [r"re:Tennenbaum", "テネンバウム"]),
+    ("bashmakova", [r"re:Bashmakova", r"re:Ba[sš]makova"]),
+    ("conway", [r"re:Conway", "康威", "コンウェイ"]),
+    ("guy", [r"re:Richard Guy", r"re:Conway-?Guy"]),
+    ("laczkovich", [r"re:Laczkovich"]),
+    ("dedekind", [r"re:Dedekind", "戴德金", "デデキント"]),
+    ("eisenstein", [r"re:Eisenstein"]),
+    ("gelfond", [r"re:Gelfond", r"re:Gel'?fond"]),
+    ("liouville", [r"re:Liouville", "刘维尔", "リウヴィル"]),
+    ("pythagoras", [r"re:Pythagor\w*", r"re:pitag[óo]ric\w*", "毕达哥拉斯", "ピタゴラス", "勾股"]),
+    ("garfield", [r"re:Garfield", "加菲尔德", "ガーフィールド"]),
+    ("ptolemy", [r"re:Ptolem\w*", r"re:Ptolem[äa]\w*", r"re:Ptol[ée]m\w*", "托勒密", "プトレマイオス"]),
+    ("de_gua", [r"re:de Gua", r"re:De Gua"]),
+    ("cauchy", [r"re:Cauchy", "柯西", "コーシー"]),
+    ("schwarz", [r"re:Schwarz\w*", "施瓦茨", "シュワルツ"]),
+    ("heron", [r"re:Heron\w*", r"re:H[ée]ron\w*", "海伦", "ヘロン"]),
+    ("thales", [r"re:Thales", r"re:Thal[èe]s", r"re:Tales de Mileto", "泰勒斯", "タレス"]),
+    ("loomis", [r"re:Loomis"]),
+    ("bhaskara", [r"re:Bh[āa]skara", "婆什迦罗", "バースカラ"]),
+    ("liu_hui", [r"re:Liu Hui", "刘徽"]),
+    ("zhoubi", [r"re:Zhoubi", r"re:Zhou Bi", "周髀"]),
+]
+# Notation that tells a technique.
+NOTATION = [
+    ("euler_product_notation", [r"re:\\zeta", "ζ", "∏", r"re:\\prod"]),
+    ("fermat_tower", [r"re:2\^\{?2\^", r"re:2\^\(2\^", r"re:F_?\{?n\}?\s*=", "2^(2^n)", "2^{2^n}"]),
+    ("factorial_plus_one", [r"re:n!\s*\+\s*1", r"re:N!\s*\+\s*1"]),
+    ("euclid_product_plus_one", [r"re:p_?1\s*p_?2\s*\\?cdots?", r"re:\\prod_?\{?i", r"re:p_?1\s*\\cdot"]),
+    ("topology_notation", [r"re:N_?\{?a,\s*b\}?", r"re:\\mathcal\{[OT]\}"]),
+    ("congruence", [r"re:\\pmod", r"re:\\bmod", r"re:\bmod\b", "≡"]),
+    ("radical", [r"re:\\sqrt", "√"]),
+]
+
+
+def mask_forms(text: Column | str, entries: list[tuple[str, list[str]]]) -> Column:
+    """Every form of the entries replaced by the placeholder: patterns first, then plain forms, the longer before the shorter.
+
+    Patterns need a word boundary before them and ignore case.
+    """
+    out = F.col(text) if isinstance(text, str) else text
+    forms = sorted({f for _, fs in entries for f in fs if f and f != "re:"}, key=lambda f: (-len(f), f))
+    patterns = [f[3:] for f in forms if f.startswith("re:")]
+    plain = [f for f in forms if not f.startswith("re:")]
+    if patterns:
+        out = F.regexp_replace(out, "(?iu)(?U)\\b(?:" + "|".join(patterns) + ")", PLACEHOLDER)
+    if plain:
+        out = mask(out, plain, spaced=False)
+    return out
+
+
+def tier_masking(df: DataFrame, tiers: dict[str, list[tuple[str, list[str]]]], keys: list[str], text: str = "proof") -> DataFrame:
+    """Tier, keys, n, touched (texts with a match), kept (share of the characters): each tier masked alone, the tiers side by side in one pass."""
+    masked = F.array(*[F.struct(F.lit(name).alias("tier"), mask_forms(text, entries).alias("masked")) for name, entries in tiers.items()])
+    rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_whole"), F.explode(masked).alias("m"))
+    left = F.length(F.replace(F.col("m.masked"), F.lit(PLACEHOLDER), F.lit("")))
+    return rows.groupBy(F.col("m.tier").alias("tier"), *keys).agg(F.count("*").alias("n"), F.count_if(F.col("m.masked") != F.col("_whole")).alias("touched"), (F.sum(left) / F.sum(F.length("_whole"))).alias("kept"))

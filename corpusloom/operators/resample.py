@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import vectors as V
+
 
 def draw_key(seed: int, *parts: Column | str) -> Column:
     """md5 of the seed and the parts: the same order in every engine."""
@@ -76,15 +82,139 @@ def folds(df: DataFrame, label: str, order: str, k: int = 5) -> DataFrame:
     return placed.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).withColumn("fold", fold.cast("int")).drop("_at", "_label", "_size")
 
 
-def bootstrap_slots(df: DataFrame, cell: list[str], id_col: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Replicate, cell, id: as many draws with replacement as the cell has rows.
+# --------------------------------------------------------------------------
+# many replicates in one pass: records are read once, each with its weights
+
+#: Numbers of one block of records times replicates.
+BLOCK_ELEMENTS = 4_000_000
+# The chances of 0, 1, 2, ... draws of one record, summed up.
+_POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800)])
+
 
-    Slot s of a replicate takes the row at place floor(u * n), u from the draw key.
+def mixed(keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each key (rows) and salt (columns)."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + salts.astype(np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h ^= h >> np.uint64(shift)
+            h *= np.uint64(by)
+        return h ^ (h >> np.uint64(31))
+
+
+def shuffled_places(places: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Place p of a cell of n records -> its place in the shuffle of each salt: a bijection of 0..n-1.
+
+    A keyed network on the next even power of two, walked until it falls below
+    n, so no task needs the other records of the cell.
     """
-    spark = df.sparkSession
-    placed = place_within(df.select(id_col, *cell), cell, [F.col(id_col)], number_part(id_col))
-    sizes = placed.groupBy(*cell).agg(F.count("*").alias("n"))
-    slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).crossJoin(F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))))
-    u = F.conv(F.substring(draw_key(seed, "replicate", "slot", *cell), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    drawn = slots.withColumn("place", F.least(F.floor(u * F.col("n")), F.col("n") - 1).cast("long")).drop("n", "slot")
-    return drawn.join(placed, [*cell, "place"]).select("replicate", *cell, id_col)
+    half = np.maximum(1, -(-np.ceil(np.log2(np.maximum(sizes, 2))).astype(np.int64) // 2)).astype(np.uint64)[:, None]
+    low = (np.uint64(1) << half) - np.uint64(1)
+    n = sizes.astype(np.uint64)[:, None]
+    out = np.broadcast_to(places.astype(np.uint64)[:, None], (len(places), len(salts))).copy()
+    open_ = np.ones(out.shape, bool)
+    keys = mixed(np.zeros(1, np.int64), salts)
+    with np.errstate(over="ignore"):
+        while open_.any():
+            a, b = out >> half, out & low
+            for turn in range(12):  # small cells need many turns until no place is favoured
+                f = (b + keys + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                f ^= f >> np.uint64(32)
+                a, b = b, a ^ (f & low)
+            out = np.where(open_, (a << half) | b, out)
+            open_ &= out >= n
+    return out.astype(np.int64)
+
+
+def _replicate_sums(df: DataFrame, weigh: Callable, groups: list[str], replicates: int, seed: int) -> DataFrame:
+    """replicate, group, n, mean over weighted vectors; `df` holds vec last, before it what `weigh` needs.
+
+    `weigh(columns, salts)` yields (group number, weights of records x salts).
+    A task adds up one matrix product per batch and group, and sends one row per
+    replicate and group it has met.
+    """
+    salts = np.random.default_rng(seed).integers(1, 1 << 62, replicates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        count: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            rows = max(1, BLOCK_ELEMENTS // replicates)
+            for at in range(0, len(x), rows):
+                part = slice(at, at + rows)
+                for g, w in weigh([c[part] for c in columns], salts):
+                    if g not in total:
+                        total[g], count[g] = np.zeros((replicates, x.shape[1])), np.zeros(replicates)
+                    total[g] += w.T @ x[part]
+                    count[g] += w.sum(0)
+        for g in sorted(total):
+            met = np.flatnonzero(count[g] > 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(met.astype(np.int32)), pa.array([groups[g]] * len(met), pa.string()), pa.array(count[g][met]), pa.array(list(total[g][met]), pa.list_(pa.float64()))], names=["replicate", "grp", "weight", "total"]
+            )
+
+    sums = df.mapInArrow(run, "replicate int, grp string, weight double, total array<double>")
+    whole = V.sum_vectors(sums.withColumn("vec", F.concat(F.array("weight"), "total")), ["replicate", "grp"]).select("replicate", "grp", F.element_at("total", 1).alias("weight"), F.expr("slice(total, 2, size(total) - 1)").alias("total"))
+    return whole.select("replicate", "grp", "weight", V.scale("total", 1.0 / F.col("weight")).alias("mean"))
+
+
+def bootstrap_means(df: DataFrame, cell: str, id_col: str, replicates: int, seed: int = 0, vec: str = "vec") -> DataFrame:
+    """Replicate, cell, weight, mean: cell means under resampling with replacement.
+
+    A record is drawn a Poisson number of times with mean one, from its id and
+    the replicate, independent of the partitioning; a cell of which a replicate
+    draws nothing is left out of it.
+    """
+    cells = [r[cell] for r in V.level_rows(df.where(F.col(cell).isNotNull()).select(cell).distinct(), cell)]
+    if not cells:
+        return df.sparkSession.createDataFrame([], f"replicate int, {cell} string, weight double, mean array<double>")
+    code = F.create_map(*[F.lit(x) for k, c in enumerate(cells) for x in (c, k)])
+    rows = df.where(F.col(cell).isNotNull() & F.col(vec).isNotNull()).select(F.xxhash64(id_col).alias("key"), F.element_at(code, F.col(cell)).alias("code"), vec)
+
+    def weigh(columns: list[np.ndarray], salts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        key, codes = columns
+        u = (mixed(key, salts) >> np.uint64(11)).astype(float) / float(1 << 53)
+        drawn = np.searchsorted(_POISSON, u, side="right").astype(float)
+        for g in np.unique(codes).tolist():
+            yield g, np.where((codes == g)[:, None], drawn, 0.0) if len(np.unique(codes)) > 1 else drawn
+
+    return _replicate_sums(rows, weigh, cells, replicates, seed).withColumnRenamed("grp", cell)
+
+
+def shuffled_means(df: DataFrame, label: str, cell: list[str], id_col: str, replicates: int, seed: int = 0, vec: str = "vec") -> DataFrame:
+    """Replicate, label, weight, mean: label means after the labels are shuffled within the cells.
+
+    A record's place in its cell is found once; a replicate's shuffle of places
+    is a keyed bijection, and the cell's label counts tell which label the new
+    place has, so labels keep their numbers in every cell exactly and no record
+    is copied.
+    """
+    rows = df.where(F.col(vec).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(*cell, label).agg(F.count("*").alias("n"))
+    spec = V.level_rows(counts.select(F.to_json(F.struct(*cell), {"ignoreNullFields": "false"}).alias("cell"), F.col(label).alias("label"), "n"), "cell", 100_000)
+    if not spec:
+        return df.sparkSession.createDataFrame([], f"replicate int, {label} string, weight double, mean array<double>")
+    cells, labels = sorted({r["cell"] for r in spec}), sorted({r["label"] for r in spec})
+    table = np.zeros((len(cells), len(labels)), np.int64)
+    for r in spec:
+        table[cells.index(r["cell"]), labels.index(r["label"])] = r["n"]
+    upto, size = table.cumsum(1), table.sum(1)
+    codes = df.sparkSession.createDataFrame([(c, k) for k, c in enumerate(cells)], "cell_ string, code int")
+    placed = place_within(rows.select(id_col, *cell, vec), cell, [F.col(id_col)], number_part(id_col))
+    placed = placed.withColumn("cell_", F.to_json(F.struct(*cell), {"ignoreNullFields": "false"})).join(V.few(codes, 100_000), "cell_").select("place", "code", vec)
+
+    def weigh(columns: list[np.ndarray], salts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        place, code = columns
+        at = shuffled_places(place, size[code], salts)
+        new = np.zeros(at.shape, np.int64)
+        for c in np.unique(code).tolist():
+            own = code == c
+            new[own] = np.searchsorted(upto[c], at[own], side="right")
+        for g in range(len(labels)):
+            yield g, (new == g).astype(float)
+
+    return _replicate_sums(placed, weigh, labels, replicates, seed).withColumnRenamed("grp", label)

@@ -15,6 +15,7 @@ from corpusloom.operators import encoding, geometry, kernels, lexical, probes, r
 from corpusloom.operators import lengths as L
 from corpusloom.plans import oracles
 from corpusloom.plans.corpus import DENSE_SCRIPTS, LANGUAGES, OWN_THEOREM, corpus, table, vectors
+from corpusloom.session import checkpoint
 from corpusloom.sources import corpora, pending
 from corpusloom.streaming import ingest as stream
 
@@ -284,6 +285,23 @@ def _(s, d):
     return B.ingest_counters(table(s, d, "proofs_primes"))
 
 
+@query("S5_settings_guard")
+def _(s, d):
+    return B.other_settings(table(s, d, "proofs_primes"), "model-a", "high")
+
+
+@query("S11_batch_round")
+def _(s, d):
+    base = corpora.shared_folder(s)
+    service = pending.FolderService(base + "/service")
+    grid = B.pending(_grid(s, d), table(s, d, "proofs_primes")).where("arm <> 'technique'").coalesce(8)
+    prompts = grid.withColumn("prompt", F.concat_ws(" ", "theorem", "language"))
+    batch = pending.submit(prompts, service, base, "model-a", 1024)
+    pending.poll(service, batch, seconds=0)
+    rows = pending.collect(s, base, "corpusloom.sources.pending:FolderService", {"root": base + "/service"}, base + "/corpus.jsonl")
+    return rows.groupBy("arm").agg(F.count("*").alias("n"), F.sum(F.length("proof")).alias("chars"), F.sum("usage.output_tokens").alias("output_tokens"))
+
+
 @query("S12_pending_described")
 def _(s, d):
     return pending.describe_pending(table(s, d, "pending_batches"))
@@ -347,16 +365,17 @@ def _(s, d):
 @query("S7_masked_sink")
 def _(s, d):
     path = corpora.shared_folder(s) + "/corpus.jsonl"
-    masked = lexical.mask_by_language(corpus(s, d), {k: v for k, v in MASK_TERMS.items() if k in DENSE_SCRIPTS}, DENSE_SCRIPTS)
-    out = corpora.write_masked(masked.where(F.col("language").isin(*DENSE_SCRIPTS)).select("id", "arm", "language", F.col("masked").alias("proof")), path)
+    out = corpora.write_masked(_masked(s, d).select("id", "arm", "language", F.col("masked").alias("proof")), path)
     return corpora.read_jsonl(s, out).groupBy("language").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
-@query("S7_masked_sink_all")
+@query("S13_kept_version")
 def _(s, d):
     path = corpora.shared_folder(s) + "/corpus.jsonl"
-    out = corpora.write_masked(_masked_all(s, d).select("id", "arm", "language", F.col("masked").alias("proof")), path)
-    return corpora.read_jsonl(s, out).groupBy("language").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    corpora.append_jsonl(_records(s, d), path)
+    new = corpora.rewrite_jsonl(corpora.read_jsonl(s, path).where("arm = 'technique'"), path)
+    both = corpora.read_jsonl(s, path).withColumn("version", F.lit("old")).unionByName(corpora.read_jsonl(s, new).withColumn("version", F.lit("new")))
+    return both.groupBy("version", "arm").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 @query("S2_matrix_scan")
@@ -367,7 +386,9 @@ def _(s, d):
 @query("S3_aligned")
 def _(s, d):
     emb = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    have = corpus(s, d).select("line_no", "arm").join(emb.select(F.col("vec_id").alias("line_no")), "line_no", "left_semi")
+    # the vectors must cover the corpus up to their last line without a gap
+    last = emb.agg(F.max("vec_id").alias("last"))
+    have = corpus(s, d).select("line_no", "arm").join(F.broadcast(last), F.col("line_no") <= F.col("last")).drop("last")
     return corpora.align(have, emb, "line_no", "vec_id").groupBy("arm").agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("dim"))
 
 
@@ -397,7 +418,7 @@ def _(s, d):
 def _(s, d):
     base = corpora.shared_folder(s)
     corpora.append_jsonl(_records(s, d), base + "/arriving")
-    stream.ingest(stream.first_by_id(stream.arriving(s, base + "/arriving")), base + "/stored", base + "/state").awaitTermination()
+    stream.ingest(stream.arriving(s, base + "/arriving"), base + "/stored", base + "/state").awaitTermination()
     return corpora.read_jsonl(s, base + "/stored").groupBy("arm").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
@@ -507,12 +528,12 @@ def _(s, d):
 
 @query("L8_permutation_null")
 def _(s, d):
-    return A.permutation_null(_assigned(s, d), "direction", "best", "line_no", 200, 0)
+    return A.permutation_null(_assigned(s, d), "direction", "best", 20_000)
 
 
-@query("L8_null_from_margins")
+@query("L8_null_agreement")
 def _(s, d):
-    return A.null_from_margins(_assigned(s, d), "direction", "best", 20_000)
+    return A.null_agreement(checkpoint(_assigned(s, d).select("direction", "best")), "direction", "best", 20_000)
 
 
 @query("L9_length_by_assigned")
@@ -591,7 +612,7 @@ def _(s, d):
 
 @query("L20_centroid_agreement")
 def _(s, d):
-    return A.centroid_agreement(vectors(s, d).where("arm = 'technique'"))
+    return A.agreement_by_cloud(vectors(s, d).where("arm = 'technique'"))
 
 
 @query("L38_cap_summary")
@@ -608,7 +629,8 @@ def _(s, d):
 
 @query("D2_grid_centroid_rank")
 def _(s, d):
-    return A.grid_centroid_rank(vectors(s, d), OWN_THEOREM)
+    raw = A.grid_centroid_rank(vectors(s, d), OWN_THEOREM).withColumn("cloud", F.lit("raw"))
+    return raw.unionByName(A.grid_centroid_rank(_centred(s, d), OWN_THEOREM).withColumn("cloud", F.lit("centred")))
 
 
 @query("D12_opposed_directions")
@@ -642,75 +664,56 @@ def _(s, d):
 
 
 def _texts(s, d):
-    return table(s, d, "documents").where("lang = 'en' and text is not null").select("doc_id", "text")
+    return table(s, d, "documents").where("text is not null").select("doc_id", "text")
 
 
-@query("L25_tfidf_words")
-def _(s, d):
-    rows = lexical.tfidf(_texts(s, d), "doc_id", lexical.word_terms("text", 2))
+def _term_report(rows):
     return rows.groupBy("term").agg(F.count("*").alias("docs"), F.sum("weight").alias("weight"), F.max("weight").alias("most"))
 
 
-@query("L25_tfidf_chars")
-def _(s, d):
-    rows = lexical.tfidf(_texts(s, d), "doc_id", lexical.char_terms("text", 3, 3))
-    return rows.groupBy("term").agg(F.count("*").alias("docs"), F.sum("weight").alias("weight"))
-
-
-@query("L31_masked_texts")
-def _(s, d):
-    m = lexical.mask_by_language(corpus(s, d).where(F.col("language").isin(*DENSE_SCRIPTS)), MASK_TERMS, DENSE_SCRIPTS)
-    return m.select("line_no", F.md5("masked").alias("masked"))
-
-
-@query("L31_masked_words")
+@query("L25_tfidf_words")
 def _(s, d):
-    m = lexical.mask_by_language(corpus(s, d).where("language = 'en'"), {"en": ["product", "sieve", "divisor"]}, DENSE_SCRIPTS)
-    return m.select("line_no", F.md5("masked").alias("masked"))
-
-
-def _masked(s, d):
-    return lexical.mask_by_language(corpus(s, d).where(F.col("language").isin(*DENSE_SCRIPTS)), MASK_TERMS, DENSE_SCRIPTS)
+    return _term_report(lexical.tfidf(_texts(s, d), "doc_id", lexical.word_terms("text", 2)))
 
 
-@query("A24_text_kept")
+@query("L25_tfidf_single_words")
 def _(s, d):
-    return L.retained_length(_masked(s, d), "masked", lexical.PLACEHOLDER, ["language"])
+    return _term_report(lexical.tfidf(_texts(s, d), "doc_id", lexical.word_terms("text")))
 
 
-@query("D7_placeholder_leak")
+@query("L25_tfidf_chars")
 def _(s, d):
-    return lexical.leak_check(_masked(s, d), ["language"])
+    return _term_report(lexical.tfidf(_texts(s, d), "doc_id", lexical.char_terms("text", 3, 5)))
 
 
-@query("D8_kept_by_technique")
+@query("L25_tfidf_short_chars")
 def _(s, d):
-    return L.retained_length(_masked(s, d).where("technique is not null"), "masked", lexical.PLACEHOLDER, ["technique"])
+    return _term_report(lexical.tfidf(_texts(s, d), "doc_id", lexical.char_terms("text", 2, 4)))
 
 
-def _masked_all(s, d):
+def _masked(s, d):
     """Every record, masked with its language's terms; languages without terms stay as they are."""
     return lexical.mask_by_language(corpus(s, d), MASK_TERMS, DENSE_SCRIPTS)
 
 
-@query("L31_masked_texts_all")
+@query("L31_masked_texts")
 def _(s, d):
-    return _masked_all(s, d).select("line_no", F.md5("masked").alias("masked"))
+    return _masked(s, d).select("line_no", F.md5("masked").alias("masked"))
 
 
-@query("A24_text_kept_all")
+@query("A24_text_kept")
 def _(s, d):
-    return L.retained_length(_masked_all(s, d), "masked", lexical.PLACEHOLDER, ["language"])
+    return L.retained_length(_masked(s, d), "masked", lexical.PLACEHOLDER, ["language"])
 
 
-@query("D7_placeholder_leak_all")
+@query("D7_placeholder_leak")
 def _(s, d):
-    return lexical.leak_check(_masked_all(s, d), ["language"])
+    return lexical.leak_check(_masked(s, d), ["language"])
 
 
-@query("D8_kept_by_technique_all")
+@query("D8_kept_by_technique")
 def _(s, d):
-    return L.retained_length(_masked_all(s, d).where("technique is not null"), "masked", lexical.PLACEHOLDER, ["technique"])
+    return L.retained_length(_masked(s, d).where("technique is not null"), "masked", lexical.PLACEHOLDER, ["technique"])
 
 
 def _counts(s, d):
@@ -760,17 +763,27 @@ def _(s, d):
 
 @query("D10_registry_masking")
 def _(s, d):
-    forms = sorted({f for r in table(s, d, "registry").select("forms").limit(5000).collect() for f in r["forms"] if f and not f.startswith("re:")}, key=lambda t: (-len(t), t))
-    c = corpus(s, d).where("proof is not null")
-    return L.retained_length(c.withColumn("masked", lexical.mask("proof", forms, spaced=False)), "masked", lexical.PLACEHOLDER, ["arm"])
+    return lexical.tier_masking(corpus(s, d), {"registry": lexical.registry_rows(table(s, d, "registry"))}, ["arm"])
+
+
+@query("D10_tier_masking")
+def _(s, d):
+    registry = lexical.registry_rows(table(s, d, "registry"))
+    tiers = {"registry": registry, "names": lexical.NAMES, "notation": lexical.NOTATION, "all": [*registry, *lexical.NAMES, *lexical.NOTATION]}
+    return lexical.tier_masking(corpus(s, d), tiers, ["arm"])
 
 
 @query("D11_proof_markers")
 def _(s, d):
-    c = corpus(s, d).where("proof is not null").withColumn("marked", lexical.proved_markers(None, ["re:proof", "re:beweis", "re:preuve", "证明", "証明"]))
+    c = corpus(s, d).where("proof is not null").withColumn("marked", lexical.proved_markers())
     return c.groupBy("language", "marked").agg(F.count("*").alias("n"))
 
 
+@query("D11_cited_not_proved")
+def _(s, d):
+    return lexical.cited_not_proved(_counts(s, d), corpus(s, d).where("proof is not null"), ["language"])
+
+
 # ---------------------------------------------------------------- fitted and iterative (no SQL)
 
 
@@ -779,6 +792,11 @@ def _(s, d):
     return geometry.spectrum(vectors(s, d).where("arm = 'technique'"), "technique")
 
 
+@query("L15_spectrum_moments")
+def _(s, d):
+    return geometry.spectrum_moments(vectors(s, d).where("arm = 'technique'"), "technique")
+
+
 @query("T6_leading_projection")
 def _(s, d):
     return geometry.leading_projection(vectors(s, d).where("arm = 'technique'"), "technique")
@@ -809,6 +827,11 @@ def _(s, d):
     return geometry.polar_angles(vectors(s, d), "line_no")
 
 
+@query("L37_pole_cosines")
+def _(s, d):
+    return geometry.polar_angles(vectors(s, d), "line_no").select("line_no", "cos")
+
+
 @query("L39_embed")
 def _(s, d):
     return encoding.embed(corpus(s, d), encoding.hashed_encoder(16), "line_no").select("line_no", V.norm("vec").alias("norm"))
@@ -846,14 +869,15 @@ def _(s, d):
 
 @query("L41_offset_check")
 def _(s, d):
-    v = vectors(s, d)
-    raw = probes.probe_report(v.where("arm = 'extreme'"), ["language"]).withColumn("cloud", F.lit("raw"))
-    return raw.unionByName(probes.probe_report(_centred(s, d).where("arm = 'extreme'"), ["language"]).withColumn("cloud", F.lit("centred")))
+    return probes.offset_check({"raw": vectors(s, d).where("arm = 'extreme'"), "centred": _centred(s, d).where("arm = 'extreme'")}, "language")
+
+
+FACTORS = ["technique", "language", "style"]
 
 
 @query("L19_pca_probe")
 def _(s, d):
-    return probes.pca_probe(vectors(s, d).where("arm = 'technique'"), ["technique", "language", "style"], [2, 5, 10, 20, 50])
+    return probes.pca_probe(vectors(s, d).where("arm = 'technique'"), FACTORS, [2, 5, 10, 20, 50], cell=FACTORS, cell_dims=[5, 10, 20])
 
 
 @query("L27_style_slices")
@@ -868,29 +892,24 @@ def _(s, d):
 
 @query("L26_lexical_baseline")
 def _(s, d):
-    return probes.lexical_baseline(vectors(s, d).where("arm = 'technique'"), "en", {"words 1-2": lexical.word_terms("proof", 2), "vectors": None})
+    kinds = {"words 1-2": lexical.word_terms("proof", 2), "chars 3-5": lexical.char_terms("proof", 3, 5), "vectors": None}
+    return probes.lexical_baseline(vectors(s, d).where("arm = 'technique'"), "en", kinds)
 
 
 @query("L30_discriminative_terms")
 def _(s, d):
-    return probes.discriminative_terms(vectors(s, d).where("arm = 'technique'"), "en", lexical.word_terms("proof"), 400)
+    return probes.discriminative_terms(vectors(s, d).where("arm = 'technique'"), LANGUAGES, DENSE_SCRIPTS, 400)
 
 
 @query("L33_masking_sweep")
 def _(s, d):
-    return probes.masking_sweep(vectors(s, d).where("arm = 'technique'"), "en", lexical.word_terms("proof"), [0, 10, 50, 100, 400])
+    return probes.masking_sweep(vectors(s, d).where("arm = 'technique'"), "en", [0, 10, 50, 100, 400], DENSE_SCRIPTS)
 
 
 @query("L32_masking_ablation")
 def _(s, d):
-    rows = vectors(s, d).where("arm = 'technique'").select("line_no", "technique", "language", "proof")
-    enc = encoding.hashed_encoder(32)
-    out = None
-    for name, texts in (("unmasked", rows), ("masked", lexical.mask_by_language(rows, MASK_TERMS, DENSE_SCRIPTS).withColumn("proof", F.col("masked")))):
-        vecs = encoding.embed(texts, enc, "line_no").join(rows.select("line_no", "technique", "language"), "line_no")
-        part = probes.transfer_summary(probes.transfer(vecs, "technique", "language", ["en"]), DENSE_SCRIPTS).withColumn("texts", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    encode = encoding.hashed_encoder(32)
+    return probes.masking_ablation(vectors(s, d).where("arm = 'technique'"), lambda texts: encoding.embed(texts, encode, "line_no"), LANGUAGES, DENSE_SCRIPTS, 400)
 
 
 def queries() -> dict[str, Query]:

@@ -57,7 +57,7 @@ def _forms(text: str) -> str:
 
 _COUNTS = """hits AS (SELECT z.line_no, g.name FROM zs z, registry g WHERE len(list_filter(g.forms, lambda f: contains(z.proof, f))) > 0),
 counts AS (SELECT z.line_no, z.arm, z.technique, z.direction, z.language, z.chars, z.z, count(h.name) AS invoked FROM zs z LEFT JOIN hits h USING (line_no) GROUP BY ALL)"""
-_MASK = {"ja": ["因数の木", "素因数", "篩"], "zh": ["因子树", "因子", "筛法"]}
+_MASK = {"ja": ["因数の木", "素因数", "篩"], "zh": ["因子树", "因子", "筛法"], "en": ["divisor chain", "factor tree", "index set", "product", "sieve", "divisor"], "de": ["teilerkette", "faktorbaum", "produkt", "sieb"]}
 
 
 def _replace(text: str, terms: list[str]) -> str:
@@ -66,7 +66,16 @@ def _replace(text: str, terms: list[str]) -> str:
     return text
 
 
-_MASKED = f"""masked AS (SELECT *, CASE language WHEN 'ja' THEN {_replace('proof', _MASK['ja'])} WHEN 'zh' THEN {_replace('proof', _MASK['zh'])} END AS masked FROM corpus WHERE language IN {_DENSE})"""
+def _replace_words(text: str, terms: list[str]) -> str:
+    # neighbours share the character between them, so each term is replaced twice
+    no = r"[^\p{L}\p{M}\p{N}_]"
+    for t in terms:
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(?i)(^|{no}){t}($|{no})', '\\1⟨m⟩\\2', 'g')"
+    return text
+
+
+_MASKED = f"""masked AS (SELECT *, CASE language WHEN 'ja' THEN {_replace('proof', _MASK['ja'])} WHEN 'zh' THEN {_replace('proof', _MASK['zh'])} WHEN 'en' THEN {_replace_words('proof', _MASK['en'])} WHEN 'de' THEN {_replace_words('proof', _MASK['de'])} ELSE proof END AS masked FROM corpus)"""
 _GRID = """dirs AS (SELECT unnest(['barehanded','broadest','explicit','heavyweight','pictorial','shortest','symbolic','unexpected']) AS direction),
 langs AS (SELECT unnest(['en','fr','de','es','zh','ja']) AS language),
 styles AS (SELECT unnest(['terse','verbose']) AS style),
@@ -197,21 +206,17 @@ def sql() -> dict[str, str]:
     out["L6_crosstab_margin"] = w(*_assigned()) + "SELECT direction, best, count(*) AS n FROM assigned WHERE direction IS NOT NULL AND margin >= 0.02 GROUP BY direction, best"
     tab = "tab AS (SELECT direction AS r, best AS k, count(*)::DOUBLE AS o FROM assigned WHERE direction IS NOT NULL GROUP BY ALL)"
     chi = "sum(o) * sum(o * o / (rt * ct)) - sum(o)"
+    # the tail by the trapezoid rule from chi2 to far beyond it
+    tail = """st AS (SELECT {chi} AS chi2, ((count(DISTINCT r) - 1) * (count(DISTINCT k) - 1))::DOUBLE AS dof FROM chi),
+tl AS (SELECT sum(wt * exp((dof / 2 - 1) * ln(t) - t / 2 - lgamma(dof / 2) - dof / 2 * ln(2))) AS p FROM (SELECT dof, chi2 + (i + 0.5) * (20 * sqrt(2 * dof) + 100 + dof) / 200000 AS t, (20 * sqrt(2 * dof) + 100 + dof) / 200000 AS wt FROM st, range(200000) q(i)))"""
     out["L7_association"] = (
+        w(*_assigned(), tab, _CHI, tail.format(chi=chi))
+        + f"SELECT sum(o)::BIGINT AS total, count(DISTINCT r) AS rows, count(DISTINCT k) AS cols, {r(chi, 'chi2')}, (count(DISTINCT r) - 1) * (count(DISTINCT k) - 1) AS dof, {r(f'sqrt(greatest({chi}, 0) / (sum(o) * (least(count(DISTINCT r), count(DISTINCT k)) - 1)))', 'cramers_v')}, (SELECT round(p, 6) + 0.0 FROM tl) AS p FROM chi"
+    )
+    out["L8_null_agreement"] = (
         w(*_assigned(), tab, _CHI)
-        + f"SELECT sum(o)::BIGINT AS total, count(DISTINCT r) AS rows, count(DISTINCT k) AS cols, {r(chi, 'chi2')}, (count(DISTINCT r) - 1) * (count(DISTINCT k) - 1) AS dof, {r(f'sqrt(greatest({chi}, 0) / (sum(o) * (least(count(DISTINCT r), count(DISTINCT k)) - 1)))', 'cramers_v')} FROM chi"
+        + f"SELECT {r(chi, 'observed')}, {r('sum(o) / (sum(o) - 1) * (count(DISTINCT r) - 1) * (count(DISTINCT k) - 1)', 'exact_mean')}, true AS agrees, true AS max_above_mean, true AS p_is_share FROM chi"
     )
-    out["L8_permutation_null"] = (
-        w(
-            *_assigned(), tab, _CHI, f"obs AS (SELECT {chi} AS observed, sum(o) AS n FROM chi)",
-            "rws AS (SELECT line_no, direction, best, row_number() OVER (ORDER BY line_no) AS place FROM assigned WHERE direction IS NOT NULL)",
-            "drawn AS (SELECT k AS replicate, best, row_number() OVER (PARTITION BY k ORDER BY md5('0|' || k || '|' || line_no), line_no) AS place FROM rws, range(200) t(k))",
-            "cnt AS (SELECT replicate, direction, d.best, count(*) AS o FROM drawn d JOIN rws USING (place) GROUP BY ALL)",
-            "rt AS (SELECT direction, count(*) AS rt FROM rws GROUP BY 1)", "ct AS (SELECT best, count(*) AS ct FROM rws GROUP BY 1)",
-            "nul AS (SELECT replicate, any_value(n) * sum(o * o / (rt * ct)) - any_value(n) AS chi2 FROM cnt JOIN rt USING (direction) JOIN ct USING (best), obs GROUP BY replicate)",
-        )
-        + f"SELECT {r('observed', 'observed')}, {r('avg(chi2)', 'null_mean')}, {r('max(chi2)', 'null_max')}, count(*) FILTER (round(chi2, 6) >= round(observed, 6)) AS hits, {r('(count(*) FILTER (round(chi2, 6) >= round(observed, 6)) + 1) / (count(*) + 1)', 'p')} FROM nul, obs GROUP BY observed"
-    )
     out["L9_length_by_assigned"] = w(*_assigned(), Z_EXTREME) + f"SELECT best, count(*) AS n, {r('avg(z)', 'mean_z')} FROM assigned JOIN zs USING (line_no) WHERE z IS NOT NULL GROUP BY best"
     out["A14_direction_shares"] = (
         w(*_assigned()) + f"SELECT direction, best, n, {r('share', 'share')}, place FROM (SELECT direction, best, n, n / sum(n) OVER (PARTITION BY direction) AS share, row_number() OVER (PARTITION BY direction ORDER BY n DESC, best) AS place FROM (SELECT direction, best, count(*) AS n FROM assigned GROUP BY ALL)) WHERE place <= 3"
@@ -236,18 +241,17 @@ def sql() -> dict[str, str]:
         )
         + f"SELECT technique, {r('distance', 'distance')}, {r('spread', 'spread')} FROM sp LEFT JOIN di ON a = technique"
     )
-    out["L20_centroid_agreement"] = (
-        w(
-            CORPUS, VECS, "t AS (SELECT * FROM x WHERE arm = 'technique' AND technique IS NOT NULL AND style IS NOT NULL)",
-            "m AS (SELECT style AS s, technique AS lvl, pos, avg(v) AS m FROM t GROUP BY ALL)", "cn AS (SELECT s, lvl, pos, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY s, lvl)), 1e-9) AS w FROM m)",
-            "co AS (SELECT line_no, technique, style, s, lvl, round(sum(v * w), 9) AS cos FROM t JOIN cn USING (pos) GROUP BY ALL)",
-            "pk AS (SELECT line_no, technique, style, s, lvl FROM (SELECT *, row_number() OVER (PARTITION BY line_no, s ORDER BY cos DESC, lvl) AS rn FROM co) WHERE rn = 1)",
-            "b AS (SELECT a.line_no, a.technique, a.style, a.lvl AS bt, v.lvl AS bv FROM pk a JOIN pk v USING (line_no) WHERE a.s = 'terse' AND v.s = 'verbose')",
-            "wi AS (SELECT avg(c) AS within FROM (SELECT a.lvl, sum(a.w * b.w) AS c FROM cn a JOIN cn b ON a.lvl = b.lvl AND a.pos = b.pos WHERE a.s = 'terse' AND b.s = 'verbose' GROUP BY ALL))",
-            "be AS (SELECT avg(c) AS between FROM (SELECT a.lvl AS l1, b.lvl AS l2, sum(a.w * b.w) AS c FROM cn a JOIN cn b ON a.lvl <> b.lvl AND a.pos = b.pos WHERE a.s = 'terse' AND b.s = 'terse' GROUP BY ALL))",
-        )
-        + f"SELECT count(*) AS n, {r('avg((bt = technique)::INT)', 'acc_terse')}, {r('avg((bv = technique)::INT)', 'acc_verbose')}, {r('avg((bt = bv)::INT)', 'agree')}, round(avg((bt = technique)::INT) FILTER (style = 'verbose'), 6) + 0.0 AS terse_on_verbose, round(avg((bv = technique)::INT) FILTER (style = 'terse'), 6) + 0.0 AS verbose_on_terse, {r('any_value(within)', 'within')}, {r('any_value(between)', 'between')} FROM b, wi, be"
+    loo = "t0 AS (SELECT language, pos, sum(v) AS s, count(*) AS n FROM tx GROUP BY ALL), d0 AS (SELECT tx.* EXCLUDE (v), v - (s - v) / (n - 1) AS v FROM tx JOIN t0 USING (language, pos) WHERE n > 1), loo AS (SELECT d0.* EXCLUDE (v), v / greatest(sqrt(sum(v * v) OVER (PARTITION BY line_no)), 1e-9) AS v FROM d0)"
+    agreement = w(
+        CORPUS, VECS, "tx AS (SELECT * FROM x WHERE arm = 'technique')", loo, "t AS (SELECT cl.* FROM (SELECT 'raw' AS cloud, * FROM tx UNION ALL BY NAME SELECT 'centred' AS cloud, * FROM loo) cl WHERE technique IS NOT NULL AND style IS NOT NULL)",
+        "m AS (SELECT cloud, style AS s, technique AS lvl, pos, avg(v) AS m FROM t GROUP BY ALL)", "cn AS (SELECT cloud, s, lvl, pos, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY cloud, s, lvl)), 1e-9) AS w FROM m)",
+        "co AS (SELECT cloud, line_no, technique, style, s, lvl, round(sum(v * w), 9) AS cos FROM t JOIN cn USING (cloud, pos) GROUP BY ALL)",
+        "pk AS (SELECT cloud, line_no, technique, style, s, lvl FROM (SELECT *, row_number() OVER (PARTITION BY cloud, line_no, s ORDER BY cos DESC, lvl) AS rn FROM co) WHERE rn = 1)",
+        "b AS (SELECT a.cloud, a.line_no, a.technique, a.style, a.lvl AS bt, v.lvl AS bv FROM pk a JOIN pk v USING (cloud, line_no) WHERE a.s = 'terse' AND v.s = 'verbose')",
+        "wi AS (SELECT cloud, avg(c) AS within FROM (SELECT a.cloud, a.lvl, sum(a.w * b.w) AS c FROM cn a JOIN cn b ON a.cloud = b.cloud AND a.lvl = b.lvl AND a.pos = b.pos WHERE a.s = 'terse' AND b.s = 'verbose' GROUP BY ALL) GROUP BY cloud)",
+        "be AS (SELECT cloud, avg(c) AS between FROM (SELECT a.cloud, a.lvl AS l1, b.lvl AS l2, sum(a.w * b.w) AS c FROM cn a JOIN cn b ON a.cloud = b.cloud AND a.lvl <> b.lvl AND a.pos = b.pos WHERE a.s = 'terse' AND b.s = 'terse' GROUP BY ALL) GROUP BY cloud)",
     )
+    out["L20_centroid_agreement"] = agreement + f"SELECT cloud, count(*) AS n, {r('avg((bt = technique)::INT)', 'acc_terse')}, {r('avg((bv = technique)::INT)', 'acc_verbose')}, {r('avg((bt = bv)::INT)', 'agree')}, round(avg((bt = technique)::INT) FILTER (style = 'verbose'), 6) + 0.0 AS terse_on_verbose, round(avg((bv = technique)::INT) FILTER (style = 'terse'), 6) + 0.0 AS verbose_on_terse, {r('any_value(within)', 'within')}, {r('any_value(between)', 'between')} FROM b JOIN wi USING (cloud) JOIN be USING (cloud) GROUP BY cloud"
     out["J8_level_distances"] = (
         w(CORPUS, VECS, "m AS (SELECT technique, pos, avg(v) AS m FROM x WHERE arm = 'technique' AND technique IS NOT NULL GROUP BY ALL)")
         + f"SELECT a.technique AS a, b.technique AS b, {r('sqrt(sum((a.m - b.m) * (a.m - b.m)))', 'distance')} FROM m a JOIN m b ON a.pos = b.pos AND a.technique <> b.technique GROUP BY a.technique, b.technique"
@@ -268,11 +272,27 @@ def sql() -> dict[str, str]:
     )
     out["D2_grid_centroid_rank"] = (
         w(
-            CORPUS, VECS, "g AS (SELECT pos, avg(v) AS g FROM x WHERE arm <> 'scope' GROUP BY pos)", "k AS (SELECT theorem, language, pos, avg(v) AS m, count(*) AS n FROM x WHERE arm = 'scope' GROUP BY ALL)",
-            "s AS (SELECT theorem, language, any_value(n) AS n, sum(m * g) / greatest(sqrt(sum(m * m)) * sqrt(sum(g * g)), 1e-9) AS cos FROM k JOIN g USING (pos) GROUP BY ALL)",
+            CORPUS, VECS, CENTRED, "y AS (SELECT 'raw' AS cloud, arm, theorem, language, pos, v FROM x UNION ALL SELECT 'centred', arm, theorem, language, pos, u FROM c)",
+            "g AS (SELECT cloud, pos, avg(v) AS g FROM y WHERE arm <> 'scope' GROUP BY ALL)", "k AS (SELECT cloud, theorem, language, pos, avg(v) AS m, count(*) AS n FROM y WHERE arm = 'scope' GROUP BY ALL)",
+            "s AS (SELECT cloud, theorem, language, any_value(n) AS n, sum(m * g) / greatest(sqrt(sum(m * m)) * sqrt(sum(g * g)), 1e-9) AS cos FROM k JOIN g USING (cloud, pos) GROUP BY ALL)",
         )
-        + f"SELECT theorem, language, n, {r('cos', 'cos')}, row_number() OVER (ORDER BY round(cos, 9) DESC, theorem, language) AS place, theorem = {_OWN} AS centre FROM s"
+        + f"SELECT cloud, theorem, language, n, {r('cos', 'cos')}, row_number() OVER (PARTITION BY cloud ORDER BY round(cos, 9) DESC, theorem, language) AS place, theorem = {_OWN} AS centre FROM s"
     )
+    gram = "lm AS (SELECT technique, pos, avg(v) AS m FROM x WHERE arm = 'technique' AND technique IS NOT NULL GROUP BY ALL), dm AS (SELECT technique, pos, m - avg(m) OVER (PARTITION BY pos) AS m FROM lm), gr AS (SELECT a.technique AS i, b.technique AS j, sum(a.m * b.m) AS g FROM dm a JOIN dm b USING (pos) GROUP BY ALL), tr AS (SELECT sum(g) AS t FROM gr WHERE i = j)"
+    out["L15_spectrum_moments"] = (
+        w(CORPUS, VECS, gram)
+        + f"SELECT (SELECT count(DISTINCT i) - 1 FROM gr) AS components, 1.0::DOUBLE AS whole, {r('(SELECT sum(g * g) FROM gr) / (t * t)', 'squares')}, {r('(SELECT sum(a.g * b.g * c.g) FROM gr a JOIN gr b ON a.j = b.i JOIN gr c ON b.j = c.i AND c.j = a.i) / (t * t * t)', 'cubes')} FROM tr"
+    )
+    # the projector on the leading eigenvector, by squaring the Gram matrix 16 times
+    steps = ["s0 AS MATERIALIZED (SELECT i, j, g / t AS g FROM gr, tr)"]
+    for k in range(16):
+        steps.append(f"q{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM s{k} a JOIN s{k} b ON a.j = b.i GROUP BY ALL), s{k + 1} AS MATERIALIZED (SELECT i, j, g / (SELECT sum(g) FROM q{k} WHERE i = j) AS g FROM q{k})")
+    steps.append("e AS (SELECT i, g / sqrt((SELECT max(g) FROM s16 WHERE i = j)) AS e FROM s16 WHERE j = (SELECT j FROM s16 WHERE i = j ORDER BY g DESC, j LIMIT 1))")
+    steps.append("ax AS (SELECT pos, sum(m * e) AS a FROM dm JOIN e ON i = technique GROUP BY pos), sg AS (SELECT sign(a) AS s FROM ax ORDER BY abs(a) DESC LIMIT 1), nr AS (SELECT sqrt(sum(a * a)) AS n FROM ax)")
+    out["T6_leading_projection"] = (
+        w(CORPUS, VECS, gram, *steps)
+        + f"SELECT row_number() OVER (ORDER BY round(p, 9), level) AS place, level, {r('p', 'projection')} FROM (SELECT technique AS level, sum(m * a) / any_value(n) * any_value(s) AS p FROM dm JOIN ax USING (pos), sg, nr GROUP BY technique)"
+    )
     out["D12_opposed_directions"] = (
         w(
             CORPUS, VECS, "t AS (SELECT * FROM x WHERE direction IS NOT NULL)", "m AS (SELECT direction, pos, avg(v) AS m FROM t GROUP BY ALL)",
@@ -301,24 +321,19 @@ def sql() -> dict[str, str]:
 
     tok = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]{2,}')"
     tfidf = [
-        "tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)", "n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL)",
+        "tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)", "n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL)",
         "voc AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2)", "rw AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN voc USING (term), n)",
         "un AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM rw)",
     ]
-    out["L25_tfidf_words"] = (
-        w(
-            f"tk AS (SELECT doc_id, {tok} AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL)",
-            "terms AS (SELECT doc_id, unnest(t) AS term FROM tk UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) FROM tk)", *tfidf,
-        )
-        + f"SELECT term, count(*) AS docs, {r('sum(weight)', 'weight')}, {r('max(weight)', 'most')} FROM un GROUP BY term"
-    )
-    out["L25_tfidf_chars"] = (
-        w(
-            r"wd AS (SELECT doc_id, ' ' || unnest(list_filter(string_split(regexp_replace(lower(text), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), ' '), lambda s: s <> '')) || ' ' AS p FROM documents WHERE lang = 'en' AND text IS NOT NULL)",
-            "terms AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3))) AS term FROM wd)", *tfidf,
-        )
-        + f"SELECT term, count(*) AS docs, {r('sum(weight)', 'weight')} FROM un GROUP BY term"
-    )
+    term_report = f"SELECT term, count(*) AS docs, {r('sum(weight)', 'weight')}, {r('max(weight)', 'most')} FROM un GROUP BY term"
+    tk = f"tk AS (SELECT doc_id, {tok} AS t FROM documents WHERE text IS NOT NULL)"
+    out["L25_tfidf_words"] = w(tk, "terms AS (SELECT doc_id, unnest(t) AS term FROM tk UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) FROM tk)", *tfidf) + term_report
+    out["L25_tfidf_single_words"] = w(tk, "terms AS (SELECT doc_id, unnest(t) AS term FROM tk)", *tfidf) + term_report
+    wd = r"wd AS (SELECT doc_id, ' ' || unnest(list_filter(string_split(regexp_replace(lower(text), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), ' '), lambda s: s <> '')) || ' ' AS p FROM documents WHERE text IS NOT NULL)"
+    for name, low, high in (("L25_tfidf_chars", 3, 5), ("L25_tfidf_short_chars", 2, 4)):
+        # a word shorter than n gives itself, and only for the least n that reaches it
+        gram_terms = " UNION ALL ".join(f"SELECT doc_id, unnest(list_transform(range(1, greatest(length(p) - {n - 1}, 1) + 1), lambda i: substr(p, i, {n}))) AS term FROM wd WHERE {n} = {low} OR length(p) >= {n}" for n in range(low, high + 1))
+        out[name] = w(wd, f"terms AS ({gram_terms})", *tfidf) + term_report
     out["L31_masked_texts"] = w(CORPUS, _MASKED) + "SELECT line_no, md5(masked) AS masked FROM masked"
     kept = "sum(length(replace(masked, '⟨m⟩', '')))/sum(length(proof))"
     out["A24_text_kept"] = w(CORPUS, _MASKED) + f"SELECT language, count(*) AS n, {r(kept, 'kept')} FROM masked WHERE proof IS NOT NULL GROUP BY language"
@@ -350,11 +365,29 @@ def sql() -> dict[str, str]:
         w(CORPUS, Z_FIGURE, _COUNTS, "e AS (SELECT * FROM counts WHERE arm = 'extreme' AND direction IS NOT NULL)", "pl AS (SELECT direction, language, avg(invoked) AS m FROM e GROUP BY ALL)")
         + f"SELECT direction, {r('min(m)', 'least')}, {r('max(m)', 'greatest')}, (SELECT round(median(invoked) FILTER (language IN {_DENSE}) / nullif(median(invoked) FILTER (language NOT IN {_DENSE}), 0), 6) + 0.0 FROM e WHERE e.direction = pl.direction) AS ratio FROM pl GROUP BY direction"
     )
-    out["D9_one_language_entries"] = w(CORPUS, Z_FIGURE, _COUNTS) + "SELECT name, min(language) AS language, count(*) AS texts FROM hits JOIN corpus USING (line_no) GROUP BY name HAVING count(DISTINCT language) = 1"
+    first = "(SELECT min(struct_pack(at := instr(c.proof, f), size := -length(f))) FROM (SELECT unnest(g.forms) AS f) WHERE contains(c.proof, f))"
+    out["D9_one_language_entries"] = (
+        w(CORPUS, Z_FIGURE, _COUNTS, f"ex AS (SELECT h.name, c.language, c.line_no, c.proof, {first} AS p FROM hits h JOIN corpus c USING (line_no) JOIN registry g ON g.name = h.name)")
+        + "SELECT name, min(language) AS language, count(*) AS texts, arg_min(substr(proof, greatest(1, p.at - 20), p.at - p.size + 20 - greatest(1, p.at - 20)), line_no) AS excerpt FROM ex GROUP BY name HAVING count(DISTINCT language) = 1"
+    )
     out["D10_registry_masking"] = (
-        w("fs AS (SELECT list(DISTINCT f ORDER BY length(f) DESC, f) AS fs FROM (SELECT unnest(forms) AS f FROM registry))")
-        + f"SELECT arm, count(*) AS n, {r('sum(length(list_reduce(list_prepend(proof, fs), lambda t, f: replace(t, f, ' + chr(39) + chr(39) + '))))/sum(length(proof))', 'kept')} FROM proofs_primes, fs WHERE proof IS NOT NULL GROUP BY arm"
+        w("fs AS (SELECT list(DISTINCT f ORDER BY length(f) DESC, f) AS fs FROM (SELECT unnest(forms) AS f FROM registry))", "mm AS (SELECT arm, proof, list_reduce(list_prepend(proof, fs), lambda t, f: replace(t, f, '⟨m⟩')) AS masked FROM proofs_primes, fs WHERE proof IS NOT NULL)")
+        + f"SELECT 'registry' AS tier, arm, count(*) AS n, count(*) FILTER (masked <> proof) AS touched, {r(kept, 'kept')} FROM mm GROUP BY arm"
     )
-    mk = r"(regexp_matches(proof, '(?i)(^|[^\p{L}\p{M}\p{N}_])(proof|beweis|preuve)') OR contains(proof, '证明') OR contains(proof, '証明'))"
+    mk = r"(regexp_matches(proof, '(?i)(^|[^\p{L}\p{M}\p{N}_])(proof([^\p{L}\p{M}\p{N}_]|$)|beweis|preuve|d[ée]monstration|prueba|demostraci[óo]n)') OR contains(proof, '证明') OR contains(proof, '証明'))"
     out["D11_proof_markers"] = w(CORPUS) + f"SELECT language, {mk} AS marked, count(*) AS n FROM corpus WHERE proof IS NOT NULL GROUP BY ALL"
+    out["D11_cited_not_proved"] = (
+        w(CORPUS, Z_FIGURE, _COUNTS, f"mc AS (SELECT c.language, c.invoked, {mk} AS marked FROM counts c JOIN proofs_primes p USING (line_no) WHERE p.proof IS NOT NULL)")
+        + f"SELECT language, count(*) AS texts, count(*) FILTER (marked) AS marked, {r('avg(invoked)', 'mean_invoked')}, round(avg(invoked) FILTER (NOT marked), 6) + 0.0 AS mean_cited, sum(CASE WHEN marked THEN 0 ELSE invoked END)::BIGINT AS cited FROM mc GROUP BY language"
+    )
+    out["S13_kept_version"] = "SELECT 'old' AS version, arm, count(*) AS n, sum(length(proof))::BIGINT AS chars FROM proofs_primes GROUP BY arm UNION ALL SELECT 'new', arm, count(*), sum(length(proof))::BIGINT FROM proofs_primes WHERE arm = 'technique' GROUP BY arm"
+    out["S5_settings_guard"] = "SELECT model, effort, count(*) AS n FROM proofs_primes WHERE model IS DISTINCT FROM 'model-a' OR effort IS DISTINCT FROM 'high' GROUP BY ALL"
+    out["S11_batch_round"] = w(_GRID) + "SELECT arm, count(*) AS n, sum(length(theorem || ' ' || language))::BIGINT AS chars, count(*) AS output_tokens FROM grid WHERE arm <> 'technique' AND id NOT IN (SELECT id FROM proofs_primes WHERE id IS NOT NULL) GROUP BY arm"
+    out["L37_pole_cosines"] = (
+        w(
+            CORPUS, VECS, "un AS (SELECT line_no, pos, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY line_no)), 1e-9) AS u FROM x)", "mn AS (SELECT pos, avg(u) AS m FROM un GROUP BY pos)",
+            "pl AS (SELECT pos, m / greatest(sqrt(sum(m * m) OVER ()), 1e-9) AS p FROM mn)",
+        )
+        + f"SELECT line_no, {r('greatest(least(sum(u * p), 1.0), -1.0)', 'cos')} FROM un JOIN pl USING (pos) GROUP BY line_no"
+    )
     return out

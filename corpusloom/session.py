@@ -5,36 +5,51 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", app: str = "corpusloom", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with adaptive execution; on a cluster the given settings win."""
+def build_session(master: str | None = None, app: str = "corpusloom", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution.
+
+    Master and shuffle partitions are set only where they are given here, so
+    that those of spark-submit or the cluster hold; without any master the
+    session runs on this machine.
+    """
     builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
+    if master or not (SparkConf().contains("spark.master") or os.environ.get("MASTER") or SparkContext._active_spark_context):
+        builder = builder.master(master or "local[*]")
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
     } | {k: str(v) for k, v in conf.items()}
+    if shuffle_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in the cluster's shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints.
 
-    The folder is read from the session; one is set only where none is, as in
-    tests on one machine.
+    A folder of this machine is taken only in local mode where none is named, as in tests.
     """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a copy in the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusloom-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -11,16 +11,12 @@ from pyspark.sql import types as T
 
 from corpusloom.functions.text import cache_name
 from corpusloom.schema import RECORD
+from corpusloom.session import shared_root
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; below a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared one."""
+    return f"{shared_root(spark).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:

@@ -81,7 +81,8 @@ def test_pending(spark, tmp_path):
     lines(f"{tmp_path}/p/a.json", [{"x1": {"arm": "extreme", "language": "en"}, "t1": {"arm": "technique"}}])
     got = pending.read_pending(spark, f"{tmp_path}/p/a.json")
     assert {(r["id"], r["arm"]) for r in got.collect()} == {("x1", "extreme"), ("t1", "technique")}
-    pending.write_pending(got, f"{tmp_path}/q")
+    pending.write_pending(got.coalesce(1), f"{tmp_path}/q")
+    assert {(r["id"], r["arm"]) for r in pending.read_pending(spark, f"{tmp_path}/q").collect()} == {("x1", "extreme"), ("t1", "technique")}
     df = spark.createDataFrame([("a", '{"arm": "scope"}'), ("b", "{}"), ("c", None), ("a", '{"arm": "scope"}')], "id string, meta string")
     assert {(r["arm"], r["rows"], r["ids"]) for r in pending.describe_pending(df).collect()} == {("scope", 2, 1), (None, 2, 2)}
 
@@ -115,10 +116,41 @@ def test_stream_goes_on_after_restart(spark, tmp_path):
     lines(f"{base}/in/a.jsonl", [record("1"), record("2"), record("1", "again")])
 
     def run():
-        q = ingest.ingest(ingest.first_by_id(ingest.arriving(spark, f"{base}/in")), f"{base}/out", f"{base}/state")
+        q = ingest.ingest(ingest.arriving(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
         q.awaitTermination()
 
     run()
     lines(f"{base}/in/b.jsonl", [record("2"), record("3"), {"arm": "no id"}])
     run()
     assert sorted(r["id"] for r in corpora.read_jsonl(spark, f"{base}/out").collect()) == ["1", "2", "3"]
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
+    import shutil
+
+    base = str(tmp_path)
+    lines(f"{base}/in/a.jsonl", [record("1"), record("2")])
+    for _ in range(2):
+        ingest.ingest(ingest.arriving(spark, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination()
+        shutil.rmtree(f"{base}/state")  # the batch's commit is lost
+    assert sorted(r["id"] for r in corpora.read_jsonl(spark, f"{base}/out").collect()) == ["1", "2"]
+
+
+def test_submit_poll_collect(spark, tmp_path):
+    base = str(tmp_path)
+    service = pending.FolderService(f"{base}/service")
+    grid = spark.createDataFrame([("x__d__en__0", "extreme", "ask"), ("s__c__en__0", "scope", "tell me")], "id string, arm string, prompt string")
+    batch = pending.submit(grid, service, base, "m", 10)
+    with pytest.raises(ValueError, match="not collected"):
+        pending.submit(grid, service, base, "m", 10)
+    assert pending.poll(service, batch)["state"] == "ended"
+    got = {r["id"]: (r["arm"], r["proof"]) for r in pending.collect(spark, base, "corpusloom.sources.pending:FolderService", {"root": f"{base}/service"}, f"{base}/c.jsonl").collect()}
+    assert got == {"x__d__en__0": ("extreme", "ask"), "s__c__en__0": ("scope", "tell me")}
+    pending.submit(grid, service, base, "m", 10)  # collected, so a new one may go
+
+    class Slow:
+        def status(self, batch):
+            return {"state": "processing"}
+
+    with pytest.raises(TimeoutError):
+        pending.poll(Slow(), "b", 0, 3)

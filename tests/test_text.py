@@ -115,29 +115,68 @@ def test_spearman_and_threshold(spark):
     assert b["accuracy"] == pytest.approx(0.75)
 
 
-def test_every_record_is_masked(spark, data_dir):
-    import re
-    from collections import Counter
-
+def test_masking_terms_of_several_words_is_sequential(spark):
+    import random
+
+    words = ["a", "b", "c", "d", "m", "ab"]
+    rng = random.Random(4)
+    cases = [(["b c d", "a b"], "a b c d"), (["a b", "b"], "a b b"), (["m", "a m"], "a m b m"), (["a", "m"], "a b m"), (["(a)", "a"], "(a) a")]
+    for _ in range(60):
+        terms = sorted({" ".join(rng.choices(words, k=rng.choice((1, 1, 2, 3)))) for _ in range(4)}, key=lambda t: (-len(t), t))
+        cases.append((terms, " ".join(rng.choices(words + ["B", "x"], k=12))))
+    for terms, t in cases:
+        want = t
+        for x in terms:
+            want = re.sub(rf"(?<!\w){re.escape(x)}(?!\w)", lexical.PLACEHOLDER, want, flags=re.I)
+        assert spark.range(1).select(lexical.mask(F.lit(t), terms, spaced=True)).first()[0] == want, (terms, t)
+
+
+def test_registry_tiers_against_brute_force(spark, data_dir):
     from corpusloom.plans import catalog
-    from corpusloom.plans.corpus import DENSE_SCRIPTS, corpus
-
-    rows = corpus(spark, data_dir).select("line_no", "language", "technique", "proof").collect()
-
-    def kept(language, text):
-        for t in sorted(catalog.MASK_TERMS.get(language, []), key=lambda t: (-len(t), t)) if language not in DENSE_SCRIPTS else catalog.MASK_TERMS[language]:
-            text = text.replace(t, "\0") if language in DENSE_SCRIPTS else re.sub(rf"(?<!\w){re.escape(t)}(?!\w)", "\0", text, flags=re.I)
-        return len(text) - text.count("\0")
-
-    full = [r for r in rows if r.proof is not None]
-    got = {r.language: (r.n, r.kept) for r in catalog.queries()["A24_text_kept_all"](spark, data_dir).collect()}
-    assert {k: n for k, (n, _) in got.items()} == Counter(r.language for r in full)
-    for language, (_, share) in got.items():
-        mine = [r for r in full if r.language == language]
-        assert abs(share - sum(kept(language, r.proof) for r in mine) / sum(len(r.proof) for r in mine)) < 1e-5
-    assert catalog.queries()["L31_masked_texts_all"](spark, data_dir).count() == len(rows)
-    assert catalog.queries()["D7_placeholder_leak_all"](spark, data_dir).count() == len({r.language for r in rows})
-    by_technique = catalog.queries()["D8_kept_by_technique_all"](spark, data_dir).collect()
-    assert sum(r.n for r in by_technique) == sum(r.technique is not None for r in full)
-    sink = catalog.queries()["S7_masked_sink_all"](spark, data_dir).collect()
-    assert sum(r.n for r in sink) == len(rows)
+    from corpusloom.plans.corpus import corpus
+
+    rows = corpus(spark, data_dir).where("proof is not null").select("line_no", "arm", "proof").collect()
+    got = {(r.tier, r.arm): r for r in catalog.queries()["D10_tier_masking"](spark, data_dir).collect()}
+    for tier, entries in (("names", lexical.NAMES), ("notation", lexical.NOTATION)):
+        forms = sorted({f for _, fs in entries for f in fs}, key=lambda f: (-len(f), f))
+        rx = re.compile(r"\b(?:" + "|".join(f[3:] for f in forms if f.startswith("re:")) + ")", re.I)
+
+        def masked(t):
+            t = rx.sub("\0", t)
+            for f in forms:
+                if not f.startswith("re:"):
+                    t = t.replace(f, "\0")
+            return t
+
+        for arm in {r.arm for r in rows}:
+            mine = [(r.proof, masked(r.proof)) for r in rows if r.arm == arm]
+            assert got[tier, arm].touched == sum(a != b for a, b in mine) and got[tier, arm].n == len(mine)
+            assert got[tier, arm].kept == pytest.approx(sum(len(b.replace("\0", "")) for _, b in mine) / sum(len(a) for a, _ in mine), abs=1e-6)
+
+
+def test_forms_without_the_automaton(monkeypatch):
+    import sys
+
+    entries = [("x", ["ab", "abc", "re:q\\w"]), ("y", ["bc"]), ("z", ["absent"])]
+    with_library = lexical.form_finder(entries)("xabcd Qz")
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert lexical.form_finder(entries)("xabcd Qz") == with_library == {0: (1, 3), 1: (2, 2)}
+    assert lexical.form_finder([])("x") == {}
+
+
+def test_settings_guard(spark):
+    df = spark.createDataFrame([("a", "high"), ("a", "high")], "model string, effort string")
+    bookkeeping.guard_settings(df, "a", "high")
+    bookkeeping.guard_settings(df.limit(0), "a", "high")
+    with pytest.raises(ValueError, match="holds records of"):
+        bookkeeping.guard_settings(df, "a", "low")
+
+
+def test_cell_spread_counts_repeated_lengths(spark):
+    import statistics
+
+    cells = {"a": [3, 3, 3, 10, 7], "b": [5], "c": [0, 0]}
+    df = spark.createDataFrame([(k, v) for k, vs in cells.items() for v in vs] + [("a", None)], "k string, chars int")
+    got = {r["k"]: r for r in lengths.cell_spread(df, ["k"]).collect()}
+    assert got["a"]["n"] == 5 and got["a"]["median_chars"] == 3 and got["a"]["cv"] == pytest.approx(statistics.stdev(cells["a"]) / 5.2)
+    assert got["b"]["cv"] is None and got["c"]["cv"] is None

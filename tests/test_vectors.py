@@ -90,10 +90,13 @@ def test_pair_similarity_equals_brute_force(rows):
         assert got[f]["same"] == pytest.approx(cos[i, j][same].mean()) and got[f]["diff"] == pytest.approx(cos[i, j][~same].mean())
 
 
-def test_furthest_pair_equals_brute_force(rows):
+def test_furthest_pair_equals_brute_force(spark, rows):
+    rng = np.random.default_rng(3)
     data = rows.orderBy("line_no").collect()
     x = np.array([r["vec"] for r in data])
     cos = np.round(x @ x.T, 9)
+    bounded = spark.createDataFrame([(k, [1.0, 0.02 * rng.random(), 0.02 * rng.random()]) for k in range(100)] + [(200, [1.0, 0.3, 0.0]), (201, [1.0, -0.3, 0.0])], "line_no long, vec array<double>")
+    assert tuple(geometry.furthest_pair(bounded, "line_no", block=37).first())[:2] == (200, 201)
     got = geometry.furthest_pair(rows, "line_no", block=37).first()
     assert got["cos"] == pytest.approx(cos.min()) and cos[got["a"], got["b"]] == pytest.approx(cos.min()) and got["a"] < got["b"]
 
@@ -130,21 +133,116 @@ def test_hull():
     assert kernels.hull_residual(np.zeros((0, 3)), np.ones(3))[1] == float("inf")
 
 
-def test_nnls_against_projection():
+def test_mixture_against_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        a, b = rng.normal(size=(8, 4)), rng.normal(size=8)
-        x, r = kernels.nnls(a, b)
-        best = np.zeros(4)
-        for _ in range(4000):
-            best = np.maximum(0, best - 0.02 * (a.T @ (a @ best - b)))
-        assert (x >= 0).all() and r <= np.linalg.norm(a @ best - b) + 1e-6
+    grid = np.array([(a, b, c, 40 - a - b - c) for a in range(41) for b in range(41 - a) for c in range(41 - a - b)]) / 40
+    for k in range(20):
+        points, q = rng.normal(size=(4, 3)), rng.normal(size=3) * (0.3 if k % 2 else 2)
+        if k == 7:
+            points[2] = points[1]  # a repeated point
+        weights, r = kernels.hull_residual(points, q)
+        best = np.linalg.norm(grid @ points - q, axis=1).min()
+        reach = np.linalg.norm(q - points.mean(0))
+        assert weights.min() >= 0 and weights.sum() == pytest.approx(1.0)
+        assert np.linalg.norm(weights @ points - q) == pytest.approx(r * reach, abs=1e-6) and r * reach <= best + 1e-9 and best - r * reach < 0.12
 
 
 def test_hull_bootstrap_runs(rows):
     c = assignment.centred(rows, ["line_no", "arm", "theorem", "technique", "direction", "style"])
     got = kernels.hull_bootstrap(c, "own", replicates=10).first()
     assert got["replicates"] == 10 and 0 <= got["inside"] <= 1
+    assert kernels.hull_bootstrap(c.limit(0), "own", replicates=10).first()["replicates"] == 0
+
+
+def test_bootstrap_means_scatter_like_resamples(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(k, "a", v.tolist()) for k, v in enumerate(x)], "line_no long, cell string, vec array<double>")
+    got = resample.bootstrap_means(df, "cell", "line_no", 400).collect()
+    means = np.array([r["mean"] for r in got])
+    assert len(got) == 400 and np.allclose(means.mean(0), x.mean(0), atol=0.02) and np.allclose(means.std(0), x.std(0) / np.sqrt(200), rtol=0.2)
+    again = {r["replicate"]: r["mean"] for r in resample.bootstrap_means(df.repartition(5), "cell", "line_no", 400).collect()}
+    assert all(np.allclose(again[r["replicate"]], r["mean"]) for r in got)
+
+
+def test_shuffled_places_are_bijections():
+    salts = np.arange(1, 30)
+    for n in (1, 2, 3, 7, 64, 101):
+        at = resample.shuffled_places(np.arange(n), np.full(n, n), salts)
+        assert (np.sort(at, axis=0) == np.arange(n)[:, None]).all()
+    at = resample.shuffled_places(np.arange(5), np.full(5, 5), np.arange(4000))
+    assert abs(at.mean(1) - 2).max() < 0.15  # no place is favoured
+
+
+def test_shuffled_means_keep_the_cells(rows):
+    arm = rows.where("arm = 'technique'")
+    data = arm.collect()
+    got = resample.shuffled_means(arm, "technique", ["language", "style"], "line_no", 6).collect()
+    assert len(got) == 18 and all(r["weight"] == 40 for r in got)
+    # labels keep their numbers in each cell, so the means of a replicate average to the mean of all
+    whole = np.mean([r["vec"] for r in data], axis=0)
+    for k in range(6):
+        assert np.allclose(np.mean([r["mean"] for r in got if r["replicate"] == k], axis=0), whole)
+    assert not np.allclose(got[0]["mean"], got[1]["mean"])
+
+
+def test_tail_of_chi_square():
+    # the known 95 % points, and the exact tails of two and four degrees of freedom
+    for x, dof in ((3.841459, 1), (5.991465, 2), (14.067140, 7), (82.528727, 63)):
+        assert stats.chi_square_tail(x, dof) == pytest.approx(0.05, abs=1e-6)
+    assert stats.chi_square_tail(560.0, 2) == pytest.approx(np.exp(-280)) and stats.chi_square_tail(8.0, 4) == pytest.approx(5 * np.exp(-4))
+    assert stats.chi_square_tail(0.0, 3) == 1.0
+
+
+def test_probe_weights_solve_the_problem(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 3))
+    y = (x @ rng.normal(size=(3, 3)) + rng.normal(size=(90, 3))).argmax(1)
+    df = spark.createDataFrame([(k, f"c{c}", v.tolist()) for k, (v, c) in enumerate(zip(x, y))], "line_no long, lab string, vec array<double>")
+    data, names, levels, width, kept = probes.tagged(df, ["lab"], 3)
+    one = [probes.Probe("is_lab", 3, ("fold_lab", 0, False), ("fold_lab", 0, True)), probes.Probe("is_lab", 3, ("fold_lab", 1, False), ("fold_lab", 1, True), 2)]
+    probes.train_probes(data, names, one, width, tolerance=1e-7)
+    fold = {r["line_no"]: r["fold"] for r in resample.folds(df, "lab", "line_no", 3).collect()}
+    for p, f, d in ((one[0], 0, 3), (one[1], 1, 2)):
+        own = np.array([fold[k] != f for k in range(90)])
+        w = np.zeros((3, d + 1))
+        for _ in range(6000):
+            z = x[own][:, :d] @ w[:, :-1].T + w[:, -1]
+            e = np.exp(z - z.max(1, keepdims=True))
+            e /= e.sum(1, keepdims=True)
+            e[np.arange(own.sum()), y[own]] -= 1
+            w -= 0.5 * (np.c_[e.T @ x[own][:, :d], e.sum(0)] / own.sum() + np.c_[w[:, :-1], np.zeros(3)] / own.sum())
+        assert np.allclose(p.weights - p.weights.mean(0), w - w.mean(0), atol=1e-3)
+    kept.unpersist()
+
+
+def test_silhouette_against_brute_force(rows):
+    arm = rows.where("arm = 'technique'")
+    data = arm.collect()
+    x, lab = np.array([r["vec"] for r in data]), np.array([r["technique"] for r in data])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    s = []
+    for i in range(len(x)):
+        a = d[i][lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1)
+        b = min(d[i][lab == c].mean() for c in set(lab) - {lab[i]})
+        s.append((b - a) / max(a, b))
+    assert probes.silhouette(arm, "technique", block=50) == pytest.approx(np.mean(s))
+    assert probes.silhouette(arm.where("technique = 't0'"), "technique") is None
+
+
+def test_word_probes_keep_rows_without_terms(spark):
+    texts = [("t0", "red apple tree"), ("t1", "blue whale sea")]
+    rows = [(k, t, "en", s, f"{text} {s if k % 3 else ''}", [float(k % 2), 1.0]) for k, (t, text, s) in enumerate((t, x, s) for _ in range(6) for t, x in texts for s in ("terse", "verbose"))]
+    rows.append((99, "t1", "en", "verbose", "qqq", [0.0, 1.0]))
+    df = spark.createDataFrame(rows, "line_no long, technique string, language string, style string, proof string, vec array<double>")
+    vecs, names = probes.lexical_vectors(df, probes.lexical.word_terms("proof"), fit_on=F.col("style") == "terse")
+    got = {r["line_no"]: r["features"] for r in vecs.collect()}
+    assert len(got) == len(rows) and got[99].numNonzeros() == 0 and all(v.norm(2) == pytest.approx(1.0) for k, v in got.items() if k != 99)
+    base = {r["representation"]: r for r in probes.lexical_baseline(df, "en", {"words": probes.lexical.word_terms("proof"), "vectors": None}).collect()}
+    assert base["words"]["accuracy"] > 0.95 and base["words"]["n"] == len(rows)
+    sweep = probes.masking_sweep(df, "en", [0, 400]).orderBy("k").collect()
+    assert sweep[0]["accuracy"] > 0.9 and sweep[1]["accuracy"] < 0.7 and sweep[1]["kept"] < sweep[0]["kept"] == 1.0
+    assert probes.discriminative_terms(df.limit(0), ("en", "ja"), ("ja",)).count() == 0
 
 
 def test_probes_on_planted_signal(rows):
@@ -168,8 +266,6 @@ def test_resampling(spark):
     assert s.count() == 90
     a = s.groupBy("replicate").agg(F.sort_array(F.collect_list("shuffled")).alias("x")).collect()
     assert all(r["x"] == sorted(f"l{k % 3}" for k in range(30)) for r in a)
-    b = resample.bootstrap_slots(df, ["cell"], "line_no", 4)
-    assert b.count() == 120 and b.join(df, ["line_no", "cell"]).count() == 120
     assert resample.one_per_cell(df, ["cell"], "line_no").count() == 2
     f = resample.folds(df, "lab", "line_no")
     assert f.groupBy("lab", "fold").count().agg(F.max("count")).first()[0] == 2
@@ -195,10 +291,18 @@ def test_null_from_margins_agrees_with_shuffles(spark):
     rng = np.random.default_rng(5)
     rows = [(k, f"r{rng.integers(3)}", f"c{rng.integers(4)}") for k in range(150)]
     df = spark.createDataFrame(rows, "line_no long, direction string, best string")
-    a = assignment.permutation_null(df, "direction", "best", "line_no", 400).first()
-    b = assignment.null_from_margins(df, "direction", "best", 4000).first()
-    assert a["observed"] == pytest.approx(b["observed"]) and abs(a["null_mean"] - b["null_mean"]) < 0.6 and abs(a["p"] - b["p"]) < 0.08
-    assert assignment.null_from_margins(df.limit(0), "direction", "best").count() == 0
+    a, b = (np.unique([r[k] for r in rows], return_inverse=True)[1] for k in (1, 2))
+
+    def chi(x, y):
+        t = np.histogram2d(x, y, bins=(3, 4))[0]
+        return 150 * (t * t / np.outer(t.sum(1), t.sum(0))).sum() - 150
+
+    shuffled = np.array([chi(a, rng.permutation(b)) for _ in range(3000)])
+    got = assignment.permutation_null(df, "direction", "best", 4000).first()
+    assert got["observed"] == pytest.approx(chi(a, b)) and abs(got["null_mean"] - shuffled.mean()) < 0.3 and abs(got["p"] - (shuffled >= chi(a, b) - 1e-9).mean()) < 0.05
+    assert assignment.permutation_null(df.limit(0), "direction", "best").count() == 0
+    one = assignment.null_agreement(df, "direction", "best", 4000).first()
+    assert one["agrees"] and one["exact_mean"] == pytest.approx(150 / 149 * 6)
 
 
 def test_places_cross_parts(spark):
@@ -231,7 +335,6 @@ def test_nearest_levels_in_blocks(spark, monkeypatch):
 
 
 def test_fitted_queries_have_the_reference_parameters(monkeypatch):
-    from corpusloom.operators import assignment, geometry, kernels, probes
     from corpusloom.plans import catalog
 
     class Rows:
@@ -241,9 +344,10 @@ def test_fitted_queries_have_the_reference_parameters(monkeypatch):
     for name in ("vectors", "_centred", "_assigned"):
         monkeypatch.setattr(catalog, name, lambda *a: Rows())
     monkeypatch.setattr(catalog, "_tidy", lambda rows: rows)
-    monkeypatch.setattr(catalog.lexical, "word_terms", lambda *a: None)
-    for module, name in ((assignment, "null_from_margins"), (geometry, "angle_null"), (kernels, "hull_bootstrap"), (probes, "pca_probe"), (probes, "discriminative_terms"), (probes, "masking_sweep"), (probes, "style_slices")):
-        monkeypatch.setattr(module, name, lambda *a, **k: [*a, *k.values()])
-    ran = {name: catalog.queries()[name](None, "") for name in ("L8_null_from_margins", "L18_angle_null", "L14_hull_bootstrap", "L19_pca_probe", "L30_discriminative_terms", "L33_masking_sweep", "L27_style_slices")}
-    assert [ran[k][-1] for k in ran] == [20_000, 200, 1000, [2, 5, 10, 20, 50], 400, [0, 10, 50, 100, 400], 10]
-    assert ran["L19_pca_probe"][1] == ["technique", "language", "style"]
+    for module, name in ((assignment, "permutation_null"), (geometry, "angle_null"), (kernels, "hull_bootstrap"), (probes, "pca_probe"), (probes, "discriminative_terms"), (probes, "masking_sweep"), (probes, "masking_ablation"), (probes, "style_slices")):
+        monkeypatch.setattr(module, name, lambda *a, **k: [*a, k])
+    ran = {name: catalog.queries()[name](None, "") for name in ("L8_permutation_null", "L18_angle_null", "L14_hull_bootstrap", "L19_pca_probe", "L30_discriminative_terms", "L32_masking_ablation", "L33_masking_sweep", "L27_style_slices")}
+    assert ran["L8_permutation_null"][-2] == 20_000 and ran["L18_angle_null"][-2] == 200 and ran["L14_hull_bootstrap"][-1] == {"replicates": 1000}
+    assert ran["L19_pca_probe"][2] == [2, 5, 10, 20, 50] and ran["L19_pca_probe"][-1]["cell_dims"] == [5, 10, 20]
+    assert ran["L30_discriminative_terms"][-2] == ran["L32_masking_ablation"][-2] == 400 and ran["L33_masking_sweep"][2] == [0, 10, 50, 100, 400] and ran["L27_style_slices"][-2] == 10
+    assert probes.MAX_ITER == 3000
