@@ -2,7 +2,7 @@ import itertools
 import random
 from collections import defaultdict
 
-from corpusloom.llm import clusters, fold, leakage
+from corpusloom.llm import clusters, fold, leakage, segment
 
 WORDS = "sieve list prime divisor product remainder bound exponent factor tree chain index set sum class pair core block root side".split()
 
@@ -88,21 +88,48 @@ def versions(seed=7, families=25, hot=60):
     return rows, family
 
 
-def closure(rows, share=0.5):
-    keys = {i: set(clusters.sentence_keys(t)) for i, t in rows}
-    root = {i: i for i in keys}
+def recurs(a, b):
+    """Written from the definition: one word left out of each (numbers kept), or the same telling numbers and half of the words in order."""
+    numbers = [[w for w in x if w.isdigit()] for x in (a, b)]
+    rich = [len(n) >= 2 and sum(map(len, n)) >= 4 for n in numbers]
+    if numbers[0] != numbers[1] or rich[0] != rich[1]:
+        return False
+    if rich[0]:
+        a, b = ([w for w in x if not w.isdigit()] for x in (a, b))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        return 2 * row[-1] >= max(len(a), len(b))
+    # equal, or equal after one word of each, or of one, is left out
+    left = [{tuple(x)} | ({tuple(x[:k] + x[k + 1 :]) for k in range(len(x)) if not x[k].isdigit()} if len(x) >= 4 else set()) for x in (a, b)]
+    return bool(left[0] & left[1])
+
+
+def joined(edges, nodes):
+    root = {x: x for x in nodes}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(keys, 2):
-        if keys[a] and keys[b] and len(keys[a] & keys[b]) > share * min(len(keys[a]), len(keys[b])):
-            root[find(a)] = find(b)
+    for a, b in edges:
+        root[find(a)] = find(b)
+    return {x: find(x) for x in nodes}
+
+
+def closure(rows, share=0.5):
+    words = {i: {tuple(fold.words(t[a:b])) for a, b in segment.units(t)} - {()} for i, t in rows}
+    every = sorted(set().union(*words.values()))
+    of = joined([(a, b) for a, b in itertools.combinations(every, 2) if recurs(list(a), list(b))], every)
+    keys = {i: {of[w] for w in ws} for i, ws in words.items()}
+    root = joined([(a, b) for a, b in itertools.combinations(keys, 2) if keys[a] and keys[b] and len(keys[a] & keys[b]) > share * min(len(keys[a]), len(keys[b]))], keys)
     groups = defaultdict(list)
     for i in keys:
-        groups[find(i)].append(i)
+        groups[root[i]].append(i)
     return {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
 
 
@@ -178,10 +205,52 @@ def test_number_poor_sentences_recur_with_one_word_changed(spark):
     df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((base, worded, other, rich, more))], "row_idx long, proof string")
     got = {tuple(r) for r in clusters.cluster_pairs(clusters.cluster_versions(df)).collect()}
     assert got == {(0, 1), (3, 4)}
-    marks = [set().union(*clusters.sentence_marks(x).values()) for x in ("The sum is 5 for the pair.", "The sum is 6 for the pair.")]
+    marks = [set(clusters.wording_marks(fold.words(x))) for x in ("The sum is 5 for the pair.", "The sum is 6 for the pair.")]
     assert not marks[0] & marks[1]  # numbers tell sentences apart
 
 
+def test_marks_against_brute_force():
+    rng = random.Random(9)
+    texts = [[rng.choice(["a", "bb", "c", "7", "12"]) for _ in range(rng.randint(1, 7))] for _ in range(150)]
+    for a, b in itertools.combinations(texts[:60], 2):
+        if all(len([w for w in x if w.isdigit()]) < 2 for x in (a, b)):
+            assert bool(set(clusters.wording_marks(a)) & set(clusters.wording_marks(b))) == recurs(a, b), (a, b)
+
+
+def test_equal_numbers_alone_do_not_recur(spark):
+    a = ["In 1923 they bought 4567 new red bicycles there.", "On 12 may 2004 the harbour froze."]
+    b = ["By 1923 our house held 4567 very old books.", "After 12 years some 2004 birds came back."]
+    c = ["In 1923 they sold 4567 new blue bicycles there.", "On 12 may 2004 the old harbour froze again."]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate((a, b, c))], "row_idx long, proof string")
+    assert {tuple(r) for r in clusters.cluster_pairs(clusters.cluster_versions(df)).collect()} == {(0, 2)}
+
+
+def test_many_wordings_of_the_same_numbers(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "ANCHORS", 2)  # several rounds of leaders
+    rng = random.Random(2)
+    families = [[rng.choice(WORDS) + tail for _ in range(6)] for tail in "abcdefg"]
+    rows = []
+    for ws in families:
+        for _ in range(6):
+            v = list(ws)
+            v[rng.randrange(6)] = "other"
+            rows.append((len(rows), f"{v[0]} {v[1]} 2020 {v[2]} {v[3]} 2021 {v[4]} {v[5]}."))
+    got = {tuple(r) for r in clusters.cluster_pairs(clusters.cluster_versions(spark.createDataFrame(rows, "row_idx long, proof string"))).collect()}
+    assert got == closure(rows) and len(got) == 7 * 15
+
+
+def test_hot_sentences_do_not_hide_links(spark):
+    rng = random.Random(5)
+    hot = [sentence(rng) for _ in range(2)]
+    rows = [(k, " ".join([sentence(rng) for _ in range(8)] + hot)) for k in range(200)]
+    rows.append((200, " ".join([*hot, sentence(rng)])))  # two of its three sentences recur in all others
+    members = {r["row_idx"]: r["cluster"] for r in clusters.cluster_versions(spark.createDataFrame(rows, "row_idx long, proof string")).collect()}
+    found = clusters.links(clusters.keyed(spark.createDataFrame(rows, "row_idx long, proof string"), "row_idx", "proof").select("node", "keys"))
+    nodes = joined([(r.src, r.dst) for r in found.collect()], [r for r in {x for r in found.collect() for x in (r.src, r.dst)}])
+    assert len(nodes) == 201 and len(set(nodes.values())) == 1
+    assert sum(c == members[200] for c in members.values()) == 201
+
+
 def test_leaks_without_an_intact_q_gram():
     items = [(1, "n=12 ok. m=34 no."), (2, "ab."), (3, "The prime 512 divides the chain 77. The bound 901 exceeds the sum 38.")]
     spoilt = "Thx prixe 512 dixides txe chxin 77. Txe boxnd 901 exceexs thx sum 38."
