@@ -2,10 +2,12 @@
 
 Truncation: the length of every text is recomputed under several encodings
 (code points, UTF-8 bytes, UTF-16 units, entity-escaped, JSON-escaped,
-JSON-escaped in ASCII, CRLF lines). Per source and encoding, a length at which
-texts pile up far above the lengths around it is a hidden storage limit, if
-most of those texts end cut. Every ending is then inspected; an ending that may
-be whole or cut (a dot that may stand inside a number) is decided by the limit.
+JSON-escaped in ASCII, CRLF lines), before what transfer put behind it. Per
+source and encoding, a length at which texts pile up far above the lengths
+around it is a hidden storage limit, if most of those texts end cut. Every
+ending is then inspected; an ending that may be whole or cut (a dot that may
+stand inside a number) is decided by how all texts go on behind such a number,
+and else by the limit.
 
 Pairs: see `records` for empty, refusing and copying answers; the language is
 compared with the one the prompt asks for.
@@ -13,8 +15,8 @@ compared with the one the prompt asks for.
 
 from __future__ import annotations
 
-import html
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import endings, language, records
-from corpusloom.session import checkpoint
+from corpusloom.session import stored
 
 ENCODINGS = ("chars", "utf8", "utf16", "html", "json", "json_ascii", "crlf")
 
@@ -39,12 +41,41 @@ def encoded_lengths(text: str) -> list[int]:
     return [n, len(text.encode("utf-8", "surrogatepass")), len(text.encode("utf-16-le", "surrogatepass")) // 2, escaped, len(json.dumps(text, ensure_ascii=False)) - 2, ascii_json, crlf]
 
 
+#: Share of all decimals that a context must hold to be kept, so at most 1 / DECIMAL_SHARE contexts are sent to the workers.
+DECIMAL_SHARE = 1e-5
+#: Characters below a limit that still meet it: blanks behind the cut are lost.
+LIMIT_SLACK = 2
+
+
+def decimal_contexts(df: DataFrame, text_col: str, least: int = 8, share: float = 0.95) -> frozenset[str]:
+    """Contexts (the words before a number) in which numbers with a dot behind go on in `share` of all cases, over all texts.
+
+    Counts are added up per batch, then per context; a context must hold
+    DECIMAL_SHARE of all decimals, which bounds their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                if text:
+                    counts.update(endings.number_contexts(text))
+            names = sorted({c for c, _ in counts})
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[c, True] for c in names], pa.int64()), pa.array([counts[c, False] for c in names], pa.int64())], names=["context", "goes_on", "ends"])
+
+    counted = df.select(df[text_col].cast("string").alias("text")).mapInArrow(run, "context string, goes_on long, ends long").groupBy("context").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
+    counted = stored(counted.where(F.col("goes_on") >= least))
+    total = counted.agg(F.sum("goes_on")).first()[0] or 0
+    kept = counted.where((F.col("goes_on") >= DECIMAL_SHARE * total) & (F.col("goes_on") >= share * (F.col("goes_on") + F.col("ends"))))
+    return frozenset(r["context"] for r in kept.select("context").limit(int(1 / DECIMAL_SHARE) + 1).collect())
+
+
 def assess(df: DataFrame, id_col: str, text_col: str, prompt_col: str, source_col: str, table: language.LanguageFilter | None = None) -> DataFrame:
     """One row per record: id, source, nature, ends (0 whole, 1 cut, 2 unsure), lengths, other_language.
 
     `nature` is 'empty', 'refusal', 'copied' or 'content'. With a language
     filter, `other_language` tells that no whole sentence outside quotations is
-    in the language the prompt asks for. Null texts are empty, null prompts ask
+    in the language the prompt asks for. `lengths` are those before debris. Null texts are empty, null prompts ask
     for nothing. A narrow map; equal rows give equal rows.
     """
     schema = T.StructType(
@@ -58,6 +89,8 @@ def assess(df: DataFrame, id_col: str, text_col: str, prompt_col: str, source_co
         ]
     )
 
+    decimal = decimal_contexts(df, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, prompts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -65,11 +98,11 @@ def assess(df: DataFrame, id_col: str, text_col: str, prompt_col: str, source_co
             ends, lengths = [], []
             for text, kind in zip(texts, natures):
                 if kind == "content":
-                    code, marked = endings.ending(text)
+                    code, marked = endings.ending(text, decimal)
                     ends.append(endings.CUT if marked and code == endings.UNSURE else code)
                 else:
                     ends.append(endings.WHOLE)
-                lengths.append(encoded_lengths(text) if text else None)
+                lengths.append(encoded_lengths(endings.before_debris(text)) if text and kind == "content" else None)
             other = [False] * len(texts)
             if table is not None:
                 spoken = language.speak([t if k == "content" else None for t, k in zip(texts, natures)], prompts, table)
@@ -83,6 +116,10 @@ def assess(df: DataFrame, id_col: str, text_col: str, prompt_col: str, source_co
     return df.select(df[id_col], df[source_col].cast("string"), df[text_col].cast("string"), df[prompt_col].cast("string")).mapInArrow(run, schema)
 
 
+#: Lengths that one task of the search for limits looks at.
+BLOCK = 4096
+
+
 def storage_limits(assessed: DataFrame, around: int = 25, times: float = 6.0, least: int = 6, cut_share: float = 0.6) -> DataFrame:
     """Hidden limits: source, encoding, length, records, cut.
 
@@ -94,9 +131,14 @@ def storage_limits(assessed: DataFrame, around: int = 25, times: float = 6.0, le
     """
     long = assessed.where("nature = 'content' and lengths is not null").select("source", "ends", F.posexplode("lengths").alias("encoding", "length"))
     piles = long.groupBy("source", "encoding", "length").agg(F.count("*").alias("records"), F.count_if(F.col("ends") == 1).alias("cut"))
-    near = Window.partitionBy("source", "encoding", F.floor(F.col("length") / 4096)).orderBy("length").rangeBetween(-around, around)
+    # blocks of lengths overlap by what is looked at, so none is judged from one side
+    block = F.floor(F.col("length") / BLOCK)
+    blocks = F.array_distinct(F.array(*(F.floor((F.col("length") + k) / BLOCK) for k in (0, -around, around))))
+    near = Window.partitionBy("source", "encoding", "block").orderBy("length").rangeBetween(-around, around)
     return (
-        piles.withColumn("density", (F.sum("records").over(near) - F.col("records")) / F.lit(2 * around))
+        piles.withColumn("block", F.explode(blocks))
+        .withColumn("density", (F.sum("records").over(near) - F.col("records")) / F.lit(2 * around))
+        .where(F.col("block") == block)
         .where((F.col("records") >= least) & (F.col("records") >= times * F.greatest(F.col("density"), F.lit(0.5))) & (F.col("cut") >= cut_share * F.col("records")))
         .select("source", "encoding", "length", "records", "cut")
     )
@@ -105,13 +147,14 @@ def storage_limits(assessed: DataFrame, around: int = 25, times: float = 6.0, le
 def _verdicts(assessed: DataFrame) -> DataFrame:
     """assessed with `truncated`, `limit_encoding`, `limit_length`.
 
-    Of the limits a record's lengths meet, the one with most records is named.
+    A record meets a limit when its length is the limit or up to LIMIT_SLACK less.
+    Of the limits met, the one with most records is named.
     """
-    kept = checkpoint(assessed)
+    kept = stored(assessed)
     limits = storage_limits(kept)
     by_source = limits.groupBy("source").agg(F.collect_list(F.struct("records", "encoding", "length")).alias("limits"))
     joined = kept.join(by_source.withColumnRenamed("source", "limit_source"), F.col("source").eqNullSafe(F.col("limit_source")), "left")
-    met = F.array_max(F.filter("limits", lambda x: F.get("lengths", x["encoding"]) == x["length"]))
+    met = F.array_max(F.filter("limits", lambda x: F.get("lengths", x["encoding"]).between(x["length"] - LIMIT_SLACK, x["length"])))
     names = F.array(*map(F.lit, ENCODINGS))
     return joined.withColumn("met", met).select(
         "id",

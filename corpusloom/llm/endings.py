@@ -8,6 +8,7 @@ end-of-proof marks; what remains is judged by its last characters.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from corpusloom.llm.segment import BEFORE_NUMBER, BEFORE_ORDINAL, CJK, MAY_END, NEVER_END
 
@@ -23,8 +24,8 @@ _REFERENCE = re.compile(r"(?:\[[\w,;– -]{1,12}\]|[¹²³⁰-⁹])+$")
 _TERM = "。．｡！？!?।"
 _CLOSE = ")）]】”’»」』›\"'*_"
 _OPEN = {")": "(", "）": "（", "]": "[", "】": "【", "”": "“", "»": "«", "」": "「", "』": "『", "›": "‹"}
-# Words before a number that is given with decimals.
-_DECIMAL_CUE = re.compile(r"(?:roughly|about|approximately|approx\.?|by|cost of|error of|environ|env\.?|par|à|etwa|ungefähr|ca\.|durch|fehler von|aproximadamente|aprox\.?|por|error de|gives|gives about|donne|liefert|schranke|bound|borne|cota|约为|以|およそ|から|界|評価)\s*$", re.I)
+_NUMBER_DOT = re.compile(r"(?<![\d.,])\d{1,2}\.(?:(?=\d)|\s+(?=\S))")
+_LAST_TOKENS = re.compile(r"([^\W\d_]+)?[^\w]*([^\W\d_]+)\W*$")
 _LAST_WORD = re.compile(r"[^\W\d_]+(?:[.\-]+[^\W\d_]+)*$")
 _QUOTED_END = re.compile(r"[“«「『„]")
 
@@ -35,9 +36,41 @@ def _pairs_open(text: str, mark: str) -> bool:
     return opener is None or text.count(opener) >= text.count(mark)
 
 
-def ending(text: str | None) -> tuple[int, bool]:
+def context(before: str) -> str | None:
+    """What stands before a number: the last two words, of spaceless scripts the last two characters; None at a text's start."""
+    m = _LAST_TOKENS.search(before[-40:])
+    if not m:
+        return None
+    last = m.group(2).lower()
+    if CJK.match(last[-1]):
+        return last[-2:]
+    return f"{(m.group(1) or '').lower()} {last}"
+
+
+def number_contexts(text: str) -> Counter:
+    """(context, whether decimals follow) of the numbers of one or two digits with a dot behind, the text's last one left out."""
+    out: Counter = Counter()
+    for m in _NUMBER_DOT.finditer(text):
+        if c := context(text[max(0, m.start() - 40) : m.start()]):
+            out[c, m.end() < len(text) and text[m.end()].isdigit() and text[m.end() - 1] == "."] += 1
+    return out
+
+
+def before_debris(text: str) -> str:
+    """The text without what transfer and marks of a cut put behind it."""
+    base = text
+    while base:
+        m = _DEBRIS.search(base, max(0, len(base) - 40)) or _CUT_MARK.search(base, max(0, len(base) - 16))
+        if not m or m.start() == m.end():
+            break
+        base = base[: m.start()]
+    return base
+
+
+def ending(text: str | None, decimal: frozenset[str] = frozenset()) -> tuple[int, bool]:
     """WHOLE, CUT or UNSURE (a dot that may stand inside a number), and whether a cut mark stood behind.
 
+    `decimal` holds the contexts in which numbers go on behind their dot.
     Empty and blank texts are WHOLE: they hold no cut sentence.
     """
     if not text:
@@ -87,13 +120,14 @@ def ending(text: str | None) -> tuple[int, bool]:
             return CUT, marked
         return WHOLE, marked
     if last == ".":
-        return _dot(inner, marked), marked
+        line = base[max(base.rfind("\n"), len(base) - 400, 0) :]
+        return _dot(inner, decimal, any(line.rfind(a) > line.rfind(b) for a, b in ("()", "（）"))), marked
     if CJK.search(base[-3:]) and not re.search("[。．｡]", text) and not marked and last not in "，、,：:；" and re.search(r"[\n　]", base.strip()):
         return UNSURE, marked  # a text that writes no full stops
     return CUT, marked
 
 
-def _dot(inner: str, marked: bool) -> int:
+def _dot(inner: str, decimal: frozenset[str], bracket_open: bool) -> int:
     before = inner[:-1]
     if before.endswith(".."):
         return CUT
@@ -105,9 +139,11 @@ def _dot(inner: str, marked: bool) -> int:
         word = _LAST_WORD.search(rest.rstrip())
         if word and word.group().lower() in BEFORE_ORDINAL:
             return CUT
-        if len(digits) == 1 and _DECIMAL_CUE.search(rest[-24:]):
+        if len(digits) > 2:
+            return WHOLE
+        if bracket_open:
             return CUT
-        return UNSURE if len(digits) <= 2 else WHOLE
+        return CUT if context(rest) in decimal else UNSURE
     word = _LAST_WORD.search(before[-16:])
     low = word.group().lower() if word else ""
     if word and CJK.match(low[:1]):

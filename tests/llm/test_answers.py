@@ -17,12 +17,87 @@ def test_whole_endings(text):
 
 @pytest.mark.parametrize(
     "text",
-    ["It is s", "It is so, and", "It is so. Then the…", "It is so. On [cut]", "It is. Then x&he", "It is. Then <br", 'It is. Then"}', "It is. The lower bound is roughly 4.", "It is minimal, i.e.", "que ceci, c.-à-d.", "Nach dem 38.", "It is. We write $x +", "$$ a + b", "これは数", "It is. We obtain\n$$ x $$", "so that n!", "この数は。�", "mit (x + 80)"],
+    ["It is s", "It is so, and", "It is so. Then the…", "It is so. On [cut]", "It is. Then x&he", "It is. Then <br", 'It is. Then"}', "The density is high (cf. Prop. 3.", "It is minimal, i.e.", "que ceci, c.-à-d.", "Nach dem 38.", "It is. We write $x +", "$$ a + b", "これは数", "It is. We obtain\n$$ x $$", "so that n!", "この数は。�", "mit (x + 80)"],
 )
 def test_cut_endings(text):
     assert endings.ending(text)[0] == endings.CUT
 
 
+def test_decimals_are_learnt_from_all_texts(spark):
+    rows = [(k, PROMPT, f"The bound is roughly {k % 9}.{k}25 here. It holds outside block {k % 9}. So it ends.", "b", "x") for k in range(40)]
+    rows += [(100, PROMPT, "The bound is roughly 4.", "b", "x"), (101, PROMPT, "It holds outside block 4.", "b", "x"), (102, PROMPT, "At the very least 7.", "b", "x"), (103, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert answers.decimal_contexts(df, "proof") == {"is roughly"} and answers.decimal_contexts(df.limit(0), "proof") == frozenset()
+    assert {r["line_no"] for r in answers.truncation(df).where("truncated").collect()} == {100}
+
+
+# Not looked at when the templates were written: how else one may decline.
+HELD_OUT = """I'm afraid this request falls outside my remit.
+That isn't something I do.
+Unfortunately I am not in a position to supply such a text.
+I will have to pass on this one.
+Regrettably, I'm unable to comply with what you ask.
+I don't think I should write this; I must say no.
+This goes beyond what I have been asked to handle, so I won't write it.
+I'd prefer not to provide a proof of that statement, number 3 on your list.
+I'm sorry, but I cannot help with proof number 3.
+My rules do not let me answer questions of this type.
+Je regrette, mais cela dépasse mes attributions.
+Malheureusement, je ne suis pas habilité à rédiger ce texte.
+Il ne m'est hélas pas possible de satisfaire votre demande.
+Je me vois contraint de décliner.
+Mes règles m'interdisent de traiter ce sujet.
+Das liegt leider außerhalb meiner Möglichkeiten.
+Ich sehe mich außerstande, diesen Beweis zu liefern.
+Dabei kann ich Ihnen leider nicht behilflich sein.
+Diese Bitte muss ich zurückweisen, denn ich darf so etwas nicht schreiben.
+Ich möchte darauf lieber nicht antworten.
+Me temo que esto queda fuera de mi alcance.
+Lamento decirle que no voy a redactar ese texto.
+No estoy autorizado para contestar a eso.
+Prefiero no responder a esta pregunta.
+Mi dispiace, ma non posso scrivere questa dimostrazione.
+很抱歉，这超出了我的能力范围。
+对不起，我不能为您撰写这样的证明。
+恐怕我没办法回答这个问题。
+恕我无法照办。
+申し訳ございませんが、そのご要望には応じられません。
+残念ながら、このような文章を書くことは私にはできないのです。
+恐れ入りますが、回答を差し控えさせていただきます。""".splitlines()
+
+
+def test_refusals_of_other_wording_and_any_length():
+    n = records.nature
+    found = [n(x, PROMPT) == "refusal" for x in HELD_OUT]
+    assert sum(found) >= 0.9 * len(HELD_OUT), [x for x, f in zip(HELD_OUT, found) if not f]
+    long = "I cannot do this. " + "The topic you raise matters to many people, and I understand why you would like to read more about it. " * 14
+    assert len(long) > 1400 and n(long, PROMPT) == "refusal"
+    assert n("Let p = 3. Then I cannot divide 7 by 2, so p^2 = 9 is odd. " * 3, PROMPT) == "content"
+
+
+def test_copies_and_placeholders_of_any_length():
+    assert records.nature(" ".join([PROMPT] * 9), PROMPT) == "copied"
+    assert records.nature("N/A, n/a; " * 30, PROMPT) == "content" and records.nature("None. " * 40, PROMPT) == "empty"
+    assert records.nature("-" * 500, PROMPT) == "empty" and records.nature("nonetheless it holds " * 10, PROMPT) == "content"
+
+
+def test_limits_beside_block_edges_and_debris(spark):
+    rng = random.Random(8)
+    out = []
+    for k in range(600):
+        text = f"Put k = {k}. " + " ".join(rng.choice(["the", "prime", "sieve", "list", "sum"]) for _ in range(900))
+        out.append((k, PROMPT, (text[:4096] if k % 3 == 0 else text[: rng.randint(300, 4000)] + ".") + (" ..." if k % 6 == 0 else ""), "b1", "x"))
+    text = 'He "said" so & then "went" on. ' * 40
+    for k in range(600, 640):  # a limit on the escaped form: the texts themselves differ in length
+        t = "ab" * (k - 600) + text
+        while answers.encoded_lengths(t)[3] > 1500:
+            t = t[:-1]
+        out.append((k, PROMPT, t.rstrip(), "b2", "x"))
+    df = spark.createDataFrame(out, SCHEMA)
+    limits = {(r["source"], r["encoding"], r["length"]) for r in answers.storage_limits(answers.assess(df, "line_no", "proof", "prompt", "batch_id")).collect()}
+    assert ("b1", 0, 4096) in limits and any(s == "b2" and e == 3 and 1490 <= n <= 1500 for s, e, n in limits)
+
+
 def test_natures():
     n = records.nature
     assert [n(x, PROMPT) for x in (None, "", " ​", "N/A", "[]", "<empty>\n", "...")] == ["empty"] * 7
