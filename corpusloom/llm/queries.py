@@ -63,13 +63,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    techniques, _ = splits.read_dimensions(spark, sf_dir)
-    return splits.design_cells(_primes(spark, sf_dir), techniques).where("relabelled").drop("relabelled")
+    techniques, shares = splits.read_dimensions(spark, sf_dir)
+    return splits.keep_cells_together(_primes(spark, sf_dir), techniques, shares).where("relabelled").drop("relabelled", "split")
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     techniques, shares = splits.read_dimensions(spark, sf_dir)
-    return splits.keep_cells_together(_primes(spark, sf_dir), techniques, shares)
+    return splits.keep_cells_together(_primes(spark, sf_dir), techniques, shares).drop("relabelled")
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,17 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb, prod
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.language import asked_language
+from corpusloom.session import stored
 
 # Ways to ask for and to label the two styles.
 STYLE_NAMES = {"terse": "terse t ter compact short brief concise dry kurz bref breve", "verbose": "verbose v verb expanded long detailed lengthy full ausführlich"}
@@ -149,72 +153,132 @@ def design_cells(df: DataFrame, techniques: list[tuple[str, str | None]]) -> Dat
 # quotas by flow
 
 
+#: Distributions of all bundles up to which every one is tried.
+ALL_WAYS = 200_000
+
+
+class _Network:
+    """Flow of components from bundles to splits: what lies on the arcs and what changing it costs.
+
+    The arcs into a split cost the square of the split's deviation from its
+    wanted records, overall and, weighed, within the profile.
+    """
+
+    def __init__(self, bundles: list[tuple[int, str, int]], shares: list[float], weight: float):
+        profiles = sorted({p for _, p, _ in bundles})
+        self.size = np.array([s for s, _, _ in bundles], float)
+        self.profile = np.array([profiles.index(p) for _, p, _ in bundles], int)
+        self.number = np.array([n for _, _, n in bundles], int)
+        self.k, self.weight, share = len(shares), weight, np.array(shares)
+        # the flow that may divide components deviates nowhere; its whole part is kept
+        self.given = np.floor(self.number[:, None] * share[None, :] + 1e-9).astype(int)
+        records = self.size * self.number
+        self.want = records.sum() * share
+        self.want_in = np.array([records[self.profile == p].sum() for p in range(len(profiles))])[:, None] * share
+        self.moves = [(a, c) for a in range(self.k) for c in range(self.k) if a != c]
+        step = np.zeros((len(self.moves), self.k))
+        for m, (a, c) in enumerate(self.moves):
+            step[m, a], step[m, c] = -1, 1
+        self.step, self.turn = step, step @ step.T
+
+    def off(self) -> tuple[np.ndarray, np.ndarray]:
+        """Deviations of the splits, overall and per profile."""
+        carried = self.given * self.size[:, None]
+        inside = np.zeros_like(self.want_in)
+        np.add.at(inside, self.profile, carried)
+        return carried.sum(0) - self.want, inside - self.want_in
+
+    def cost(self) -> float:
+        whole, inside = self.off()
+        return float((whole**2).sum() + self.weight * (inside**2).sum())
+
+    def augment(self) -> None:
+        """Sends what is left of the bundles, greatest components first, each unit along its cheapest arc."""
+        rest = self.number - self.given.sum(1)
+        for b in sorted(np.flatnonzero(rest), key=lambda b: (-self.size[b], self.profile[b], b)):
+            for _ in range(int(rest[b])):
+                whole, inside = self.off()
+                pull = whole + self.weight * inside[self.profile[b]]
+                direct = 2 * self.size[b] * pull + (1 + self.weight) * self.size[b] ** 2
+                self.given[b, int(direct.argmin())] += 1
+
+    def change(self) -> np.ndarray:
+        """Cost change of moving one unit of each bundle (row) along each move (column); infinite where there is none."""
+        whole, inside = self.off()
+        pull = whole[None, :] + self.weight * inside[self.profile]
+        d = 2 * self.size[:, None] * (pull @ self.step.T) + 2 * (1 + self.weight) * self.size[:, None] ** 2
+        for m, (a, _) in enumerate(self.moves):
+            d[self.given[:, a] < 1, m] = np.inf
+        return d
+
+    def push(self, b: int, m: int, n: int = 1) -> None:
+        a, c = self.moves[m]
+        self.given[b, a] -= n
+        self.given[b, c] += n
+
+    def cancel(self) -> None:
+        """Cancels cycles of negative cost: of one bundle, many units at once, then of two bundles."""
+        while True:
+            d = self.change()
+            b, m = np.unravel_index(int(d.argmin()), d.shape)
+            if d[b, m] < -1e-9:
+                # along one move the cost is a parabola in the units
+                curve = 2 * (1 + self.weight) * self.size[b] ** 2
+                units = int(min(self.given[b, self.moves[m][0]], max(1, round((curve - d[b, m]) / (2 * curve)))))
+                self.push(b, m, units)
+                continue
+            open_ = np.flatnonzero(np.isfinite(d.ravel()))
+            row, col = np.unravel_index(open_, d.shape)
+            best = (-1e-9, None)
+            for at in range(0, len(open_), 1000):
+                r, c = row[at : at + 1000], col[at : at + 1000]
+                same = 1 + self.weight * (self.profile[r][:, None] == self.profile[row][None, :])
+                both = d[r, c][:, None] + d[row, col][None, :] + 2 * self.size[r][:, None] * self.size[row][None, :] * self.turn[np.ix_(c, col)] * same
+                # two units of one bundle from one split need both to be there
+                source = np.array([a for a, _ in self.moves])
+                twice = (r[:, None] == row[None, :]) & (source[c][:, None] == source[col][None, :])
+                both[twice & (self.given[r, source[c]] < 2)[:, None]] = np.inf
+                k = int(both.argmin())
+                if both.ravel()[k] < best[0]:
+                    x, y = divmod(k, len(open_))
+                    best = (both.ravel()[k], ((r[x], c[x]), (row[y], col[y])))
+            if best[1] is None:
+                return
+            for b, m in best[1]:
+                self.push(b, m)
+
+    def all_ways(self) -> bool:
+        """Tries every distribution where there are at most ALL_WAYS; whether it did."""
+        ways = [comb(int(n) + self.k - 1, self.k - 1) for n in self.number]
+        if prod(ways) > ALL_WAYS:
+            return False
+        parts = [np.array([np.diff((-1, *bars, n + self.k - 1)) - 1 for bars in combinations(range(n + self.k - 1), self.k - 1)]) for n in map(int, self.number)]
+        inside = np.zeros((1, *self.want_in.shape))
+        for b, part in enumerate(parts):
+            more = np.zeros((len(part), *self.want_in.shape))
+            more[:, self.profile[b]] = part * self.size[b]
+            inside = (inside[:, None] + more[None]).reshape(-1, *self.want_in.shape)
+        cost = ((inside.sum(1) - self.want) ** 2).sum(1) + self.weight * ((inside - self.want_in) ** 2).sum((1, 2))
+        chosen = np.unravel_index(int(cost.argmin()), ways)
+        self.given = np.array([part[c] for part, c in zip(parts, chosen)])
+        return True
+
+
 def flow_quotas(bundles: list[tuple[int, str, int]], shares: list[float], profile_weight: float = 0.5) -> dict[tuple[int, str], list[int]]:
-    """Integral components of each bundle (size, profile, count) for each split.
+    """Integral components of each bundle (size, profile, count) for each split, by a flow of least deviation cost.
 
-    Every bundle first gives each split the whole part of its share; what is
-    left is sent through the network bundle -> split, largest sizes first. The
-    arcs into a split cost the change of the split's deviation from its wanted
-    records, overall and within the profile, and are convex; flow is rerouted
-    between splits, many units of a bundle at once, while that lowers the cost.
+    The flow that may divide components gives every split its share of every
+    bundle; its whole part is kept. What is left is sent unit by unit along the
+    cheapest arcs, and cycles of negative cost are cancelled until there is
+    none of one or two bundles. Small networks are solved by trying all ways.
     """
-    k = len(shares)
-    total = sum(s * n for s, _, n in bundles)
-    per_profile: dict[str, int] = defaultdict(int)
-    for s, p, n in bundles:
-        per_profile[p] += s * n
-    want = [x * total for x in shares]
-    want_p = {p: [x * t for x in shares] for p, t in per_profile.items()}
-    have = [0.0] * k
-    have_p: dict[str, list[float]] = {p: [0.0] * k for p in per_profile}
-    given: dict[tuple[int, str], list[int]] = {}
-    rest: list[tuple[int, str]] = []
-    for s, p, n in bundles:
-        base = [int(n * x + 1e-9) for x in shares]
-        given[s, p] = base
-        for j in range(k):
-            have[j] += s * base[j]
-            have_p[p][j] += s * base[j]
-        rest += [(s, p)] * (n - sum(base))
-
-    def cost(j: int, p: str) -> float:
-        return (have[j] - want[j]) ** 2 + profile_weight * (have_p[p][j] - want_p[p][j]) ** 2
-
-    def move(j: int, s: int, p: str) -> None:
-        have[j] += s
-        have_p[p][j] += s
-
-    def gain(j: int, s: int, p: str) -> float:
-        before = cost(j, p)
-        move(j, s, p)
-        after = cost(j, p)
-        move(j, -s, p)
-        return after - before
-
-    for s, p in sorted(rest, key=lambda x: (-x[0], x[1])):
-        j = min(range(k), key=lambda j: (gain(j, s, p), j))
-        move(j, s, p)
-        given[s, p][j] += 1
-    improved = True
-    while improved:  # reroute units, as many at once as lower the cost most, along paths of negative cost
-        improved = False
-        for (s, p), counts in given.items():
-            for a in range(k):
-                for b in range(k):
-                    slope = (have[a] - want[a]) - (have[b] - want[b]) + profile_weight * ((have_p[p][a] - want_p[p][a]) - (have_p[p][b] - want_p[p][b]))
-                    m = min(counts[a], round(slope / (2 * s * (1 + profile_weight)))) if a != b else 0
-                    if m > 0:
-                        before = cost(a, p) + cost(b, p)
-                        move(a, -s * m, p)
-                        move(b, s * m, p)
-                        if before - cost(a, p) - cost(b, p) > 1e-6:
-                            counts[a] -= m
-                            counts[b] += m
-                            improved = True
-                        else:
-                            move(a, s * m, p)
-                            move(b, -s * m, p)
-    return given
+    if not bundles:
+        return {}
+    net = _Network(bundles, shares, profile_weight)
+    if not net.all_ways():
+        net.augment()
+        net.cancel()
+    return {(s, p): net.given[b].tolist() for b, (s, p, _) in enumerate(bundles)}
 
 
 def split_components(records_df: DataFrame, key_cols: list[str], profile_col: str, shares: list[tuple[str, float]], seed: str = "0") -> DataFrame:
@@ -232,6 +296,7 @@ def split_components(records_df: DataFrame, key_cols: list[str], profile_col: st
     components = records_df.groupBy(*key_cols).agg(F.count("*").alias("size"), F.min(F.col(profile_col).cast("string")).alias("profile"))
     digest = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in key_cols])
     components = components.withColumns({"profile": F.coalesce("profile", F.lit("\0null")), "digest": digest, "part": F.shiftrightunsigned(digest, 52)})
+    components = stored(components)
     counts = components.groupBy("size", "profile", "part").agg(F.count("*").alias("n"))
     bundles = [(r["size"], r["profile"], r["n"]) for r in counts.groupBy("size", "profile").agg(F.sum("n").alias("n")).orderBy("size", "profile").collect()]
     quotas = flow_quotas(bundles, [s / whole for _, s in shares])
@@ -251,13 +316,13 @@ def split_components(records_df: DataFrame, key_cols: list[str], profile_col: st
 
 
 def keep_cells_together(df: DataFrame, techniques: list[tuple[str, str | None]], shares: list[tuple[str, float]]) -> DataFrame:
-    """line_no, technique, style, language, split for every technique-arm record."""
-    cells = design_cells(df, techniques).drop("relabelled")
+    """line_no, technique, style, language, relabelled, split for every technique-arm record."""
+    cells = stored(design_cells(df, techniques))
     keys = ["technique", "style", "language"]
     parts = split_components(cells, keys, "language", shares)
     theirs = parts.select(*[F.col(c).alias(f"{c}_") for c in keys], "split")
     same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys]
-    return cells.join(theirs, same[0] & same[1] & same[2]).select("line_no", *keys, "split")
+    return cells.join(theirs, same[0] & same[1] & same[2]).select("line_no", *keys, "relabelled", "split")
 
 
 def small_rows(df: DataFrame, *cols: str, most: int = 100_000) -> list[tuple]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -31,7 +32,46 @@ def test_quotas_are_integral_and_near(bundles):
     for s, p, n in bundles:
         assert sum(q[s, p]) == n and min(q[s, p]) >= 0
     for k, x in enumerate(shares):
-        assert abs(sum(s * q[s, p][k] for s, p, _ in bundles) - x * total) <= 4 * biggest
+        assert abs(sum(s * q[s, p][k] for s, p, _ in bundles) - x * total) <= 2 * biggest
+
+
+def brute_force(bundles, shares, weight=0.5):
+    total, per = sum(s * n for s, _, n in bundles), defaultdict(int)
+    for s, p, n in bundles:
+        per[p] += s * n
+    ways = [[(a, b, n - a - b) for a in range(n + 1) for b in range(n + 1 - a)] for _, _, n in bundles]
+    best = float("inf")
+    for way in itertools.product(*ways):
+        have, inside = [0] * 3, defaultdict(lambda: [0] * 3)
+        for (s, p, _), w in zip(bundles, way):
+            for k in range(3):
+                have[k] += s * w[k]
+                inside[p][k] += s * w[k]
+        best = min(best, sum((h - x * total) ** 2 for h, x in zip(have, shares)) + weight * sum((v[k] - shares[k] * per[p]) ** 2 for p, v in inside.items() for k in range(3)))
+    return best
+
+
+def cost_of(bundles, quotas, shares, weight=0.5):
+    net = splits._Network(bundles, shares, weight)
+    net.given = splits.np.array([quotas[s, p] for s, p, _ in bundles])
+    return net.cost()
+
+
+def test_quotas_equal_brute_force(monkeypatch):
+    rng, shares, worse = random.Random(1), [0.8, 0.1, 0.1], 0
+    for case in range(300):
+        sizes = {(rng.randint(1, 9), rng.choice("ab")): rng.randint(1, 4) for _ in range(rng.randint(1, 3))}
+        bundles = [(s, p, n) for (s, p), n in sizes.items()]
+        best = brute_force(bundles, shares)
+        assert cost_of(bundles, splits.flow_quotas(bundles, shares), shares) == pytest.approx(best)
+        if case < 100:  # the network's own steps, which larger ones rely on
+            net = splits._Network(bundles, shares, 0.5)
+            net.augment()
+            net.cancel()
+            worse += net.cost() > best + 1e-6
+            assert net.given.sum(1).tolist() == [n for _, _, n in bundles] and net.given.min() >= 0
+    assert worse <= 15
+    assert cost_of([(2, "a", 2), (3, "a", 3), (9, "a", 4)], splits.flow_quotas([(2, "a", 2), (3, "a", 3), (9, "a", 4)], shares), shares) == pytest.approx(0.09)
 
 
 def test_split_keeps_cells(spark):
