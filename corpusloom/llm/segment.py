@@ -4,21 +4,28 @@ A text is cut into blocks (blank lines, list items, headings). Inside a block
 the spans in which a mark cannot end a sentence (formulas, quotations,
 brackets) and the terminator clusters form a lattice of candidate ends; each
 candidate is kept or dropped by what stands around it. Chinese and Japanese
-passages that write no full stops are segmented at their gaps (line breaks,
-wide blanks): the words beside a gap are found by a small dictionary word
-lattice, and final particles and opening words classify the gap.
+texts that write no full stops end their units at gaps (line breaks, wide
+blanks). Beside formula lines, and in passages without full stops of texts that
+have some, a dictionary word lattice finds the words beside a gap, and how
+often these end and open sentences in all texts classifies it; forms of grammar
+count from the start.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.session import stored
+
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 FULL_STOPS = re.compile(r"[。．｡]")
 
@@ -74,15 +81,75 @@ _WIDE_GAP = re.compile(r"[　]+|[ \t]*\n\s*")
 # --------------------------------------------------------------------------
 # spaceless scripts: word lattice around a gap
 
-# Sentence-final forms and sentence-opening words of Chinese and Japanese.
-JA_FINALS = tuple("である でない だろうか だろう ました ます です ない れる せる える ある いる する なる う く す つ ぬ む る た だ か よ ね わ とよ ればよい いい べきだ".split())
-JA_OPENERS = tuple("さて 次に 最後に よって したがって さらに また しかし 逆に 実際 特に 前と同様に このことから 構成により もし すなわち ゆえに まず 欄外には これら あとは どの 二つの式 求める 待て 決して".split())
-ZH_FINALS = tuple("了 吗 呢 吧 的 矛盾 偶数 同余 相同 不变 增长 消失 成立 优的 比较 内容 问题".split())
-ZH_OPENERS = tuple("因此 于是 所以 此外 最后 反之 同前 现在 由此可见 事实上 特别地 接下来 由构造 假设 如果 令 取 当 不妨设 对每个 在第 除 经过 等一下 我们 用 把 仅凭 旧笔记".split())
-# Forms after which a sentence goes on.
-GO_ON_AFTER = tuple("が を に は と の で も へ や て し より から ので 、 ， 的 和 与 在 为 把 被 对 从 由 是 使得 因为 如果 当 即 且 而 或".split())
-_LEXICON = {w: 1.0 for w in (*JA_FINALS, *JA_OPENERS, *ZH_FINALS, *ZH_OPENERS, *GO_ON_AFTER)}
-_LONGEST = max(map(len, _LEXICON))
+# Forms of grammar that end a sentence, open one, and let it go on, in Chinese and Japanese.
+FINALS = "である でない だろうか だろう でしょう ました ません ます です ない れる せる た だ か よ ね わ 了 吗 呢 吧 啊".split()
+OPENERS = "さて 次に 最後に よって したがって さらに また しかし 逆に 実際 特に もし すなわち ゆえに まず そして だから 因此 于是 所以 此外 最后 反之 现在 事实上 特别地 接下来 假设 如果 但是 然而 而且".split()
+GO_ON = "が を に は と の で も へ や て し より から ので 和 与 在 为 把 被 对 从 由 是 使得 因为 即 且 而 或".split()
+#: Occurrences that a form of grammar counts for beside what the texts show.
+SEED = 4
+#: Share of a side's contexts that a word must hold to be kept, so a lexicon has at most 4 / WORD_SHARE entries a side.
+WORD_SHARE = 1e-4
+_LONGEST = 4
+_STOP_OR_PAUSE = re.compile(r"[。．｡！？]+|[，、]|\$+")
+_BEFORE = re.compile(r"([぀-ヿ㐀-䶿一-鿿]{1,4})[\"'”’»›」』）)\s]*$")
+_BEHIND = re.compile(r"[\"'”’»›」』）)\s　]*([぀-ヿ㐀-䶿一-鿿]{1,4})")
+
+
+class Lexicon:
+    """Words of spaceless scripts with how often they stand before and behind a sentence end, and elsewhere.
+
+    `before` and `behind` map a word to (at ends, elsewhere).
+    """
+
+    def __init__(self, before: dict[str, tuple[int, int]], behind: dict[str, tuple[int, int]]):
+        self.before, self.behind = dict(before), dict(behind)
+        for words, table, ends in ((FINALS, self.before, True), (OPENERS, self.behind, True), (GO_ON, self.before, False)):
+            for w in words:
+                e, o = table.get(w, (0, 0))
+                table[w] = (e + SEED, o) if ends else (e, o + SEED)
+        self.words = set(self.before) | set(self.behind)
+
+    def leaning(self, word: str, behind: bool) -> float:
+        """Log odds of a sentence end beside the word, from its longest part that is known."""
+        table = self.behind if behind else self.before
+        parts = (word[:k] if behind else word[-k:] for k in range(min(len(word), _LONGEST), 0, -1))
+        for part in parts:
+            if part in table:
+                e, o = table[part]
+                return math.log((e + 0.5) / (o + 0.5))
+        return 0.0
+
+
+def gap_counts(text: str) -> Counter:
+    """(behind, at an end, word) for the words of one to four characters beside full stops, and beside commas and formulas."""
+    out: Counter = Counter()
+    for m in _STOP_OR_PAUSE.finditer(text):
+        ends = m.group()[0] not in "，、$"
+        if left := _BEFORE.search(text, max(0, m.start() - 8), m.start()):
+            out.update((False, ends, left.group(1)[k:]) for k in range(len(left.group(1))))
+        if right := _BEHIND.match(text, m.end()):
+            out.update((True, ends, right.group(1)[:k]) for k in range(1, len(right.group(1)) + 1))
+    return out
+
+
+def learn_lexicon(df: DataFrame, text_col: str, least: int = 5) -> Lexicon:
+    """The lexicon of all texts that write full stops: counts per batch, then per word; words under `least` or WORD_SHARE are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                if text and CJK.search(text):
+                    counts.update(gap_counts(text))
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["behind", "ends", "word", "n"])
+
+    rows = df.select(df[text_col].cast("string").alias("text")).mapInArrow(run, "behind boolean, ends boolean, word string, n long")
+    table = rows.groupBy("behind", "word").agg(F.sum(F.when(F.col("ends"), F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(F.col("ends"), F.lit(0)).otherwise(F.col("n"))).alias("o"))
+    table = stored(table.where(F.col("e") + F.col("o") >= least))
+    whole = table.where(F.length("word") == 1).groupBy("behind").agg((F.sum(F.col("e") + F.col("o")) * WORD_SHARE).alias("floor"))
+    kept = table.join(F.broadcast(whole), "behind").where(F.col("e") + F.col("o") >= F.col("floor")).select("behind", "word", "e", "o").limit(int(8 / WORD_SHARE)).collect()
+    return Lexicon({r["word"]: (r["e"], r["o"]) for r in kept if not r["behind"]}, {r["word"]: (r["e"], r["o"]) for r in kept if r["behind"]})
 
 
 def _kind(ch: str) -> int:
@@ -90,17 +157,18 @@ def _kind(ch: str) -> int:
     return 1 if 0x3040 <= o <= 0x309F else 2 if 0x30A0 <= o <= 0x30FF else 3 if 0x3400 <= o <= 0x9FFF else 4 if ch.isalnum() else 5
 
 
-def lattice_words(piece: str) -> list[str]:
-    """Cheapest path through the lattice of dictionary words and same-script runs."""
+def lattice_words(piece: str, lexicon: Lexicon | None = None) -> list[str]:
+    """Cheapest path through the lattice of the lexicon's words and same-script runs."""
+    known = (lexicon or GRAMMAR).words
     n = len(piece)
     best = [0.0] + [1e9] * n
     back = [0] * (n + 1)
     for i in range(n):
         if best[i] >= 1e9:
             continue
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):
-            if (c := _LEXICON.get(piece[i:j])) is not None and best[i] + c < best[j]:
-                best[j], back[j] = best[i] + c, i
+        for j in range(i + 1, min(n, i + 6) + 1):
+            if piece[i:j] in known and best[i] + 1.0 < best[j]:
+                best[j], back[j] = best[i] + 1.0, i
         k, kind = i + 1, _kind(piece[i])
         while k <= n:
             cost = 1.5 + (0.25 if kind in (2, 4) else 0.7) * (k - i)
@@ -116,24 +184,14 @@ def lattice_words(piece: str) -> list[str]:
     return words[::-1]
 
 
-def gap_ends_unit(left: str, right: str, writes_stops: bool) -> bool:
-    """Whether a gap without a mark ends a sentence, by the words beside it.
+GRAMMAR = Lexicon({}, {})
 
-    Texts that write no full stops end their units at gaps, so there only a
-    word that demands a continuation on both sides speaks against an end;
-    texts with full stops end a unit at a bare gap only for a clear final form
-    followed by an opening word.
-    """
-    before, after = lattice_words(left[-14:]), lattice_words(right[:10])
-    last, first = (before or [""])[-1], (after or [""])[0]
-    score = 1.0 if not writes_stops else -1.5
-    if last in JA_FINALS or last in ZH_FINALS:
-        score += 1.0
-    elif last in GO_ON_AFTER:
-        score -= 0.9 if writes_stops else 0.5
-    if first in JA_OPENERS or first in ZH_OPENERS:
-        score += 1.0
-    return score > 0
+
+def gap_ends_unit(left: str, right: str, lexicon: Lexicon | None = None) -> bool:
+    """Whether a gap without a mark ends a sentence, by the lattice words on its two sides and where they stand elsewhere."""
+    lexicon = lexicon or GRAMMAR
+    before, after = lattice_words(left[-14:].rstrip(_BLANKS), lexicon), lattice_words(right[:10].lstrip(_BLANKS), lexicon)
+    return lexicon.leaning((before or [""])[-1], False) + lexicon.leaning((after or [""])[0], True) > 0
 
 
 # --------------------------------------------------------------------------
@@ -207,7 +265,7 @@ def _opens(text: str, at: int, stop: int, lowered: bool) -> bool:
     return bool(word) and (len(word.group()) == 1 and word.group() not in "aoàé" or lowered and word.group() not in GOES_ON and word.group() not in ("on", "in", "at"))
 
 
-def _block(text: str, start: int, stop: int, lowered: bool, spaceless: bool, writes_stops: bool, out: list[tuple[int, int]]) -> None:
+def _block(text: str, start: int, stop: int, lowered: bool, spaceless: bool, writes_stops: bool, lexicon: Lexicon, out: list[tuple[int, int]]) -> None:
     begin = start
     while begin < stop and text[begin] in _BLANKS:
         begin += 1
@@ -223,7 +281,9 @@ def _block(text: str, start: int, stop: int, lowered: bool, spaceless: bool, wri
         while begin < stop and text[begin] in _BLANKS:
             begin += 1
 
-    gaps = spaceless and not writes_stops
+    # a passage without full stops in a text that writes them: only what the words say ends a unit there
+    silent = spaceless and writes_stops and not FULL_STOPS.search(text, start, stop)
+    gaps = spaceless and (silent or not writes_stops)
     pos = start
     last = start
     for m in _EVENT.finditer(text, start, stop):
@@ -231,7 +291,7 @@ def _block(text: str, start: int, stop: int, lowered: bool, spaceless: bool, wri
         if a < pos:
             continue
         if gaps:
-            _gaps(text, last, a, stop, cut, lambda: begin)
+            _gaps(text, last, a, stop, cut, lambda: begin, silent, lexicon)
         kind = m.lastgroup
         last = pos = b
         if kind == "math":
@@ -240,7 +300,7 @@ def _block(text: str, start: int, stop: int, lowered: bool, spaceless: bool, wri
             inner = text[a + 1 : b - 1].rstrip(_BLANKS)
             marked = inner[-1:] in TERMINATORS and not inner.endswith("...") if inner else False
             alone = a == begin
-            if not marked and not (alone and gaps):
+            if not marked and not (alone and gaps and not silent):
                 continue
             end = _AFTER.match(text, b, stop).end()
             nxt = end
@@ -305,7 +365,7 @@ def _block(text: str, start: int, stop: int, lowered: bool, spaceless: bool, wri
         cut(end)
         pos = last = end
     if gaps:
-        _gaps(text, last, stop, stop, cut, lambda: begin)
+        _gaps(text, last, stop, stop, cut, lambda: begin, silent, lexicon)
     cut(stop)
 
 
@@ -321,22 +381,20 @@ def _quote_runs_on(text: str, at: int) -> bool:
     return text.startswith(_QUOTE_RUNS_ON, at)
 
 
-def _gaps(text: str, a: int, b: int, stop: int, cut, begin) -> None:
+def _gaps(text: str, a: int, b: int, stop: int, cut, begin, silent: bool, lexicon: Lexicon) -> None:
     for g in _WIDE_GAP.finditer(text, a, b):
         s, e = g.span()
         if s <= begin() or e >= stop:
             continue
-        if text.startswith("$$", e) or text[max(0, s - 2) : s] == "$$":
-            left, right = text[begin() : s], text[e:stop]
-            if not gap_ends_unit(left, right, True):
-                continue
-        elif not gap_ends_unit(text[begin() : s], text[e : e + 16], False):
+        # in texts without full stops gaps end units; beside formula lines, and in silent passages, the words decide
+        beside = text.startswith("$$", e) or text[max(0, s - 2) : s] == "$$"
+        if (silent or beside) and not gap_ends_unit(text[begin() : s], text[e : e + 16], lexicon):
             continue
         cut(s)
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Start and end (just behind the last character) of each sentence unit."""
+def units(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
+    """Start and end (just behind the last character) of each sentence unit; gaps of spaceless scripts are judged by the lexicon (by grammar alone without one)."""
     if not text:
         return []
     out: list[tuple[int, int]] = []
@@ -368,7 +426,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
                 if b > a:
                     out.append((a, b))
             else:
-                _block(text, block, block_end, lowered, spaceless, writes_stops, out)
+                _block(text, block, block_end, lowered, spaceless, writes_stops, lexicon or GRAMMAR, out)
         block, item = None, False
 
     listing = True  # a marker may open an item here: text start, blank line, intro or item before
@@ -417,11 +475,11 @@ def _is_heading(line: str, lines: list, k: int) -> bool:
     return False
 
 
-def unit_arrays(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unit_arrays(texts: list[str | None], lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row index, unit number, start and end of all units of a batch."""
     rows, nos, starts, ends = [], [], [], []
     for i, text in enumerate(texts):
-        found = units(text)
+        found = units(text, lexicon)
         rows.extend([i] * len(found))
         nos.extend(range(len(found)))
         for s, e in found:
@@ -435,14 +493,17 @@ def sentence_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and blank texts have no units; ids may repeat or be null, each row is
     segmented by itself; other columns of the input, whatever their names, are
-    not read. A narrow map: no shuffle, memory of one Arrow batch.
+    not read. The lexicon comes from a first pass over all texts, which shuffles
+    only its words; the second is a narrow map with the memory of one Arrow batch.
     """
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("unit_no", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
+    lexicon = learn_lexicon(df, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, nos, starts, ends = unit_arrays(batch.column(1).to_pylist())
+            rows, nos, starts, ends = unit_arrays(batch.column(1).to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(nos), pa.array(starts), pa.array(ends)], names=schema.names)
 
     return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(run, schema)

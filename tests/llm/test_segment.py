@@ -66,6 +66,20 @@ def test_lattice_words():
     assert segment.lattice_words("因此素因子")[0] == "因此"
 
 
+def test_lexicon_is_learnt_from_texts_with_full_stops(spark):
+    said = ["この数は素数を割り切る。続いて和を数える。", "和が増大する。続いて積を見ると、数は残る。", "積は、和に対して増大する。続いて篩を使う。"] * 4
+    lexicon = segment.learn_lexicon(spark.createDataFrame([(t,) for t in [*said, None, "", "plain text."]], "text string"), "text")
+    assert lexicon.leaning("続いて", True) > 2 and lexicon.leaning("増大する", False) > 1 and lexicon.leaning("積は", False) < 0
+    # passages without full stops of a text that has some: words decide, both ways
+    text = "これは数である。\n\n和が増大する\n続いて積を見る\n\n素数の積は\n和より大きい"
+    assert [text[a:b] for a, b in segment.units(text, lexicon)] == ["これは数である。", "和が増大する", "続いて積を見る", "素数の積は\n和より大きい"]
+    # a text without any ends its units at gaps
+    assert cut("素数の積は\n和より大きい") == ["素数の積は", "和より大きい"]
+    beside = "次の式を得る\n$$ x $$\nさて数である\n和は\n$$ y $$\nより大きい"
+    assert cut(beside) == ["次の式を得る\n$$ x $$", "さて数である", "和は\n$$ y $$\nより大きい"]
+    assert segment.learn_lexicon(spark.createDataFrame([], "text string"), "text").words == segment.GRAMMAR.words
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "A. B.", "x"), (2, None, "y"), (None, "C", "z"), (1, "A. B.", "w"), (3, "", "")], "doc_id long, text string, end_pos string")
     got = [tuple(r) for r in segment.sentence_units(df).collect()]
