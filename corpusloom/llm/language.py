@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from corpusloom.llm import records
 from corpusloom.llm.segment import BEFORE_NUMBER, BEFORE_ORDINAL, NEVER_END
 
-#: Labelled rows from which the filter is fitted, at most about this many.
-SAMPLE_ROWS = 4000
+#: Labelled rows from which the filter is fitted, at most about this many, and what is read of each; all texts are judged whole.
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 SLOT_BITS, HASHES = 18, 3
 
 # Ways to write a language.
@@ -79,14 +79,16 @@ def asked_language(prompt: str | None) -> str | None:
 
 _LUT: np.ndarray | None = None
 SPACE = 32
+#: No letters are assigned from here on.
+LETTERS_END = 0x32400
 
 
 def _lut() -> np.ndarray:
     """Letters and marks map to themselves, all else to a space."""
     global _LUT
     if _LUT is None:
-        table = np.full(0x10000, SPACE, np.uint32)
-        for cp in range(0x10000):
+        table = np.full(LETTERS_END + 1, SPACE, np.uint32)
+        for cp in range(LETTERS_END):
             if unicodedata.category(chr(cp))[0] in "LM":
                 table[cp] = cp
         _LUT = table
@@ -94,7 +96,7 @@ def _lut() -> np.ndarray:
 
 
 def _spaceless(c: np.ndarray) -> np.ndarray:
-    return ((c >= 0x3040) & (c <= 0x30FF)) | ((c >= 0x3400) & (c <= 0x9FFF))
+    return ((c >= 0x3040) & (c <= 0x30FF)) | ((c >= 0x3400) & (c <= 0x9FFF)) | ((c >= 0x20000) & (c < LETTERS_END))
 
 
 def ngram_keys(joined: str) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,7 @@ def ngram_keys(joined: str) -> tuple[np.ndarray, np.ndarray]:
     as three letters.
     """
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _lut()[np.where(cp > 0xFFFF, SPACE, cp)]
+    c = _lut()[np.minimum(cp, LETTERS_END)]
     prev = np.empty_like(c)
     prev[0:1], prev[1:] = SPACE, c[:-1]
     nxt = np.empty_like(c)
@@ -146,7 +148,7 @@ class LanguageFilter:
         size = (total[ends] - total[starts]).astype(float)
         out = np.zeros((len(starts), len(self.languages)))
         for k in range(len(self.languages)):
-            hits = np.concatenate(([0], np.cumsum(np.where(mask >> k & 1, weight, 0), dtype=np.int64)))
+            hits = np.concatenate(([0], np.cumsum(np.where(mask >> np.uint64(k) & np.uint64(1), weight, 0), dtype=np.int64)))
             out[:, k] = hits[ends] - hits[starts]
         share = out / np.maximum(size, 1)[:, None]
         return size, np.clip((share - self.false_positive) / (1 - self.false_positive), 0, 1)
@@ -159,7 +161,9 @@ def fit_filter(samples: list[tuple[str, str]], typical: float = 0.35, least: int
     its sampled texts and at `typical` times the rate of the language where it
     is most frequent, so a few per cent of wrong labels put nothing in.
     """
-    languages = sorted({code for _, code in samples})[:16]
+    languages = sorted({code for _, code in samples})
+    if len(languages) > 64:
+        raise ValueError("more languages than a slot has bits")
     by = {code: [blank(t) for t, c in samples if c == code] for code in languages}
     counts: dict[int, np.ndarray] = {}
     for k, code in enumerate(languages):
@@ -169,7 +173,7 @@ def fit_filter(samples: list[tuple[str, str]], typical: float = 0.35, least: int
                 if x not in counts:
                     counts[x] = np.zeros(len(languages))
                 counts[x][k] += 1
-    table = np.zeros(1 << SLOT_BITS, np.uint16)
+    table = np.zeros(1 << SLOT_BITS, np.uint64)
     if counts:
         keys = np.fromiter(counts, np.uint64, len(counts))
         n = np.stack(list(counts.values()))
@@ -177,8 +181,8 @@ def fit_filter(samples: list[tuple[str, str]], typical: float = 0.35, least: int
         keep = (n >= least) & (rate >= typical * rate.max(axis=1, keepdims=True))
         for k in range(len(languages)):
             for slots in _slots(keys[keep[:, k]]):
-                np.bitwise_or.at(table, slots, np.uint16(1 << k))
-    fill = np.array([np.count_nonzero(table >> k & 1) / len(table) for k in range(len(languages))])
+                np.bitwise_or.at(table, slots, np.uint64(1 << k))
+    fill = np.array([np.count_nonzero(table >> np.uint64(k) & np.uint64(1)) / len(table) for k in range(len(languages))])
     return LanguageFilter(languages, table, fill**HASHES)
 
 
@@ -193,7 +197,7 @@ def filter_from(df: DataFrame, id_col: str, text_col: str, label_col: str, sampl
     total = max(1, df.count())
     cut = int(min(1.0, sample_rows / total) * (1 << 20))
     drawn = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < cut)
-    rows = drawn.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.substring(text_col, 1, 20000), label_col).limit(2 * sample_rows).collect()
+    rows = drawn.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.substring(text_col, 1, SAMPLE_CHARS), label_col).limit(2 * sample_rows).collect()
     return fit_filter([(text, code) for text, label in rows if (code := language_code(label)) and len(text) > 40])
 
 

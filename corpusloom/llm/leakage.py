@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -314,12 +314,12 @@ def _search_group(index: ItemIndex, folded: list[str], group: list[int], share:
                 out.append((row, k, round(held / total, 6)))
 
 
-def leaked_items(docs: DataFrame, items: list[tuple], id_col: str = "doc_id", text_col: str = "text", item_name: str = "item_id", share: float = 0.5) -> DataFrame:
+def leaked_items(docs: DataFrame, items: Iterable[tuple], id_col: str = "doc_id", text_col: str = "text", item_name: str = "item_id", share: float = 0.5) -> DataFrame:
     """One row per document and item held to at least `share`: id, item_id, held.
 
     `items` are (id, text) rows of the stated query set; all documents are
     scanned against them, block by block of BLOCK_CHARS folded characters, so
-    what is sent to the workers is bounded. Null or empty documents and items
+    what is sent to the workers at once is bounded and no number of items is refused. Null or empty documents and items
     hold nothing; repeated documents give a row each. A narrow map per block.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_name, T.LongType()), T.StructField("held", T.DoubleType())])

@@ -259,3 +259,42 @@ def test_leaks_without_an_intact_q_gram():
     got = {(a, index.item_ids[b]) for a, b, _ in leakage.search(index, docs)}
     assert {(0, 3), (1, 1), (2, 2)} <= got
     assert not {(3, 3), (3, 1), (4, 1)} & got
+
+
+def test_near_copies_hide_no_leak():
+    item = "The divisor chain of 512 meets the sieve at 77 steps and the bound 901 holds."
+    near = item.replace("901", "902").replace("77", "78")
+    index = leakage.build_index([(1, item)])
+    for body in ([item], [item, near], [near, item], [near, near, item, near]):
+        found = leakage.search(index, ["Some words before. " + " ".join(body) + " And some behind."])
+        assert [(a, b) for a, b, _ in found] == [(0, 0)], body
+    assert not leakage.search(index, [near])
+
+
+def test_leaks_within_the_budget_against_brute_force():
+    rng = random.Random(12)
+    items, docs = [], []
+    for k in range(60):
+        text = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(20, 90)))
+        items.append((k, text + "."))
+        spoilt = list(text)
+        step = rng.choice((4, 5, 6, 8))  # substitutions spread evenly leave few q-grams whole
+        for at in range(rng.randrange(step), len(spoilt), step):
+            spoilt[at] = "z"
+        docs.append("".join(rng.choice("abcdefghijklmnop") for _ in range(60)) + "".join(spoilt) + "".join(rng.choice("abcdefghijklmnop") for _ in range(60)))
+    index = leakage.build_index(items)
+    want = {(d, p) for d, t in enumerate(docs) for p in range(len(index.patterns)) if leakage.within(index.patterns[p], fold.letters(t), int(index.budget[p]))}
+    assert {(a, b) for a, b, _ in leakage.search(index, docs)} == want and len(want) >= 55
+
+
+def test_results_agree_with_sql(spark, data_dir):
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    con = duckdb.connect()
+    for name in ("primes", "proofs_primes", "documents", "eval_items"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data_dir}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        ours = queries.queries()[name](spark, data_dir)
+        assert sorted(map(str, (tuple(r) for r in ours.select(sorted(ours.columns)).collect()))) == sorted(str(tuple(r)) for r in con.execute(f"SELECT {', '.join(sorted(ours.columns))} FROM ({sql})").fetchall()), name
