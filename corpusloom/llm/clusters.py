@@ -43,8 +43,9 @@ _LONGS = T.ArrayType(T.LongType())
 
 
 @lru_cache(maxsize=1 << 17)
-def _word(w: str) -> int:
-    return xxhash.xxh3_64_intdigest(w)
+def _word(w: str) -> tuple[int, bool, bool]:
+    """Hash of a word, whether it is a number, whether it belongs to a spaceless script."""
+    return xxhash.xxh3_64_intdigest(w), w.isdigit(), bool(segment.CJK.match(w))
 
 
 def _signed(h: int) -> int:
@@ -53,10 +54,7 @@ def _signed(h: int) -> int:
 
 def wording_key(words: list[str]) -> int:
     """One 64-bit key for the words in their order."""
-    h = 0
-    for w in words:
-        h = (h * _BASE + _word(w)) & 0xFFFFFFFFFFFFFFFF
-    return _signed(h)
+    return xxhash.xxh3_64_intdigest("\x1f".join(words)) - (1 << 63)
 
 
 def sentence_wordings(text: str | None) -> dict[int, str]:
@@ -77,27 +75,52 @@ def telling_numbers(words: list[str]) -> int | None:
     return _signed(xxhash.xxh3_64_intdigest("\x1f".join(numbers)))
 
 
-def wording_marks(words: list[str]) -> list[int]:
-    """Keys of the wording and of what is left of it without one word other than a number.
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the base and of its inverse, modulo 2^64."""
+    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def wording_marks(wordings: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(wording number, mark): hashes of each wording and of what is left of it without one word other than a number.
 
     In spaceless scripts up to four adjacent characters are left out. Two
     wordings share a mark when they are equal after one word of each, or of
-    one, is left out. A quarter of the words may go at most.
+    one, is left out. A quarter of the words may go at most. The hashes are
+    polynomials of the words, taken from running sums over all wordings at once.
     """
-    n = len(words)
-    powers, before = np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
-    for i, w in enumerate(words):
-        powers[i + 1] = (int(powers[i]) * _BASE) & 0xFFFFFFFFFFFFFFFF
-        before[i + 1] = (int(before[i]) * _BASE + _word(w)) & 0xFFFFFFFFFFFFFFFF
-    numbers = np.concatenate(([0], np.cumsum([w.isdigit() for w in words])))
-    sparse = np.concatenate(([0], np.cumsum([not segment.CJK.match(w) for w in words])))
-    out = [before[n:]]
+    size = np.array([len(w) for w in wordings], np.int64)
+    total = int(size.sum())
+    up, down = _powers(1 << max(4, total.bit_length()))
+    known = [_word(w) for ws in wordings for w in ws]
+    h = np.array([k[0] for k in known], np.uint64)
+    upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+    numbers, sparse = upto([k[1] for k in known]), upto([not k[2] for k in known])
+    end = np.cumsum(size)
+    start = end - size
     with np.errstate(over="ignore"):
-        for k in range(1, min(4, n // 4) + 1):
-            left = (before[:-k] - before[k:]) * powers[n - k :: -1][: n - k + 1] + before[n]
-            may = numbers[k:] == numbers[:-k] if k == 1 else sparse[k:] == sparse[:-k]
-            out.append(left[may])
-    return np.unique(np.concatenate(out).view(np.int64)).tolist()
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * down[:total], dtype=np.uint64)))
+        owners, marks = [np.flatnonzero(size)], [((run[end] - run[start]) * up[end])[size > 0]]
+        for k in range(1, 5):
+            wide = np.flatnonzero(size >= 4 * k)
+            if not len(wide):
+                break
+            places = size[wide] - k + 1
+            owner = np.repeat(wide, places)
+            at = np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places) + start[owner]
+            may = (numbers if k == 1 else sparse)[at + k] == (numbers if k == 1 else sparse)[at]
+            owner, at = owner[may], at[may]
+            a, b = start[owner], end[owner]
+            # words before the gap move up by it, so both sides meet as in a wording without it
+            owners.append(owner)
+            marks.append((run[at] - run[a]) * up[b - k] + (run[b] - run[at + k]) * up[b])
+        # as if every wording began at the same place
+        owner, mark = np.concatenate(owners), np.concatenate(marks)
+        left = np.concatenate([size[o] - k for k, o in enumerate(owners)])
+        return owner, (mark ^ (left.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))).view(np.int64)
 
 
 def wordings_align(a: list[int], b: list[int], share: float = ALIGNED) -> bool:
@@ -107,30 +130,30 @@ def wordings_align(a: list[int], b: list[int], share: float = ALIGNED) -> bool:
 
 
 def _inspected(wordings: DataFrame) -> DataFrame:
-    """key, grp (of wordings with the same telling numbers, else null), words (hashes, for those), marks (for all others). A narrow map."""
+    """key, grp (of wordings with the same telling numbers, else null), words (hashes, for those), marks (for all others, else none). A narrow map."""
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("grp", T.LongType()), T.StructField("words", _LONGS), T.StructField("marks", _LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, hashed, marks = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = text.split(" ")
-                groups.append(telling_numbers(words))
-                rich = groups[-1] is not None
-                hashed.append([_signed(_word(w)) for w in words if not w.isdigit()] if rich else None)
-                marks.append(None if rich else wording_marks(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.int64()), pa.array(hashed, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=schema.names)
+            words = [text.split(" ") for text in batch.column(1).to_pylist()]
+            groups = [telling_numbers(ws) for ws in words]
+            hashed = [None if g is None else [_signed(_word(w)[0]) for w in ws if not w.isdigit()] for g, ws in zip(groups, words)]
+            owner, mark = wording_marks([[] if g is not None else ws for g, ws in zip(groups, words)])
+            order = np.argsort(owner, kind="stable")
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words))))).astype(np.int32)
+            marks = pa.ListArray.from_arrays(pa.array(bounds), pa.array(mark[order]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(groups, pa.int64()), pa.array(hashed, pa.list_(pa.int64())), marks], names=schema.names)
 
     return wordings.select("key", "wording").mapInArrow(run, schema)
 
 
 def _aligned_with(pairs: DataFrame, share: float) -> DataFrame:
-    """key, to: the least leader each wording aligns with."""
+    """key, to: the first of the leaders (in order of key) that each wording aligns with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, mine, leaders = (batch.column(k).to_pylist() for k in range(3))
-            to = [min((x["key"] for x in ls if wordings_align(m, x["words"], share)), default=None) for m, ls in zip(mine, leaders)]
+            to = [next((x["key"] for x in ls if wordings_align(m, x["words"], share)), None) for m, ls in zip(mine, leaders)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int64())], names=["key", "to"])
 
     return pairs.select("key", "words", "leaders").mapInArrow(run, "key long, to long")
@@ -150,7 +173,7 @@ def _same_numbers(inspected: DataFrame, share: float = ALIGNED) -> DataFrame:
     out = None
     while rest.head(1):
         part = F.pmod(_digest("key"), F.lit(ANCHORS))
-        leaders = rest.groupBy("grp", part.alias("part")).agg(F.min_by(F.struct("key", "words"), _digest("key")).alias("x")).groupBy("grp").agg(F.collect_list("x").alias("leaders"))
+        leaders = rest.groupBy("grp", part.alias("part")).agg(F.min_by(F.struct("key", "words"), _digest("key")).alias("x")).groupBy("grp").agg(F.array_sort(F.collect_list("x")).alias("leaders"))
         # a leader that aligns with a lesser one follows it
         to = _aligned_with(rest.join(leaders, "grp"), share)
         found = stored(to)
@@ -168,7 +191,7 @@ def sentence_classes(wordings: DataFrame) -> DataFrame:
     `wordings` holds key and wording (folded words joined by blanks), each key once.
     """
     inspected = stored(_inspected(wordings))
-    marks = inspected.where("marks is not null").select("key", F.explode("marks").alias("mark"))
+    marks = inspected.where("grp is null").select("key", F.explode("marks").alias("mark"))
     # a mark's holders point to the least of them: no task holds them all
     least = marks.groupBy("mark").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("mark", "low")
     near = marks.join(least, "mark").where("key <> low").select(F.col("key").alias("src"), F.col("low").alias("dst"))
