@@ -24,8 +24,8 @@ _REFERENCE = re.compile(r"(?:\[[\w,;– -]{1,12}\]|[¹²³⁰-⁹])+$")
 _TERM = "。．｡！？!?।"
 _CLOSE = ")）]】”’»」』›\"'*_"
 _OPEN = {")": "(", "）": "（", "]": "[", "】": "【", "”": "“", "»": "«", "」": "「", "』": "『", "›": "‹"}
-_NUMBER_DOT = re.compile(r"(?<![\d.,])\d{1,2}\.(?:(?=\d)|\s+(?=\S))")
-_LAST_TOKENS = re.compile(r"([^\W\d_]+)?[^\w]*([^\W\d_]+)\W*$")
+_NUMBER_DOT = re.compile(r"\d\d?\.(?:(?=\d)|\s+(?=\S))")
+_TOKEN = re.compile(r"[^\W\d_]+|[\d_]+")
 _LAST_WORD = re.compile(r"[^\W\d_]+(?:[.\-]+[^\W\d_]+)*$")
 _QUOTED_END = re.compile(r"[“«「『„]")
 
@@ -37,22 +37,23 @@ def _pairs_open(text: str, mark: str) -> bool:
 
 
 def context(before: str) -> str | None:
-    """What stands before a number: the last two words, of spaceless scripts the last two characters; None at a text's start."""
-    m = _LAST_TOKENS.search(before[-40:])
-    if not m:
+    """What stands before a number: the last two words, of spaceless scripts the last two characters; None where no word stands there."""
+    found = _TOKEN.findall(before[-40:])
+    if not found or not found[-1][0].isalpha():
         return None
-    last = m.group(2).lower()
+    last = found[-1].lower()
     if CJK.match(last[-1]):
         return last[-2:]
-    return f"{(m.group(1) or '').lower()} {last}"
+    return f"{found[-2].lower() if len(found) > 1 and found[-2][0].isalpha() else ''} {last}"
 
 
 def number_contexts(text: str) -> Counter:
     """(context, whether decimals follow) of the numbers of one or two digits with a dot behind, the text's last one left out."""
     out: Counter = Counter()
     for m in _NUMBER_DOT.finditer(text):
-        if c := context(text[max(0, m.start() - 40) : m.start()]):
-            out[c, m.end() < len(text) and text[m.end()].isdigit() and text[m.end() - 1] == "."] += 1
+        a, b = m.span()
+        if (not a or text[a - 1] not in ".," and not text[a - 1].isdigit()) and (c := context(text[max(0, a - 40) : a])):
+            out[c, text[b - 1] == "."] += 1
     return out
 
 

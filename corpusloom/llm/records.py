@@ -122,7 +122,7 @@ def _declines(part: str) -> bool:
     return len(words) >= 2 and any(_aligned(words, t) for t in _REFUSALS)
 
 
-_SHOWS = re.compile(r"[=≤≥<>≡∑∏^\\]|\d\D+\d")
+_SHOWS = re.compile(r"[$=≤≥<>≡∑∏^\\]|\d\D+\d")
 
 
 def refuses(proof: str) -> bool:
@@ -132,10 +132,15 @@ def refuses(proof: str) -> bool:
     CONTENT_SHARE of its characters in such sentences answers, whatever else it says.
     """
     # sentences of the text as written: its formulas mark them as content
-    parts = [(m.start(), m.end()) for m in _SENTENCE.finditer(proof)]
-    size = sum(b - a for a, b in parts)
-    shown = [(a, b) for a, b in parts if "$" in proof[a:b] or _SHOWS.search(proof, a, b)]
-    if not size or sum(b - a for a, b in shown) > CONTENT_SHARE * size:
+    parts, shown, held = [], [], 0
+    for m in _SENTENCE.finditer(proof):
+        parts.append(m.span())
+        if _SHOWS.search(m.group()):
+            shown.append(m.span())
+            held += m.end() - m.start()
+            if held > CONTENT_SHARE * len(proof):
+                return False
+    if not parts or held > CONTENT_SHARE * sum(b - a for a, b in parts):
         return False
     bare = blank_spans(proof)
     plain = [bare[a:b] for a, b in parts if (a, b) not in set(shown)] + [bare[a:b] for a, b in shown]
@@ -148,20 +153,17 @@ def is_empty(proof: str | None) -> bool:
     """Null, or only blanks, punctuation or a placeholder, once or repeated."""
     if proof is None:
         return True
-    core = _WORDLESS.sub("", proof[:61]).lower()
-    if len(proof) <= 60:
-        if not core or core in PLACEHOLDERS:
-            return True
-    elif core and core[:1] not in _PLACEHOLDER_STARTS:
+    first = _WORDS.search(proof)
+    if not first:
+        return True
+    if len(proof) <= 60 and _WORDLESS.sub("", proof).lower() in PLACEHOLDERS:
+        return True
+    if first.group().lower() not in PLACEHOLDERS:
         return False
-    found = {w.lower() for w in _WORDS.findall(proof)}
-    return not found or len(found) == 1 and found <= PLACEHOLDERS
+    return {w.lower() for w in _WORDS.findall(proof)} == {first.group().lower()}
 
 
 _WORDS = re.compile(r"[^\W_]+")
-_PLACEHOLDER_STARTS = frozenset(p[0] for p in PLACEHOLDERS)
-
-
 def nature(proof: str | None, prompt: str | None) -> str:
     """'empty', 'refusal', 'copied' or 'content'."""
     if is_empty(proof):
