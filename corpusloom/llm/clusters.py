@@ -59,12 +59,8 @@ def wording_key(words: list[str]) -> int:
 
 def sentence_wordings(text: str | None) -> dict[int, str]:
     """Key and folded words of the text's sentences; sentences without a word are none."""
-    out = {}
-    for a, b in segment.units(text):
-        words = fold.words(text[a:b])
-        if words:
-            out[wording_key(words)] = " ".join(words)
-    return out
+    words = fold.words_of_each([text[a:b].replace("\x1e", " ") for a, b in segment.units(text)])
+    return {wording_key(ws): " ".join(ws) for ws in words if ws}
 
 
 def telling_numbers(words: list[str]) -> int | None:

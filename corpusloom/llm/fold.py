@@ -36,3 +36,14 @@ def words(text: str) -> list[str]:
 
 def numbers(text: str) -> list[str]:
     return _NUMBER.findall(text)
+
+
+#: Stands between texts that are folded in one go; no tag or word reaches over it.
+_BETWEEN = "<\x1e>"
+
+
+def words_of_each(texts: list[str]) -> list[list[str]]:
+    """words() of each text."""
+    if not texts:
+        return []
+    return [_WORD.findall(t) for t in simplify(_BETWEEN.join(texts)).replace("_", " ").split(_BETWEEN)]

@@ -13,6 +13,7 @@ their own.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Vocabulary file: a name that every worker finds among its public tokenizers, or a path.
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Tokens handled by one worker group; sets how many groups are packed apart.
 GROUP_TOKENS = 2_000_000
 
@@ -34,7 +36,7 @@ def encoder(path: str = TOKENIZER):
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.sep in path else public_tokenizers.path(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODINGS[path] = tiktoken.Encoding("corpusloom", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODINGS[path]

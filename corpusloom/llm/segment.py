@@ -393,6 +393,20 @@ def _gaps(text: str, a: int, b: int, stop: int, cut, begin, silent: bool, lexico
         cut(s)
 
 
+_RUN = re.compile(r"[^\W_]{2,}")
+
+
+def _writes_capitals(text: str) -> bool:
+    """Whether a word holds a capital; lone letters and formulas do not count."""
+    head = text.find("$")
+    for part in (text if head < 0 else text[:head], "" if head < 0 else re.sub(r"\$[^$]*\$", " ", text)):
+        if any(any(map(str.isupper, m.group())) for m in _RUN.finditer(part)):
+            return True
+        if head < 0:
+            return False
+    return False
+
+
 def units(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
     """Start and end (just behind the last character) of each sentence unit; gaps of spaceless scripts are judged by the lexicon (by grammar alone without one)."""
     if not text:
@@ -403,7 +417,7 @@ def units(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int, i
     spaceless = dense > 0 and dense * 4 > latin
     bare = re.sub(r"「[^」]*」|“[^”]*”", "", text) if spaceless else text
     writes_stops = not spaceless or bool(FULL_STOPS.search(bare))
-    lowered = not any(map(str.isupper, re.sub(r"\$[^$]*\$|[^\W\d_]_\{?\d+\}?|\b[^\W\d_]\b", "", text)))
+    lowered = not _writes_capitals(text)
     lines = []
     at = 0
     for line in text.split("\n"):

@@ -24,6 +24,11 @@ def test_fold():
     assert fold.words("k! + 27, 剰余") == ["v", "27", "剰", "余"]
 
 
+def test_fold_of_many_texts():
+    texts = ["a <b and c", "d> x", "é &amp; <i>y</i> 剰余_2", "", "Ｔhe n_3", "<\x1e>".replace("\x1e", " ")]
+    assert fold.words_of_each(texts) == [fold.words(t) for t in texts] and fold.words_of_each([]) == []
+
+
 def test_within_against_table():
     rng = random.Random(1)
     for _ in range(80):
