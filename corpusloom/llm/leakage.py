@@ -185,10 +185,17 @@ def places(index: ItemIndex, pattern: int, size: int, hits: list[tuple[int, str]
     if not wanted:
         return [[0, size]]
     out: list[list[int]] = []
+    if len(hits) < need:
+        return out
     starts = [s for s, _ in hits]
-    for k, at in enumerate(starts):
-        j = bisect_left(starts, at + reach)
-        if j - k >= need and (Counter(wanted) & Counter(v for _, v in hits[k:j])).total() >= need:
+    times = Counter(wanted)
+    single = len(times) == len(wanted)
+    for k in range(len(starts) - need + 1):
+        at = starts[k]
+        if starts[k + need - 1] >= at + reach:
+            continue
+        near = [v for _, v in hits[k : bisect_left(starts, at + reach)]]
+        if (len(set(near)) if single else (times & Counter(near)).total()) >= need:
             # the span that begins with this number holds the others behind it
             a, b = max(0, hits[k + need - 1][0] - reach), min(size, at + reach)
             if out and a <= out[-1][1]:
