@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusloom.llm import fold, segment
+from corpusloom.llm.records import lcs_length
 
 Q = 6
 #: Share of a pattern's characters that edits may touch.
@@ -179,7 +180,7 @@ def matches(index: ItemIndex, pattern: int, text: str, diagonal: int) -> bool:
 
 
 def places(index: ItemIndex, pattern: int, size: int, hits: list[tuple[int, str]]) -> list[list[int]]:
-    """Spans of a folded text of this size around which enough of the pattern's numbers (`hits`: start, digits) lie together."""
+    """Spans of a folded text of this size around which enough of the pattern's numbers (`hits`: start, digits) lie together, in order."""
     reach = int(index.length[pattern] + 4 * index.budget[pattern]) + 16  # the span that matches() aligns
     wanted, need = index.numbers[pattern], int(index.need[pattern])
     if not wanted:
@@ -195,7 +196,7 @@ def places(index: ItemIndex, pattern: int, size: int, hits: list[tuple[int, str]
         if starts[k + need - 1] >= at + reach:
             continue
         near = [v for _, v in hits[k : bisect_left(starts, at + reach)]]
-        if (len(set(near)) if single else (times & Counter(near)).total()) >= need:
+        if (len(set(near)) if single else (times & Counter(near)).total()) >= need and (need < 2 or lcs_length(wanted, near) >= need):
             # the span that begins with this number holds the others behind it
             a, b = max(0, hits[k + need - 1][0] - reach), min(size, at + reach)
             if out and a <= out[-1][1]:
@@ -277,11 +278,12 @@ def _bands(index: ItemIndex, folded: list[str], group: list[int]) -> dict[int, l
 def _search_group(index: ItemIndex, folded: list[str], group: list[int], share: float, out: list) -> None:
     if not group:
         return
-    bands = _bands(index, folded, group)
     patterns, items = len(index.patterns), len(index.item_ids)
     own = np.argsort(index.pattern_item, kind="stable")
     bounds = np.searchsorted(index.pattern_item[own], np.arange(items + 1))
-    for g, row in enumerate(group):
+    # items of which the sentences that have their numbers together in the document make up enough
+    open_items: dict[int, list[tuple[int, int, dict]]] = {}
+    for row in group:
         text = folded[row]
         if not text:
             continue
@@ -293,20 +295,28 @@ def _search_group(index: ItemIndex, folded: list[str], group: list[int], share:
         got = np.zeros(patterns)
         if seen:
             got = np.bincount(np.concatenate([p for p, _, _ in seen]), np.concatenate([np.minimum(t, n) for _, t, n in seen]), patterns)
-        open_ = got >= index.need
-        most = np.bincount(index.pattern_item, index.length * open_, items)
+        may = got >= index.need
+        most = np.bincount(index.pattern_item, index.length * may, items)
         for k in np.flatnonzero((most >= share * index.total) & (index.total > 0)).tolist():
-            total, left, held = int(index.total[k]), int(most[k]), 0
+            total, left = int(index.total[k]), int(most[k])
             spots = {}
             for p in own[bounds[k] : bounds[k + 1]].tolist():
-                if open_[p]:
+                if may[p]:
                     hits = sorted((at, v) for v in set(index.numbers[p]) for at in runs.get(v, ()))
                     if spans := places(index, p, len(text), hits):
                         spots[p] = spans, hits
                     else:
                         left -= int(index.length[p])
-            if left < share * total:
-                continue
+                        if left < share * total:
+                            break
+            if left >= share * total:
+                open_items.setdefault(row, []).append((k, left, spots))
+    rows = list(open_items)
+    bands = _bands(index, folded, rows) if rows else {}
+    for g, row in enumerate(rows):
+        text = folded[row]
+        for k, left, spots in open_items[row]:
+            total, held = int(index.total[k]), 0
             # sentences with the most numbers first: they exclude soonest
             for p in sorted(spots, key=lambda p: -index.need[p]):
                 size = int(index.length[p])
