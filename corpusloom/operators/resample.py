@@ -162,25 +162,42 @@ def _replicate_sums(df: DataFrame, weigh: Callable, groups: list[str], replicate
     return whole.select("replicate", "grp", "weight", V.scale("total", 1.0 / F.col("weight")).alias("mean"))
 
 
+#: Cells up to this size are drawn exactly; in larger ones the chance of drawing nothing is below e^-64.
+SMALL_CELL = 64
+
+
 def bootstrap_means(df: DataFrame, cell: str, id_col: str, replicates: int, seed: int = 0, vec: str = "vec") -> DataFrame:
     """Replicate, cell, weight, mean: cell means under resampling with replacement.
 
     A record is drawn a Poisson number of times with mean one, from its id and
-    the replicate, independent of the partitioning; a cell of which a replicate
-    draws nothing is left out of it.
+    the replicate, independent of the partitioning. A cell of at most SMALL_CELL
+    records makes as many draws as it has records, so that it is never empty.
     """
-    cells = [r[cell] for r in V.level_rows(df.where(F.col(cell).isNotNull()).select(cell).distinct(), cell)]
-    if not cells:
+    rows = df.where(F.col(cell).isNotNull() & F.col(vec).isNotNull())
+    levels = V.level_rows(rows.groupBy(cell).agg(F.count("*").alias("n")), cell)
+    if not levels:
         return df.sparkSession.createDataFrame([], f"replicate int, {cell} string, weight double, mean array<double>")
-    code = F.create_map(*[F.lit(x) for k, c in enumerate(cells) for x in (c, k)])
-    rows = df.where(F.col(cell).isNotNull() & F.col(vec).isNotNull()).select(F.xxhash64(id_col).alias("key"), F.element_at(code, F.col(cell)).alias("code"), vec)
+    cells, sizes = [r[cell] for r in levels], np.array([r["n"] for r in levels])
+    code = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(cells) for x in (c, k)]), F.col(cell))
+    rows = rows.select(F.xxhash64(id_col).alias("key"), code.alias("code"), vec)
+    small = [k for k, n in enumerate(sizes.tolist()) if n <= SMALL_CELL]
+    place = F.row_number().over(Window.partitionBy("code").orderBy("key")) - 1
+    rows = rows.where(~F.col("code").isin(small)).select("key", "code", F.lit(-1).alias("place"), vec).unionByName(rows.where(F.col("code").isin(small)).select("key", "code", place.alias("place"), vec))
 
     def weigh(columns: list[np.ndarray], salts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        key, codes = columns
-        u = (mixed(key, salts) >> np.uint64(11)).astype(float) / float(1 << 53)
-        drawn = np.searchsorted(_POISSON, u, side="right").astype(float)
+        key, codes, places = columns
         for g in np.unique(codes).tolist():
-            yield g, np.where((codes == g)[:, None], drawn, 0.0) if len(np.unique(codes)) > 1 else drawn
+            own = codes == g
+            out = np.zeros((len(codes), len(salts)))
+            n = int(sizes[g])
+            slots = np.arange(n) + (g + 1) * (SMALL_CELL + 1) if n <= SMALL_CELL else key[own]
+            u = (mixed(slots, salts) >> np.uint64(11)).astype(float) / float(1 << 53)
+            if n <= SMALL_CELL:
+                drawn = np.minimum((u * n).astype(np.int64), n - 1)
+                out[own] = (drawn[None, :, :] == places[own][:, None, None]).sum(1)
+            else:
+                out[own] = np.searchsorted(_POISSON, u, side="right")
+            yield g, out
 
     return _replicate_sums(rows, weigh, cells, replicates, seed).withColumnRenamed("grp", cell)
 

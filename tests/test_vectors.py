@@ -165,6 +165,15 @@ def test_bootstrap_means_scatter_like_resamples(spark):
     assert all(np.allclose(again[r["replicate"]], r["mean"]) for r in got)
 
 
+def test_small_cells_are_drawn_exactly(spark):
+    df = spark.createDataFrame([(k, c, [float(k)]) for k, c in enumerate("abbbcccccccccc")], "line_no long, cell string, vec array<double>")
+    got = resample.bootstrap_means(df, "cell", "line_no", 300).collect()
+    size = {"a": 1, "b": 3, "c": 10}
+    assert len(got) == 900 and all(r["weight"] == size[r["cell"]] for r in got)
+    means = np.array([r["mean"][0] for r in got if r["cell"] == "c"])
+    assert abs(means.mean() - 8.5) < 0.2 and abs(means.std() - np.arange(4, 14).std() / np.sqrt(10)) < 0.12
+
+
 def test_shuffled_places_are_bijections():
     salts = np.arange(1, 30)
     for n in (1, 2, 3, 7, 64, 101):
