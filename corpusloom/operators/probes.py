@@ -32,7 +32,9 @@ from corpusloom.operators import lexical, resample
 #: Rows that are worth a task of their own in every round.
 ROWS_PER_TASK = 5_000
 #: Fits of word probes that run side by side.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
+#: Partial sums that the driver adds up itself; more are added up by the executors first.
+FEW_PARTS = 8
 #: Rounds after which a probe stops.
 MAX_ITER = 3_000
 #: Distinct terms that a word probe may weigh.
@@ -103,7 +105,7 @@ def _batch(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, dict[st
     return x, {n: batch.column(k + 1).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
 
 
-def _evaluate(rows: DataFrame, names: list[str], asked: list[tuple[int, Probe]]) -> dict[int, tuple[int, float, np.ndarray]]:
+def _evaluate(rows: DataFrame, names: list[str], asked: list[tuple[int, Probe]], pieces: int) -> dict[int, tuple[int, float, np.ndarray]]:
     """Rows, summed log loss and gradient of each asked probe at its trial point, from one pass."""
     points = [(k, p.label, p.train, p.dims, p.trial) for k, p in asked]
 
@@ -132,8 +134,14 @@ def _evaluate(rows: DataFrame, names: list[str], asked: list[tuple[int, Probe]])
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["probe", "vec"])
 
     parts = rows.mapInArrow(run, "probe int, vec array<double>")
-    found = V.sum_vectors(parts, ["probe"]).collect()
-    return {r["probe"]: (int(r["total"][0]), r["total"][1], np.asarray(r["total"][2:])) for r in found}
+    if pieces > FEW_PARTS:
+        parts = V.sum_vectors(parts, ["probe"]).select("probe", F.col("total").alias("vec"))
+    table = parts.toArrow()
+    out: dict[int, np.ndarray] = {}
+    for k, vec in zip(table.column("probe").to_pylist(), table.column("vec")):
+        part = vec.values.to_numpy(zero_copy_only=False)
+        out[k] = out[k] + part if k in out else part
+    return {k: (int(v[0]), float(v[1]), v[2:]) for k, v in out.items()}
 
 
 def _direction(p: Probe) -> np.ndarray:
@@ -158,6 +166,7 @@ def train_probes(rows: DataFrame, names: list[str], probes: list[Probe], width:
     `rows` holds x first and then the integer columns `names`. Limited-memory
     quasi-Newton steps with backtracking, ended when no slope is above `tolerance`.
     """
+    pieces = rows.rdd.getNumPartitions() if probes else 0
     for p in probes:
         p.dims = width if p.dims is None else p.dims
         p.trial = np.zeros((p.classes, p.dims + 1))
@@ -165,7 +174,7 @@ def train_probes(rows: DataFrame, names: list[str], probes: list[Probe], width:
         asked = [(k, p) for k, p in enumerate(probes) if not p.done]
         if not asked:
             break
-        found = _evaluate(rows, names, asked)
+        found = _evaluate(rows, names, asked, pieces)
         for k, p in asked:
             if k not in found:
                 p.done = True
@@ -348,25 +357,30 @@ def pca_probe(df: DataFrame, labels: list[str], dims: list[int], vec: str = "vec
     if cell:
         kept = df.where(" and ".join(f"{c} is not null" for c in cell))
         parts.append(("one per cell", kept.join(resample.one_per_cell(kept, cell, "line_no").select("line_no"), "line_no", "left_semi"), cell_dims or dims, True))
-    out = []
-    for name, rows, wanted, cut in parts:
-        low, k = _leading(rows, max(wanted), vec)
+
+    # the decomposition's library is not safe in threads side by side
+    leading = [_leading(rows, max(wanted), vec) for _, rows, wanted, _ in parts]
+
+    def half(name: str, wanted: list[int], cut: bool, low: DataFrame, k: int) -> list[tuple]:
         usable = [(d, min(d, k)) for d in wanted if k and (cut or d <= k)]
         if not usable:
-            continue
+            return []
         found = cross_validated_all(low, labels, vec="low", dims=sorted({m for _, m in usable}))
-        out += [(name, d, label, n, acc, 1.0 / c if c else None) for d, m in usable for label in labels for acc, n, c in [found[m, label]]]
+        return [(name, d, label, n, acc, 1.0 / c if c else None) for d, m in usable for label in labels for acc, n, c in [found[m, label]]]
+
+    out = [row for rows in _side_by_side([lambda p=p, x=x: half(p[0], p[2], p[3], *x) for p, x in zip(parts, leading)]) for row in rows]
     return _frame(df, out, "records string, dims int, label string, n long, accuracy double, chance double")
 
 
 def offset_check(clouds: dict[str, DataFrame], label: str, vec: str = "vec") -> DataFrame:
     """Cloud, n, levels, accuracy, chance, verdict: whether a probe still tells the label at more than twice chance."""
-    out = None
-    for name, rows in clouds.items():
-        verdict = F.when(F.col("accuracy") > 2 * F.col("chance"), "told").otherwise("removed")
-        part = probe_report(rows, [label], vec).withColumn("cloud", F.lit(name)).withColumn("verdict", verdict)
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = _side_by_side([lambda rows=rows: cross_validated(rows, label, vec=vec) for rows in clouds.values()])
+    out = []
+    for name, (acc, n, k) in zip(clouds, found):
+        verdict = "told" if acc is not None and k and acc > 2 / k else "removed"
+        out.append((label, n, k, acc, 1.0 / k if k else None, name, verdict))
+    any_rows = next(iter(clouds.values()))
+    return _frame(any_rows, out, "label string, n long, levels int, accuracy double, chance double, cloud string, verdict string")
 
 
 # --------------------------------------------------------------------------
@@ -384,17 +398,19 @@ def kmeans_labels(df: DataFrame, k: int, starts: int = 10, vec: str = "vec") ->
 
 def style_slices(df: DataFrame, starts: int = 10, vec: str = "vec") -> DataFrame:
     """Per style the NMI of clusters with techniques, the probes of technique and language, and the NMI difference terse - verbose."""
-    out = []
-    for style in levels_of(df, "style"):
+
+    def one(style: str) -> tuple | None:
         part = df.where(F.col("style") == style).where("technique is not null").persist(StorageLevel.MEMORY_AND_DISK)
         k = len(levels_of(part, "technique"))
         if k < 2:
-            continue
+            return None
         clustered = kmeans_labels(part, k, starts, vec)
         nmi = stats.mutual_information(clustered.groupBy("technique", F.col("cluster").cast("string").alias("cluster")).agg(F.count("*").alias("n")), "technique", "cluster").first()["nmi"]
         probed = cross_validated_all(part, ["technique", "language"], vec=vec)
-        out.append((style, probed[None, "technique"][1], float(nmi), probed[None, "technique"][0], probed[None, "language"][0]))
         part.unpersist()
+        return style, probed[None, "technique"][1], float(nmi), probed[None, "technique"][0], probed[None, "language"][0]
+
+    out = [r for r in _side_by_side([lambda s=s: one(s) for s in levels_of(df, "style")]) if r]
     nmi = {r[0]: r[2] for r in out}
     difference = nmi["terse"] - nmi["verbose"] if {"terse", "verbose"} <= set(nmi) else None
     return _frame(df, [(*r, difference) for r in out], "style string, n long, nmi double, technique_probe double, language_probe double, nmi_difference double")
@@ -458,7 +474,7 @@ def fit(train: DataFrame, max_iter: int = MAX_ITER) -> LogisticRegressionModel |
     if k < 2:
         return None
     train = train.coalesce(max(1, n // ROWS_PER_TASK))  # few rows in many tasks cost more than the sums
-    return LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=1.0 / n, standardization=False, family="multinomial", tol=1e-6).fit(train)
+    return LogisticRegression(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=1.0 / n, standardization=False, family="multinomial", tol=1e-5).fit(train)
 
 
 def accuracy(model: LogisticRegressionModel | None, test: DataFrame) -> float | None:

@@ -12,7 +12,7 @@ STAGES = {
     "structure": ["L15_spectrum", "T6_leading_projection", "L17_subspace_angles", "L18_angle_null", "A12_variance_budget", "L20_centroid_agreement", "A17_pair_similarity", "A18_extremal_ranking"],
     "probes": ["L22_leave_one_language_out", "L19_pca_probe", "L23_transfer_en", "L24_transfer_summary", "L26_lexical_baseline", "L27_style_slices", "L29_probe_errors"],
     "directions": ["L41_offset_check", "A27_confidence", "L6_crosstab", "L6_crosstab_margin", "L7_association", "L8_permutation_null", "L9_length_by_assigned", "L10_mode_by_language", "L11_out_of_set", "L12_scope_test", "L13_hull", "L14_hull_bootstrap"],
-    "masking": ["L30_discriminative_terms", "A24_text_kept", "D7_placeholder_leak", "D8_kept_by_technique", "L33_masking_sweep", "L32_masking_ablation", "D10_tier_masking"],
+    "masking": ["L30_discriminative_terms", "A24_text_kept", "D7_placeholder_leak", "D8_kept_by_technique", "L33_masking_sweep", "L32_masking_ablation", "D10_registry_masking"],
     "coordinates": ["L35_two_coordinates", "D3_best_threshold", "D4_length_matched", "D5_spearman", "D6_language_spread", "D9_one_language_entries", "D11_cited_not_proved", "L38_cap_summary", "J7_furthest_pair"],
 }
 
