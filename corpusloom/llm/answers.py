@@ -43,8 +43,6 @@ def encoded_lengths(text: str) -> list[int]:
 
 #: Share of all decimals that a context must hold to be kept, so at most 1 / DECIMAL_SHARE contexts are sent to the workers.
 DECIMAL_SHARE = 1e-5
-#: Characters below a limit that still meet it: blanks behind the cut are lost.
-LIMIT_SLACK = 2
 
 
 def decimal_contexts(df: DataFrame, text_col: str, least: int = 8, share: float = 0.95) -> frozenset[str]:
@@ -147,14 +145,14 @@ def storage_limits(assessed: DataFrame, around: int = 25, times: float = 6.0, le
 def _verdicts(assessed: DataFrame) -> DataFrame:
     """assessed with `truncated`, `limit_encoding`, `limit_length`.
 
-    A record meets a limit when its length is the limit or up to LIMIT_SLACK less.
-    Of the limits met, the one with most records is named.
+    A record meets a limit when its length is the limit: one that lost blanks
+    behind a dot to it ended there. Of the limits met, the one with most records is named.
     """
     kept = stored(assessed)
     limits = storage_limits(kept)
     by_source = limits.groupBy("source").agg(F.collect_list(F.struct("records", "encoding", "length")).alias("limits"))
     joined = kept.join(by_source.withColumnRenamed("source", "limit_source"), F.col("source").eqNullSafe(F.col("limit_source")), "left")
-    met = F.array_max(F.filter("limits", lambda x: F.get("lengths", x["encoding"]).between(x["length"] - LIMIT_SLACK, x["length"])))
+    met = F.array_max(F.filter("limits", lambda x: F.get("lengths", x["encoding"]) == x["length"]))
     names = F.array(*map(F.lit, ENCODINGS))
     return joined.withColumn("met", met).select(
         "id",
