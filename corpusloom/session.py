@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -56,18 +57,39 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables stored by this process, dropped when it ends.
+_STORED: set[str] = set()
+
+
+def _drop(path: str) -> None:
+    jvm = SparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(SparkContext._active_spark_context._jsc.hadoopConfiguration() if SparkContext._active_spark_context else jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+    _STORED.discard(path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_STORED):
+        try:
+            _drop(path)
+        except Exception:  # the cluster is gone; the folder is left to its owner
+            return
+
+
 def stored(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Cut the lineage by a table written to the cluster's shared folder, and drop the one it replaces.
 
     Unlike a checkpoint it starts with its true size: the size a checkpoint
-    inherits is the product of all joins before it, which grows without bound in loops.
+    inherits is the product of all joins before it, which grows without bound in
+    loops. What is not replaced may be read until the process ends, and is dropped then.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark).rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    _STORED.add(path)
     df.write.parquet(path)
     if replaces is not None and (old := getattr(replaces, "stored_in", None)):
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _drop(old)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_in = path
     return out

@@ -154,3 +154,14 @@ def test_submit_poll_collect(spark, tmp_path):
 
     with pytest.raises(TimeoutError):
         pending.poll(Slow(), "b", 0, 3)
+
+
+def test_stored_tables_are_dropped(spark):
+    from corpusloom import session
+
+    first = session.stored(spark.range(3))
+    second = session.stored(first.selectExpr("id + 1 AS id"), first)
+    assert not os.path.exists(first.stored_in) and sorted(r["id"] for r in second.collect()) == [1, 2, 3]
+    assert session.stored(spark.range(0)).count() == 0
+    session._drop_all()
+    assert not os.path.exists(second.stored_in) and not session._STORED
