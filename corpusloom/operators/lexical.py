@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,10 +36,13 @@ def word_terms(text: Column | str, longest: int = 1) -> Column:
     return out
 
 
+def _single_blanks(text: Column | str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+
+
 def char_terms(text: Column | str, shortest: int, longest: int) -> Column:
     """Character n-grams inside words padded by a blank; a padded word shorter than n counts once."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
-    words = F.filter(F.split(t, " "), lambda w: w != "")
+    words = F.filter(F.split(_single_blanks(text), " "), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
     def grams(w: Column) -> Column:
@@ -66,6 +71,135 @@ def tfidf(df: DataFrame, id_col: str, terms: Column, min_df: int = 2, fit: Colum
     return raw.join(length, id_col).select(id_col, "term", (F.col("w") / F.col("len")).alias("weight"))
 
 
+#: Characters of text in a part of the documents, characters of words and n-grams of texts taken at once; they bound a worker's memory.
+PART_CHARS, WORD_CHARS, BLOCK_GRAMS = 24_000_000, 300_000, 500_000
+
+
+def _number_grams(words: list[str], shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The n-grams of `char_terms`, word by word: how many a word has, their places in the list of terms, that list.
+
+    An n-gram is numbered by the number of its first n - 1 characters and its last character.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = "".join([f" {w} " for w in words])
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    short = np.flatnonzero(sizes < shortest)
+    owners, numbers, terms = [short], [np.arange(len(short))], [f" {words[k]} " for k in short.tolist()]
+    head = np.zeros(len(chars), np.int64)
+    for n in range(1, longest + 1):
+        at = np.flatnonzero(owner[: max(0, len(owner) - n + 1)] == owner[n - 1 :])
+        code = pa.array(head[at] << 21 | chars[at + n - 1]).dictionary_encode().indices.to_numpy()
+        head[at] = code
+        if n >= shortest and len(at):
+            first = np.empty(code.max() + 1, np.int64)
+            first[code] = at
+            owners.append(owner[at])
+            numbers.append(code + len(terms))
+            terms += [text[i : i + n] for i in first.tolist()]
+    owners = np.concatenate(owners)
+    return np.bincount(owners, minlength=len(words)), np.concatenate(numbers)[np.argsort(owners, kind="stable")], terms
+
+
+def _word_grams(words: list[str], shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As `_number_grams`, some words at a time; the n-grams of word k begin at its place in the first array."""
+    places: dict[str, int] = {}
+    many, numbers = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    a = 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WORD_CHARS, "right")))
+        m, local, terms = _number_grams(words[a:b], shortest, longest)
+        many.append(m)
+        numbers.append(np.fromiter((places.setdefault(t, len(places)) for t in terms), np.int32, len(terms))[local])
+        a = b
+    return np.cumsum(np.concatenate(many)), np.concatenate(numbers), list(places)
+
+
+def _gram_counts(rows: pa.Table, shortest: int, longest: int) -> tuple[list[str], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The terms of the texts (id, text), and block by block document, place of the term and count. Rows of one id are one document."""
+    ids = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    split = pc.split_pattern(rows.column(1).combine_chunks(), " ")
+    coded = split.flatten().dictionary_encode()
+    document, word = np.repeat(ids, pc.list_value_length(split).to_numpy()), coded.indices.to_numpy()
+    words = coded.dictionary.to_pylist()
+    del split, coded
+    if "" in words:
+        # what an empty text is split into
+        held = word != words.index("")
+        document, word = document[held], word[held]
+    if len(ids) and (np.diff(ids) < 0).any():
+        order = np.argsort(document, kind="stable")
+        document, word = document[order], word[order]
+    starts, numbers, terms = _word_grams(words, shortest, longest)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        total = np.cumsum(starts[word + 1] - starts[word])
+        ends = np.append(np.flatnonzero(np.diff(document)) + 1, len(document))
+        a = 0
+        while a < len(document):
+            done = total[a - 1] if a else 0
+            # whole documents, one at least
+            b = ends[max(np.searchsorted(total[ends - 1], done + BLOCK_GRAMS, "right") - 1, np.searchsorted(ends, a, "right"))]
+            w = word[a:b]
+            many = starts[w + 1] - starts[w]
+            each = np.arange(many.sum()) + np.repeat(starts[w] - (total[a:b] - many - done), many)
+            inside = document[a:b].astype(np.int64) - document[a]
+            # short keys sort three times as fast
+            kind = np.uint32 if (inside[-1] + 1) * len(terms) < 2**32 else np.int64
+            keys = np.repeat((inside * len(terms)).astype(kind), many)
+            keys += numbers[each].astype(kind)
+            keys.sort()
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            d, t = np.divmod(keys[at].astype(np.int64), len(terms))
+            yield d + document[a], t, np.diff(at, append=len(keys))
+            a = b
+
+    return terms, blocks()
+
+
+def char_term_report(df: DataFrame, id_col: str, text: str, shortest: int, longest: int, min_df: int = 2) -> DataFrame:
+    """L25 per term: docs, weight (sum), most (greatest) of the TF-IDF vectors of all character n-grams, as `tfidf` of `char_terms` has them.
+
+    No row for a document and a term is shuffled: documents are parted by a
+    hash of the id, once; each part counts its n-grams, learns how many
+    documents have them in all parts, and sends one row for each of its terms.
+    """
+    n, chars = df.agg(F.count("*"), F.sum(F.length(text))).first()
+    parts = max(1, -(-(chars or 0) // PART_CHARS))
+    docs = df.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("part"), F.col(id_col).alias("id"), F.coalesce(_single_blanks(text), F.lit("")).alias("t"))
+
+    def count(rows: pa.Table) -> pa.Table:
+        terms, blocks = _gram_counts(rows.select(["id", "t"]), shortest, longest)
+        k = np.zeros(len(terms), np.int64)
+        for _, term, _ in blocks:
+            k += np.bincount(term, minlength=len(terms))
+        at = np.flatnonzero(k)
+        return pa.table({"part": np.full(len(at), rows.column("part")[0].as_py()), "term": pa.array(terms, pa.string()).take(pa.array(at)), "k": k[at]})
+
+    def weigh(rows: pa.Table, vocabulary: pa.Table) -> pa.Table:
+        terms, blocks = _gram_counts(rows.select(["id", "t"]), shortest, longest)
+        known = pc.index_in(pa.array(terms, pa.string()), value_set=vocabulary.column("term").combine_chunks()).fill_null(-1).to_numpy()
+        idf = np.append(vocabulary.column("idf").to_numpy(), 0.0)[known]
+        k, weight, most = np.zeros(len(terms), np.int64), np.zeros(len(terms)), np.zeros(len(terms))
+        for document, term, tf in blocks:
+            held = known[term] >= 0
+            document, term, w = document[held], term[held], tf[held] * idf[term[held]]
+            squares = np.bincount(document - document[:1], weights=w * w) if len(document) else w
+            w /= np.sqrt(squares)[document - document[:1]]
+            k += np.bincount(term, minlength=len(terms))
+            weight += np.bincount(term, weights=w, minlength=len(terms))
+            np.maximum.at(most, term, w)
+        at = np.flatnonzero(k)
+        return pa.table({"term": pa.array(terms, pa.string()).take(pa.array(at)), "docs": k[at], "weight": weight[at], "most": most[at]})
+
+    counted = docs.groupBy("part").applyInArrow(count, "part long, term string, k long")
+    df_all = counted.withColumn("df", F.sum("k").over(Window.partitionBy("term"))).where(F.col("df") >= min_df)
+    vocabulary = df_all.select("part", "term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = docs.groupBy("part").cogroup(vocabulary.groupBy("part")).applyInArrow(weigh, "term string, docs long, weight double, most double")
+    return weighed.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("weight").alias("weight"), F.max("most").alias("most"))
+
+
 _WORD = re.compile(r"\w+")
 _SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|/-])")
 _NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{M}\p{N}_])", r"(?![\p{L}\p{M}\p{N}_])"

@@ -2,11 +2,13 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import bookkeeping, encoding, lengths, lexical
+from corpusloom.plans import catalog
 
 
 def one(spark, value, kind, column):
@@ -63,6 +65,71 @@ def test_char_terms(spark):
     assert one(spark, "", "string", lexical.char_terms("v", 3, 5)) == []
 
 
+def brute_char_report(docs, low, high, min_df=2):
+    tf = {}
+    for i, t in docs:
+        for w in t.lower().split():
+            p = f" {w} "
+            tf.setdefault(i, Counter()).update(p[k : k + n] for n in range(low, max(low, min(high, len(p))) + 1) for k in range(max(1, len(p) - n + 1)))
+    df = Counter(t for c in tf.values() for t in c)
+    out = {}
+    for c in tf.values():
+        w = {t: k * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, k in c.items() if df[t] >= min_df}
+        for t, x in w.items():
+            x /= math.sqrt(sum(y * y for y in w.values()))
+            n, total, most = out.get(t, (0, 0.0, 0.0))
+            out[t] = n + 1, total + x, max(most, x)
+    return out
+
+
+# two rows of one id, ids that are null, no words, signs beyond 16 bits, a word shorter than the least n-gram
+ODD_DOCS = [(1, "a prime Prime divides"), (1, "the primes"), (2, "  "), (3, "素数は無限 \U0001d4ab\U0001d4ab素数は"), (None, "prime \U0001d4ab\U0001d4ab素数"), (None, "a divides"), (4, "无限 素数は\u3000无限"), (5, "")]
+
+
+@pytest.mark.parametrize("low, high", [(3, 5), (2, 4), (1, 1), (5, 6)])
+@pytest.mark.parametrize("chars", [10, 10**6])
+def test_char_report_against_brute_force(spark, monkeypatch, low, high, chars):
+    monkeypatch.setattr(lexical, "PART_CHARS", chars)
+    df = spark.createDataFrame(ODD_DOCS, "id long, v string")
+    got = {r["term"]: (r["docs"], r["weight"], r["most"]) for r in lexical.char_term_report(df, "id", "v", low, high).collect()}
+    want = brute_char_report(ODD_DOCS, low, high)
+    assert set(got) == set(want) and all(got[t] == pytest.approx(want[t]) for t in want)
+    assert lexical.char_term_report(df.limit(0), "id", "v", low, high).count() == 0
+
+
+def test_grams_counted_in_blocks(monkeypatch):
+    docs = pa.table({"id": [i for i, _ in ODD_DOCS], "t": [" ".join(t.lower().split()) for _, t in ODD_DOCS]})
+
+    def counted():
+        terms, blocks = lexical._gram_counts(docs, 2, 4)
+        return {(d, terms[t]): n for block in blocks for d, t, n in zip(*(x.tolist() for x in block))}
+
+    whole = counted()
+    monkeypatch.setattr(lexical, "WORD_CHARS", 3)
+    monkeypatch.setattr(lexical, "BLOCK_GRAMS", 5)
+    assert counted() == whole and whole[0, "pr"] == 3
+
+
+@pytest.mark.parametrize("name, low, high", [("L25_tfidf_chars", 3, 5)])
+def test_char_queries_shuffle_no_row_per_document_and_term(spark, tmp_path, name, low, high):
+    docs = [(i, " ".join(f"w{i * k * k % 89}x{k % 7}" for k in range(1, 60))) for i in range(600)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        none = jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
+
+    before = written()
+    rows = catalog.queries()[name](spark, str(tmp_path)).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = sum(n for k, n in written().items() if k not in before)
+    want = brute_char_report(docs, low, high)
+    assert {r["term"]: r["docs"] for r in rows} == {t: n for t, (n, _, _) in want.items()}
+    assert 0 < moved < sum(n for n, _, _ in want.values()) / 4
+
+
 def test_registry(spark):
     df = spark.createDataFrame([(1, "By Euclid's lemma"), (2, "EUCLID lemma"), (3, None), (4, "preeuclid")], "line_no long, proof string")
     reg = spark.createDataFrame([("e", ["re:euclid", "nothing"]), ("l", ["lemma"]), ("none", None)], "name string, forms array<string>")
